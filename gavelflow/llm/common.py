@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,13 +23,6 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder, so that no later job computes them again
-    and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -50,6 +44,45 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected
+    the handles, which may otherwise take as long as the application lives."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Stage:
+    """Intermediate results as tables in the shared folder, so that no later job computes them again
+    and a lost executor costs no recomputation. They go when the block ends, but for those kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        release(self.spark)
+
+    def cut(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = scratch(self.spark, "stage")
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self.paths.add(path)
+        out._stage_path = path
+        release(self.spark)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that are not needed any more."""
+        for df in frames:
+            remove(self.spark, df._stage_path)
+            self.paths.discard(df._stage_path)
+
+
 class KeyFilter:
     """A set of 64-bit keys as a bitmap of bounded size; it may also let other keys through.
 
@@ -85,35 +118,29 @@ class KeyFilter:
         return (w >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stage: Stage, max_rounds: int = 60) -> DataFrame:
     """(node, comp): each node of the edges (a, b) with the least node that it is connected to.
 
     Alternating large-star and small-star rounds, which need a logarithmic number of rounds; the
     lineage is cut after each. Both stars aggregate by node; no group is collected.
     """
-    e = cut(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .where("a <> b")
-        .distinct()
+    e = stage.cut(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
+    state = None
     for _ in range(max_rounds):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        new = cut(small)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same == e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
-            return new.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
-        e = new
+        linked = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        small = large.join(low, "a").select(linked.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        new = stage.cut(small)
+        stage.drop(e)
+        e, old = new, state
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == old:
+            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     raise RuntimeError("components did not converge")

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textbytes as tb
-from gavelflow.llm.anchors import Windows, anchor_rows, segment_rows
-from gavelflow.llm.common import KeyFilter, cut, remove, scratch
+from gavelflow.llm.anchors import Windows, anchor_rows, apply_ranges, gone, segment_rows
+from gavelflow.llm.common import KeyFilter, Stage, release, remove, scratch
 
 WINDOW = 13
 ANCHOR = 4
@@ -36,36 +36,30 @@ BATCHES = 3
 class FingerprintIndex:
     """Runs of (fp, id): one row for each anchor and document, and the least id of hot anchors."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
+    def __init__(self, spark: SparkSession, stage: Stage, buckets: int | None = None, max_runs: int = MAX_RUNS):
+        self.spark, self.stage, self.max_runs = spark, stage, max_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[str, str]] = []
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         name, path = f"fp_run_{uuid.uuid4().hex}", scratch(self.spark, "fp-run")
-        (
-            rows.repartition(self.buckets, "fp")
-            .write.bucketBy(self.buckets, "fp")
-            .sortBy("fp")
-            .option("path", path)
-            .format("parquet")
-            .saveAsTable(name)
-        )
+        out = rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("compression", "zstd")
+        out.format("parquet").saveAsTable(name)
+        release(self.spark)
         return name, path
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """Take in a batch of (fp, lo, hi): the least and greatest id that have fp in the batch. Returns
         the fingerprints that the batch shares with the runs or that two of its documents share."""
+        if len(self.runs) >= self.max_runs:
+            self.compact()
         run = self._write(fingerprints)
         batch = self.spark.table(run[0])
         shared = batch.where("lo < hi").select("fp")
         for name, _ in self.runs:
             shared = shared.unionByName(batch.join(self.spark.table(name).select("fp"), "fp", "left_semi").select("fp"))
-        shared = cut(shared)
         self.runs.append(run)
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return shared
+        return self.stage.cut(shared)
 
     def compact(self) -> None:
         """Merge the sorted runs into one. No row moves to another bucket."""
@@ -91,13 +85,13 @@ def batch_edges(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def duplicate_ranges(docs: DataFrame, windows: Windows, batches: int = BATCHES) -> DataFrame:
+def duplicate_ranges(docs: DataFrame, windows: Windows, stage: Stage, batches: int = BATCHES) -> DataFrame:
     """(id, t, start, n): runs of n windows, from item start on, that start in a smaller id too; t is the
     hash of the text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     edges = batch_edges(docs, batches)
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, stage)
     shared = None
     for lo, hi in zip([None, *edges], [*edges, None], strict=True):
         batch = docs
@@ -111,30 +105,25 @@ def duplicate_ranges(docs: DataFrame, windows: Windows, batches: int = BATCHES)
         shared = found if shared is None else shared.unionByName(found)
     index.drop()
     wanted = spark.sparkContext.broadcast(KeyFilter.build(shared, "fp"))
+    key = ["fp", "seg"]
 
-    seg = cut(segment_rows(docs, windows, wanted))
+    seg = stage.cut(segment_rows(docs, windows, wanted, payload="none").drop("payload", "places"))
     # level 1: equal segments; all but those in the least document are removed whole
-    least = seg.groupBy("fp", "seg", "n").agg(F.min("id").alias("least"), F.first("payload").alias("payload"))
-    least = cut(least)
-    whole = (
-        seg.drop("payload")
-        .join(least.select("fp", "seg", "n", "least"), ["fp", "seg", "n"])
-        .where("id > least")
-        .select("id", "t", "start", "n")
-    )
-    # level 2: windows of different segments with one anchor, each segment once
+    least = stage.cut(seg.groupBy(*key).agg(F.min("id").alias("least")))
+    whole = stage.cut(seg.join(least, key).where("id > least").select("id", "t", "start", "n"))
+    # level 2: windows of different segments with one anchor, each segment once, in its least document
     many = least.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp")
-    each = least.join(many, "fp", "left_semi").select("fp", "seg", "n", "least", "payload")
-    opened = cut(_open(each))
+    each = stage.cut(least.join(many, "fp", "left_semi"))
+    only = spark.sparkContext.broadcast(KeyFilter.build(each, "seg"))
+    texts = segment_rows(docs, windows, wanted, only=only).join(each, key).where("id = least")
+    first_of = texts.groupBy(*key, "id").agg(F.first("payload").alias("payload"))
+    opened = stage.cut(_open(first_of))
     first = opened.groupBy("fp", "w").agg(F.min("id").alias("first"))
-    parts = (
-        opened.join(first, ["fp", "w"])
-        .where("id > first")
-        .select("fp", "seg", "n", F.col("id").alias("least"), "at")
-    )
+    parts = opened.join(first, ["fp", "w"]).where("id > first").select(*key, F.col("id").alias("least"), "at")
     # the least document's own occurrences of the segment
+    parts = stage.cut(parts)
     own = (
-        parts.join(seg.drop("payload"), ["fp", "seg", "n"])
+        parts.join(seg, key)
         .where("id = least")
         .select("id", "t", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     )
@@ -142,22 +131,23 @@ def duplicate_ranges(docs: DataFrame, windows: Windows, batches: int = BATCHES)
 
 
 def _open(each: DataFrame) -> DataFrame:
-    """(fp, seg, n, id, at, w): one row for each window of a segment."""
+    """(fp, seg, id, at, w): one row for each window of a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            if not len(n):
+            parts = batch.column("payload").to_pylist()
+            if not parts:
                 continue
-            w = np.frombuffer(b"".join(batch.column("payload").to_pylist()), dtype=np.int64)
+            n = np.array([len(x) // 8 for x in parts])
+            w = np.frombuffer(b"".join(parts), dtype=np.int64)
             pick = pa.array(np.repeat(np.arange(len(n)), n))
             at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(pick) for c in ("fp", "seg", "n", "least")] + [pa.array(at.astype(np.int64)), pa.array(w)],
-                ["fp", "seg", "n", "id", "at", "w"],
+                [batch.column(c).take(pick) for c in ("fp", "seg", "id")] + [pa.array(at.astype(np.int64)), pa.array(w)],
+                ["fp", "seg", "id", "at", "w"],
             )
 
-    return each.mapInArrow(run, "fp long, seg long, n int, id long, at long, w long")
+    return each.mapInArrow(run, "fp long, seg long, id long, at long, w long")
 
 
 def kept_words(texts: pa.Array, starts: list, lengths: list, window: int) -> Iterator[tuple[int, int, bytes]]:
@@ -168,66 +158,36 @@ def kept_words(texts: pa.Array, starts: list, lengths: list, window: int) -> Ite
         for i in range(a, b):
             lo, hi = int(words.offs[i - a]), int(words.offs[i - a + 1])
             s, e = words.starts[lo:hi], words.ends[lo:hi]
-            gone = 0
+            removed = 0
             if starts[i]:
-                diff = np.zeros(hi - lo + 1, dtype=np.int64)
-                at, n = np.asarray(starts[i], dtype=np.int64), np.asarray(lengths[i], dtype=np.int64)
-                np.add.at(diff, at, 1)
-                np.add.at(diff, at + n + window - 1, -1)
-                out = np.cumsum(diff[:-1]) > 0
-                gone = int(out.sum())
+                out = gone(starts[i], lengths[i], window, hi - lo)
+                removed = int(out.sum())
                 s, e = s[~out], e[~out]
-            yield hi - lo, gone, b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)])
+            yield hi - lo, removed, b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each row."""
-    ranges = duplicate_ranges(docs, Windows("word", window, min(ANCHOR, window)), batches)
-    return _apply(docs, ranges, window, with_text=True)
+    return _run(docs, window, batches, with_text=True)
 
 
-def _apply(docs: DataFrame, ranges: DataFrame, window: int, with_text: bool) -> DataFrame:
-    ranges = cut(ranges)
-    spark = docs.sparkSession
-    hit = spark.sparkContext.broadcast(KeyFilter.build(ranges.select("id").distinct(), "id"))
+def _run(docs: DataFrame, window: int, batches: int, with_text: bool) -> DataFrame:
     last = "kept string" if with_text else "kept_sha256 string"
 
     def rows(batch: pa.RecordBatch, starts: list, lengths: list) -> pa.RecordBatch:
         out = list(kept_words(batch.column("text"), starts, lengths, window))
-        text = [x[2].decode("utf-8", "replace") if with_text else hashlib.sha256(x[2]).hexdigest() for x in out]
+        text = [x[2].decode() if with_text else hashlib.sha256(x[2]).hexdigest() for x in out]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(text, pa.string())],
             ["doc_id", "n_words", "n_removed", last.split()[0]],
         )
 
-    def touched(batch: pa.RecordBatch) -> np.ndarray:
-        ids = batch.column("doc_id")
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        return known & hit.value.mask(ids.fill_null(0).to_numpy().view(np.uint64))
-
-    def untouched_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = batch.filter(pa.array(~touched(batch)))
-            yield rows(part, [None] * len(part), [None] * len(part))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(touched(batch)))
-
-    def remove_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield rows(batch, batch.column("starts").to_pylist(), batch.column("lengths").to_pylist())
-
-    schema = "doc_id long, n_words long, n_removed long, " + last
-    two = docs.select(F.col("doc_id").cast("long"), "text")
-    by_doc = ranges.groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("r"))
-    by_doc = by_doc.select(F.col("id").alias("doc_id"), "t", F.col("r.start").alias("starts"), F.col("r.n").alias("lengths"))
-    part = two.mapInArrow(maybe, "doc_id long, text string").withColumn("t", F.xxhash64("text")).join(by_doc, ["doc_id", "t"], "left")
-    return two.mapInArrow(untouched_rows, schema).unionByName(part.mapInArrow(remove_ranges, schema))
+    with Stage(docs.sparkSession) as stage:
+        ranges = duplicate_ranges(docs, Windows("word", window, min(ANCHOR, window)), stage, batches)
+        return apply_ranges(docs, ranges, rows, "doc_id long, n_words long, n_removed long, " + last)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ranges = duplicate_ranges(docs, Windows("word", WINDOW, ANCHOR))
-    return _apply(docs, ranges, WINDOW, with_text=False)
+    return _run(docs, WINDOW, BATCHES, with_text=False)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from gavelflow.llm.common import Stage
 from gavelflow.llm.substring_dedup import FingerprintIndex, op8_substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,10 +53,12 @@ def test_empty_table(spark, make_docs):
 
 
 def test_index_runs_and_compaction(spark):
-    index = FingerprintIndex(spark, buckets=2, max_runs=1)
     frame = lambda rows: spark.createDataFrame(rows, "fp long, lo long, hi long")
-    assert index.add(frame([(1, 1, 1), (2, 1, 2)])).collect() == [(2,)]
-    assert sorted(index.add(frame([(1, 5, 5), (3, 6, 6)])).collect()) == [(1,)]
-    assert len(index.runs) == 1  # compacted
-    assert sorted(index.add(frame([(3, 7, 7), (9, 7, 7)])).collect()) == [(3,)]
-    index.drop()
+    with Stage(spark) as stage:
+        index = FingerprintIndex(spark, stage, buckets=2, max_runs=2)
+        assert index.add(frame([(1, 1, 1), (2, 1, 2)])).collect() == [(2,)]
+        assert sorted(index.add(frame([(1, 5, 5), (3, 6, 6)])).collect()) == [(1,)]
+        assert len(index.runs) == 2
+        assert sorted(index.add(frame([(3, 7, 7), (2, 8, 8), (9, 7, 7)])).collect()) == [(2,), (3,)]
+        assert len(index.runs) == 2  # the first two are one run now
+        index.drop()
