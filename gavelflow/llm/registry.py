@@ -1,6 +1,14 @@
 """Queries of the pipeline operators, and SQL for those that SQL can express."""
 
+from gavelflow.llm.bpe import op6_byte_bpe
+from gavelflow.llm.jaccard_join import op3_jaccard_join
 from gavelflow.llm.substring_dedup import op8_substring_dedup
+from gavelflow.llm.suffix_dedup import op7_suffix_dedup
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+}
 ORACLES: dict[str, str] = {}
