@@ -280,10 +280,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(key: str, shared) -> Encoder:
-    """One encoder for each Python worker and rank file."""
+def worker_encoder(key: str, shared, name: str | None = None) -> Encoder:
+    """One encoder for each Python worker and key; shared broadcasts (ranks, pattern), or such by name."""
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*shared.value)
+        _ENCODERS[key] = Encoder(*(shared.value if name is None else shared.value[name]))
     return _ENCODERS[key]
 
 
@@ -316,7 +316,7 @@ def _run(docs: DataFrame, path: str | None, pattern: str | None, last: str, colu
     key = f"{path}\0{pattern}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(key, shared)
+        enc = worker_encoder(key, shared)
         for batch in batches:
             for lo, hi in _batches(batch, "text"):
                 part = batch.slice(lo, hi - lo)
@@ -333,7 +333,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast((read_ranks(path), r"(?s:.)+"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(f"{path}\0decode", shared)
+        enc = worker_encoder(f"{path}\0decode", shared)
         for batch in batches:
             text = [enc.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
