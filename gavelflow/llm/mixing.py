@@ -157,7 +157,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
         rows = _rows(docs.select(F.struct(*names).alias("_row"), "doc_id", "text", "source"))
         small = stage.cut(rows.select("doc_id", "_source", "_size", "_h"))
         x = _taken(rows.drop("source"), *_tables(small, stage, weights, share, cap, block))
-    words = F.expr(r"split(btrim(text, ' \t\n\u000b\f\r'), '[\\x20\\x09-\\x0D]+')")
+    words = F.expr(r"split(btrim(text, ' \t\n\u000b\u000c\r'), '[\\x20\\x09-\\x0D]+')")
     part = lambda a, b: F.array_join(F.slice(words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), " ")
     full = (F.col("to_1") - F.col("from_1") == F.col("_size")) & (F.col("_size") > 0)
     copies = F.array_repeat(F.col("text"), (F.col("whole") * F.when(F.col("_size") > 0, 1).otherwise(0) + full.cast("int")).cast("int"))
