@@ -42,10 +42,11 @@ class Windows:
                 continue
             gram, w = grams.windows(grams.prefix(values), self.anchor), self.window - self.anchor + 1
             all_anchors = tb.sliding_min(gram, w)
-            start = np.flatnonzero(tb.window_mask(item_offs, self.window))
-            if not len(start):
+            counts = np.maximum(np.diff(item_offs) - self.window + 1, 0)
+            if not counts.any():
                 continue
-            row = np.searchsorted(item_offs, start, side="right") - 1
+            row = np.repeat(np.arange(b - a), counts)
+            start = np.arange(len(row)) + np.repeat(item_offs[:-1] - (np.cumsum(counts) - counts), counts)
             anchor = all_anchors[start]
             first, length = _segments(anchor, row)
             places = np.ones(len(first), dtype=np.int32)
@@ -92,18 +93,21 @@ def _segments(anchor: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def segment_rows(
-    docs: DataFrame, windows: Windows, wanted: Broadcast, id_col: str = "doc_id", payload: str = "hashes", only: Broadcast | None = None
+    docs: DataFrame, windows: Windows, wanted: Broadcast, id_col: str = "doc_id", payload: str = "hashes",
+    only: Broadcast | None = None, texts: Broadcast | None = None,
 ) -> DataFrame:
     """(fp, id, t, start, n, places, seg, payload): the segments whose anchor passes the filter wanted.
     t is the text's hash, which tells rows of one id apart; start is the first item in the document, n the
     number of windows, seg a 64-bit hash of the content, payload the windows' 64-bit hashes, for
-    payload='bytes' the segment's bytes, and for payload='none' empty. Where only is given, segments
-    whose seg doesn't pass it are left out."""
+    payload='bytes' the segment's bytes, and for payload='none' empty. Where only or texts is given,
+    segments whose seg, or texts whose t, doesn't pass it are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = wanted.value
         over = tb.Roller(14)
         for batch in batches:
+            if texts is not None:
+                batch = batch.filter(pa.array(texts.value.mask(batch.column(1).to_numpy().view(np.uint64))))
             ids, t = batch.column(0), batch.column(1)
             for a, _, item_offs, hashes, anchor, row, start, data, (first, length, places) in windows.scan(batch.column(2)):
                 keep = keys.mask(anchor[first])

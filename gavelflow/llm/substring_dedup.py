@@ -109,14 +109,15 @@ def duplicate_ranges(docs: DataFrame, windows: Windows, stage: Stage, batches: i
 
     seg = stage.cut(segment_rows(docs, windows, wanted, payload="none").drop("payload", "places"))
     # level 1: equal segments; all but those in the least document are removed whole
-    least = stage.cut(seg.groupBy(*key).agg(F.min("id").alias("least")))
+    least = stage.cut(seg.groupBy(*key).agg(F.min(F.struct("id", "t")).alias("m")).select(*key, F.col("m.id").alias("least"), F.col("m.t").alias("text_of")))
     whole = stage.cut(seg.join(least, key).where("id > least").select("id", "t", "start", "n"))
     # level 2: windows of different segments with one anchor, each segment once, in its least document
     many = least.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp")
     each = stage.cut(least.join(many, "fp", "left_semi"))
     only = spark.sparkContext.broadcast(KeyFilter.build(each, "seg"))
-    texts = segment_rows(docs, windows, wanted, only=only).join(each, key).where("id = least")
-    first_of = texts.groupBy(*key, "id").agg(F.first("payload").alias("payload"))
+    texts = spark.sparkContext.broadcast(KeyFilter.build(stage.cut(each.select("text_of").distinct()), "text_of"))
+    found = segment_rows(docs, windows, wanted, only=only, texts=texts).join(each, key).where("id = least and t = text_of")
+    first_of = found.groupBy(*key, "id").agg(F.first("payload").alias("payload"))
     opened = stage.cut(_open(first_of))
     first = opened.groupBy("fp", "w").agg(F.min("id").alias("first"))
     parts = opened.join(first, ["fp", "w"]).where("id > first").select(*key, F.col("id").alias("least"), "at")

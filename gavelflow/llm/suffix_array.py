@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from gavelflow.llm.textbytes import Roller
+
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True for S-type suffixes (smaller than their successor). The end is smaller than all."""
@@ -149,44 +151,38 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     return _induce(t, s, lms[order], sizes)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text position, in text order, its predecessor in the suffix array (-1 for the first)
-    and the length of their common prefix, up to most, by binary search on prefix hashes."""
-    from gavelflow.llm.textbytes import Roller
-
+def permuted_reach(t: np.ndarray, sa: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """In text order, each position's predecessor in the suffix array (-1 for the first), and whether
+    their common prefix has size symbols. Found by hashes, then proved on the symbols: along a run of
+    positions whose predecessors follow each other too, prefixes shrink by one symbol at a time, so the
+    first is compared whole and the others by the one symbol that is new."""
     n = len(t)
     phi = np.full(n, -1, dtype=np.int64)
     phi[sa[1:]] = sa[:-1]
+    i = np.flatnonzero(phi >= 0)
+    i = i[np.maximum(i, phi[i]) + size <= n]
     roll = Roller(21)
-    prefix = roll.prefix(roll.bytes[t.astype(np.int64) & 255] ^ (t.astype(np.uint64) >> np.uint64(8)))
-    here = np.flatnonzero(phi >= 0)
-    i, j = here, phi[here]
-    room = np.minimum(n - np.maximum(i, j), most)
-    got = np.zeros(len(here), dtype=np.int64)
-    bit = 1 << (most.bit_length() - 1)
-    while bit:
-        tries = got + bit
-        ok = tries <= room
-        x, y, size = i[ok], j[ok], tries[ok]
-        ok[ok] = roll.ranges(prefix, x, x + size) == roll.ranges(prefix, y, y + size)
-        got[ok] = tries[ok]
-        bit >>= 1
-    plcp = np.zeros(n, dtype=np.int64)
-    plcp[here] = got
-    return phi, plcp
+    full = roll.windows(roll.prefix(roll.bytes[t & 255] ^ (t.astype(np.uint64) >> np.uint64(8))), size)
+    hit = i[full[i] == full[phi[i]]]
+    ok = np.zeros(n, dtype=bool)
+    ok[hit] = t[hit + size - 1] == t[phi[hit] + size - 1]
+    follows = np.zeros(n, dtype=bool)
+    follows[hit] = (hit > 0) & ok[hit - 1] & (phi[hit - 1] == phi[hit] - 1)
+    head = hit[~follows[hit]]
+    for part in np.array_split(head, len(head) * size // (1 << 20) + 1):
+        at = np.arange(size)
+        ok[part] = (t[part[:, None] + at] == t[phi[part][:, None] + at]).all(axis=1)
+    if not ok[head].all():  # a collision of hashes: what followed it is compared whole
+        for at in hit[ok[hit]].tolist():
+            ok[at] = np.array_equal(t[at : at + size], t[phi[at] : phi[at] + size])
+    return phi, ok
 
 
 def repeated(t: np.ndarray, size: int) -> np.ndarray:
-    """Starts, as a mask, of the strings of size symbols that also start elsewhere in t. Hash hits
-    are compared symbol by symbol."""
+    """Starts, as a mask, of the strings of size symbols that also start elsewhere in t."""
     out = np.zeros(len(t), dtype=bool)
-    if len(t) <= size:
-        return out
-    phi, plcp = permuted_lcp(t, suffix_array(t, size), size)
-    hit = np.flatnonzero(plcp >= size)
-    for block in np.array_split(hit, max(1, len(hit) * size // (16 << 20))):
-        at = np.arange(size)
-        same = (t[block[:, None] + at] == t[phi[block][:, None] + at]).all(axis=1)
-        out[block[same]] = True
-        out[phi[block[same]]] = True
+    if len(t) > size:
+        phi, ok = permuted_reach(t, suffix_array(t, size), size)
+        out[ok] = True
+        out[phi[ok]] = True
     return out

@@ -42,17 +42,21 @@ def repeated_ranges(docs: DataFrame, stage: Stage, window: int = WINDOW, max_gro
     counted = anchor_rows(docs, windows).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     wanted = spark.sparkContext.broadcast(KeyFilter.build(stage.cut(counted), "fp"))
     seg = stage.cut(segment_rows(docs, windows, wanted, payload="none").drop("payload"))
-    distinct = stage.cut(seg.groupBy(*key).agg(F.count("*").alias("c"), F.max("places").alias("places"), F.max("n").alias("n")))
+    distinct = stage.cut(seg.groupBy(*key).agg(F.count("*").alias("c"), F.max("places").alias("places"), F.max("n").alias("n"), F.min("t").alias("text_of")))
     seg_rows = seg.select(*key, "id", "t", "start", "n")
     whole = seg_rows.join(distinct.where("c > 1").select(*key), key, "left_semi").select("id", "t", "start", "n")
     whole = stage.cut(whole)
     # segments that share an anchor with another one, or that may hold a string twice
     by_fp = distinct.groupBy("fp").agg(F.count("*").alias("k"), F.max("places").alias("most")).where("k > 1 or most > 1")
-    open_ = stage.cut(distinct.join(by_fp, "fp").select(*key, "n", "k", "c"))
+    open_ = stage.cut(distinct.join(by_fp, "fp").select(*key, "n", "k", "c", "text_of"))
     only = spark.sparkContext.broadcast(KeyFilter.build(open_, "seg"))
-    bytes_ = segment_rows(docs, windows, wanted, payload="bytes", only=only)
-    bytes_ = bytes_.groupBy(*key).agg(F.first("payload").alias("payload"))
-    each = stage.cut(bytes_.join(open_, key))
+    # one text holds each of them; only such texts are scanned again
+    texts = spark.sparkContext.broadcast(KeyFilter.build(stage.cut(open_.select("text_of").distinct()), "text_of"))
+    bytes_ = segment_rows(docs, windows, wanted, payload="bytes", only=only, texts=texts).select(*key, "t", "payload")
+    each = bytes_.join(open_, key).where("t = text_of").groupBy(*key).agg(
+        F.first("payload").alias("payload"), F.first("n").alias("n"), F.first("k").alias("k")
+    )
+    each = stage.cut(each)
 
     size = each.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     shards = max(1, size // SHARD_BYTES)

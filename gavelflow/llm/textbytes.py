@@ -120,19 +120,6 @@ class Words:
         return roller.ranges(roller.prefix(roller.bytes[data]), self.starts, self.ends)
 
 
-def window_mask(offs: np.ndarray, k: int) -> np.ndarray:
-    """Of all ranges of k items, those inside one text; offs is the first item of each text."""
-    n = int(offs[-1]) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=bool)
-    bad = np.zeros(int(offs[-1]) + 1, dtype=np.int32)
-    lengths = np.diff(offs)
-    lo = np.maximum(offs[1:] - k + 1, offs[:-1])[lengths > 0]
-    np.add.at(bad, lo, 1)
-    np.add.at(bad, offs[1:][lengths > 0], -1)
-    return np.cumsum(bad)[:n] == 0
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum over every range of w values, by doubling."""
     if len(x) < w:
@@ -142,11 +129,3 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         cur = np.minimum(cur[:-done], cur[done:])
         done *= 2
     return cur if done == w else np.minimum(cur[: len(x) - w + 1], cur[w - done : w - done + len(x) - w + 1])
-
-
-def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Items covered by ranges of k items from the starts given, as a mask over n items."""
-    diff = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(diff, starts, 1)
-    np.add.at(diff, np.minimum(starts + k, n), -1)
-    return np.cumsum(diff[:-1]) > 0
