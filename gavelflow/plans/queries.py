@@ -4,7 +4,895 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gavelflow.functions import redact as R
+from gavelflow.functions import text as T
+from gavelflow.operators import calibrate as C
+from gavelflow.operators import curate as D
+from gavelflow.operators import history as H
+from gavelflow.operators import media as M
+from gavelflow.operators import phishing as X
+from gavelflow.operators import policy as P
+from gavelflow.operators import risk as K
+from gavelflow.operators import rules as E
+from gavelflow.operators import stores as S
+from gavelflow.operators import topics as Q
+from gavelflow.sources import io as IO
+from gavelflow.streaming import stream as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives its rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def joined(c: Column | str) -> Column:
+    return F.array_join(F.col(c) if isinstance(c, str) else c, ",")
+
+
+# -- text features --------------------------------------------------------------------------------
+
+_W = r"[A-Za-z\x{0400}-\x{04FF}0-9]+"
+_URL = r"""(?i)(?:https?://|www\.)[^\x20\x09-\x0D<>"'']+|(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?:/[^\x20\x09-\x0D<>"'']*)?"""
+_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]"
+_PUNCT = r"[!-/:-@\[-`{-~]"
+_UPPER, _LETTERS = (rf"length(regexp_replace(m, '[^\p{{{c}}}]', '', 'g'))" for c in ("Lu", "L"))
+_DIGIT = r"\p{Nd}"
+_RATIO = "case when {b} > 0 then ((2000 * {a} + {b}) // (2 * {b})) / 1000.0::double else 0.0::double end"
+
+
+def _n(pattern: str, of: str = "m") -> str:
+    return f"len(regexp_extract_all({of}, '{pattern}'))"
+
+
+_FEATURES = rf"""
+raw as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '{_URL}', ' ', 'g') as m from documents),
+wordlist as (select doc_id, regexp_extract_all(t, '{_W}') as w from raw),
+freq as (select doc_id, max(n) as most from (
+  select doc_id, x, count(*) as n from (select doc_id, lower(unnest(w)) as x from wordlist) where length(x) >= 2 group by all) group by doc_id),
+features as (
+  select raw.doc_id, t, m, length(t)::bigint as text_length, len(w)::bigint as word_count,
+    (length(t) - length(replace(t, chr(10), '')))::bigint as newline_count,
+    (case when length(t) > 0 then length(t) - length(replace(t, chr(10), '')) + 1 else 0 end)::bigint as line_count,
+    (length(t) - length(replace(t, ' ', '')))::bigint as spaces_count,
+    len(list_distinct(regexp_extract_all(t, '(?s).')))::bigint as unique_chars,
+    case when len(w) > 0 then ((200 * list_sum(list_transform(w, lambda x: length(x)))::bigint + len(w)) // (2 * len(w))) / 100.0::double else 0.0::double end as average_word_length,
+    coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::bigint as longest_word_length,
+    {_RATIO.format(a=_UPPER, b=_LETTERS)} as uppercase_ratio,
+    {_RATIO.format(a=_n(_DIGIT), b="length(m)")} as digit_ratio,
+    {_n(_PUNCT)}::bigint as punctuation_count, {_RATIO.format(a=_n(_PUNCT), b="length(m)")} as punctuation_ratio,
+    {_n(_EMOJI)}::bigint as emoji_count, {_RATIO.format(a=_n(_EMOJI), b="length(m)")} as emoji_ratio,
+    coalesce(most, 0)::bigint as max_word_repetition_count,
+    {_RATIO.format(a="coalesce(most, 0)", b="len(w)")} as max_word_repetition_ratio,
+    regexp_matches(m, '[\x{{0400}}-\x{{04FF}}]') as has_cyrillic, regexp_matches(m, '[A-Za-z]') as has_latin,
+    regexp_matches(t, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{200E}}\x{{200F}}\x{{2060}}\x{{FEFF}}]') as has_zero_width
+  from raw join wordlist using (doc_id) left join freq using (doc_id))"""
+
+_CORE = [
+    "text_length", "word_count", "newline_count", "line_count", "spaces_count", "unique_chars", "average_word_length", "longest_word_length", "uppercase_ratio", "digit_ratio",
+    "punctuation_count", "punctuation_ratio", "emoji_count", "emoji_ratio", "max_word_repetition_count", "max_word_repetition_ratio", "has_cyrillic", "has_latin", "has_zero_width",
+]
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    return T.with_features(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query(f"""with {_FEATURES} select doc_id, {', '.join(_CORE)}, has_cyrillic and has_latin as has_mixed_scripts,
+  case when has_cyrillic and has_latin then 'mixed' when has_cyrillic then 'ru' when has_latin then 'en' else 'unknown' end as language from features""")
+def text_features_core(spark, sf):
+    return features(spark, sf).select("doc_id", *_CORE, "has_mixed_scripts", "language")
+
+
+@query(rf"""with raw as (select doc_id, regexp_replace(coalesce(text, ''), '{_URL}', ' ', 'g') as m from documents),
+ch as (select doc_id, unnest(regexp_extract_all(lower(m), '(?s).')) as c, generate_subscripts(regexp_extract_all(lower(m), '(?s).'), 1) as i from raw),
+isl as (select doc_id, c, i - row_number() over (partition by doc_id, c order by i) as g from ch where regexp_matches(c, '\p{{L}}')),
+runs as (select doc_id, max(n) as run from (select doc_id, c, g, count(*) as n from isl group by all) group by doc_id)
+select doc_id, coalesce(run, 0) >= 3 as has_repeated_chars, least(greatest((coalesce(run, 0) - 1) / 10.0::double, 0.0), 1.0) as repeated_char_score
+from raw left join runs using (doc_id)""")
+def repeated_char_score(spark, sf):
+    return features(spark, sf).select("doc_id", "has_repeated_chars", F.col("repeated_char_score").cast("double").alias("repeated_char_score"))
+
+
+@query(rf"""with w as (select lower(unnest(regexp_extract_all(coalesce(text, ''), '{_W}'))) as word from documents)
+select word, count(*)::bigint as n from w where length(word) >= 2 group by word order by n desc, word limit 20""")
+def word_repetition_top(spark, sf):
+    w = table(spark, sf, "documents", "text").select(F.explode(T.words(F.coalesce("text", F.lit("")))).alias("w")).select(F.lower("w").alias("word"))
+    return w.where(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
+
+
+_KEY = r"trim(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+
+@query(f"""with k as (select sha256({_KEY}) as h from documents)
+select count(*)::bigint as n_rows, count(distinct h)::bigint as n_distinct, (count(*) - count(distinct h))::bigint as n_duplicates from k""")
+def text_hash_duplicates(spark, sf):
+    k = table(spark, sf, "documents", "text").select(F.sha2(T.simple_key(F.col("text")), 256).alias("h"))
+    by = k.groupBy("h").agg(F.count("*").alias("n"))  # counts first, so no task holds all hashes of a distinct count
+    return by.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
+
+
+@query()
+def normalized_texts(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.sha2(T.normalized(F.col("text")), 256).alias("normalized_sha256"), F.sha2(T.curation_key(F.col("text")), 256).alias("key_sha256"), F.sha2(T.ocr_normalized(F.col("text")), 256).alias("ocr_sha256"))
+
+
+# -- addresses ------------------------------------------------------------------------------------
+
+_HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^www\.', '')"
+
+
+@query(f"select {_HOST} as domain, count(*)::bigint as n from pages group by 1")
+def url_domains(spark, sf):
+    return table(spark, sf, "pages", "url").select(T.domain(F.col("url")).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query(rf"""with found as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_URL}'), lambda u: regexp_replace(u, '[.,;:!?)\]}}]+$', '')) as u from documents)
+select doc_id, len(list_distinct(u))::bigint as n_urls, array_to_string(list_sort(list_distinct(u)), ' ') as urls from found where len(u) > 0""")
+def extracted_urls(spark, sf):
+    x = table(spark, sf, "documents", "doc_id", "text").withColumn("u", T.urls(F.coalesce("text", F.lit(""))))
+    return x.where(F.size("u") > 0).select("doc_id", F.size("u").cast("long").alias("n_urls"), F.array_join(F.array_sort("u"), " ").alias("urls"))
+
+
+@query(f"""with h as (select page_id, {_HOST} as host from pages), p(pattern) as (values ('example.com'), ('example.org'), ('net'))
+select pattern, count(*)::bigint as n from h join p on host = pattern or ends_with(host, '.' || pattern) group by pattern""")
+def url_domain_suffix_match(spark, sf):
+    p = spark.createDataFrame([("example.com",), ("example.org",), ("net",)], "pattern string")
+    h = table(spark, sf, "pages", "page_id", "url").select("page_id", F.explode(T.parent_suffixes(T.domain(F.col("url")))).alias("pattern"))
+    return h.join(p, "pattern").groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+_IND = rf"""with u as (select page_id, lower(url) as l, {_HOST} as authority from pages),
+h as (select *, regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]+$', '') as host, regexp_extract(l, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from u)
+select page_id, array_to_string(list_filter([
+  case when {' or '.join(f"host = '{s}' or ends_with(host, '.{s}')" for s in P.SHORTENERS)} then 'shortener' end,
+  case when regexp_matches(host, '(^|\.)xn--') then 'punycode' end,
+  case when regexp_matches(host, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') then 'ip_host' end,
+  case when len(string_split(host, '.')) > 4 then 'many_labels' end,
+  case when {' or '.join(f"contains(host || path, '{w}')" for w in P.SUSPICIOUS_WORDS)} then 'keyword' end], lambda x: x is not null), ',') as indicators from h"""
+
+
+@query(_IND)
+def url_phishing_indicators(spark, sf):
+    return table(spark, sf, "pages", "page_id", "url").select("page_id", joined(X.indicators(F.col("url"))).alias("indicators"))
+
+
+@query(f"""with scam as (select page_id, url, {_HOST} as domain from pages),
+known as (select page_id, url, domain, (length(domain) % 15)::int as age_days, page_id % 7 = 0 as listed from scam),
+ind as ({_IND})
+select k.page_id, 'SCAM' as label, 0.95::double as confidence from known k join ind using (page_id)
+where k.page_id % 2 = 0 and (listed or (age_days <= 7 and not listed and indicators <> ''))""")
+def phishing_signals(spark, sf):
+    p = table(spark, sf, "pages", "page_id", "url").withColumn("domain", T.domain(F.col("url")))
+    ages = p.select("domain", (F.length("domain") % 15).alias("age_days")).distinct()
+    reputation = p.select("url", (F.col("page_id") % 7 == 0).alias("listed")).groupBy("url").agg(F.bool_or("listed").alias("listed"))
+    messages = p.select("page_id", F.array("url").alias("urls"))
+    found = X.signals(messages, "page_id", p.where("page_id % 2 = 0"), ages, reputation)
+    return found.select("page_id", "label", "confidence")
+
+
+_TEXTS = [(1, "hi <@12> and <@!34> see <#5> <@&6>"), (2, "join DISCORD.gg/AbC-1 or discord [.] gg / xyz9 now"), (3, "nothing"), (4, r"discord.gg\\QqQ and https://discord.com/invite/zz_9"), (5, "<@1><@2><@3><@4><@5>")]
+_VALUES = ", ".join(f"({i}, '{t}')" for i, t in _TEXTS)
+
+
+@query(f"""with m(id, t) as (values {_VALUES}) select id::bigint as id, len(regexp_extract_all(t, '<@!?[0-9]+>'))::bigint as users, len(regexp_extract_all(t, '<@&[0-9]+>'))::bigint as roles,
+  len(regexp_extract_all(t, '<#[0-9]+>'))::bigint as channels, greatest(3, len(regexp_extract_all(t, '<@!?[0-9]+>')))::bigint as effective from m""")
+def mention_counts(spark, sf):
+    m = spark.createDataFrame(_TEXTS, "id long, t string")
+    c = T.mentions(F.col("t"))
+    return m.select("id", c["user"].alias("users"), c["role"].alias("roles"), c["channel"].alias("channels"), F.greatest(F.lit(3), c["user"]).cast("long").alias("effective"))
+
+
+@query()
+def invite_codes(spark, sf):
+    m = spark.createDataFrame(_TEXTS, "id long, t string")
+    return m.select("id", joined(T.invites(F.col("t"))).alias("codes"), T.has_obfuscated_invite(F.col("t")).alias("obfuscated"))
+
+
+# -- rates ----------------------------------------------------------------------------------------
+
+_FRAME = "over (partition by user_id order by ts range between interval {s} seconds preceding and current row)"
+
+
+@query("select event_id, " + ", ".join(f"(count(*) {_FRAME.format(s=s)} - 1)::bigint as {k}" for k, s in (("messages_10s", 10), ("messages_60s", 60), ("messages_10m", 600))) + " from events")
+def flood_counts(spark, sf):
+    return H.rates(table(spark, sf, "events", "event_id", "user_id", "ts")).drop("user_id", "ts")
+
+
+@query("""with x as (select event_id, (count(*) over (partition by user_id, event_type order by ts range between interval 600 seconds preceding and current row) - 1)::bigint as repeated_10m,
+  least(row_number() over (partition by user_id order by ts, event_id) - 1, 20) as seen from events)
+select event_id, repeated_10m, case when seen > 0 then round(repeated_10m / seen::double, 3) else 0.0 end as duplicate_score from x""")
+def repeated_event_10m(spark, sf):
+    return H.repeats(table(spark, sf, "events", "event_id", "user_id", "ts", "event_type"), "event_type").select("event_id", "repeated_10m", "duplicate_score")
+
+
+@query("""with w as (select e.event_id, e.ts, e.event_type, list({'at': p.ts, 'x': p.event_type}) over win as past from events e join events p using (event_id)
+  window win as (partition by e.user_id order by e.ts, e.event_id rows between 20 preceding and 1 preceding))
+select event_id, """ + ", ".join(f"len(list_filter(coalesce(past, []), lambda p: ts - p.at <= interval {s} seconds))::bigint as {k}" for k, s in (("messages_10s", 10), ("messages_60s", 60), ("messages_10m", 600))) + """,
+  len(list_filter(coalesce(past, []), lambda p: ts - p.at <= interval 600 seconds and p.x = event_type))::bigint as repeated_10m from w""")
+def flood_counts_last20(spark, sf):
+    x = H.recent_rates(table(spark, sf, "events", "event_id", "user_id", "ts", "event_type"), "event_type")
+    return x.select("event_id", "messages_10s", "messages_60s", "messages_10m", "repeated_10m")
+
+
+@query("""select event_id, round((epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1000000.0::double, 3) as interval_seconds from events""")
+def message_interval(spark, sf):
+    return H.interval(table(spark, sf, "events", "event_id", "user_id", "ts")).select("event_id", "interval_seconds")
+
+
+@query("""select conv_id, turn, array_to_string(list(length(text)::varchar) over (partition by conv_id order by turn rows between 5 preceding and 1 preceding), ',') as history from conversations""")
+def history_last5(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("size", F.length("text").cast("string"))
+    x = H.last_messages(c, "conv_id", ["turn"], "size")
+    return x.select("conv_id", "turn", F.when(F.size("history") > 0, joined("history")).alias("history"))
+
+
+@query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1""")
+def latest_per_user(spark, sf):
+    return H.latest(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("""select event_id, user_id, case when rn > 1 then event_type || '-' || rn else event_type end as version from (select *, row_number() over (partition by user_id, event_type order by event_id) as rn from events)""")
+def duplicate_ordinals(spark, sf):
+    x = table(spark, sf, "events", "event_id", "user_id", "event_type").withColumn("version", F.col("event_type"))
+    return H.duplicate_ordinals(x, ["user_id", "event_type"], ["event_id"], "version").select("event_id", "user_id", "version")
+
+
+@query("""select event_id, round(sum(value) over w, 4) as total_size, sum(value) over w > 500 as rejected from events window w as (partition by user_id order by event_id rows unbounded preceding)""")
+def running_size_limit(spark, sf):
+    x = H.running_size(table(spark, sf, "events", "event_id", "user_id", "value"), "user_id", ["event_id"], "value", 500)
+    return x.select("event_id", F.round("total_size", 4).alias("total_size"), "rejected")
+
+
+@query(f"""select doc_id, row_number() over w > 1 as is_duplicate, first_value(doc_id) over w as first_id from (select doc_id, {_KEY} as k from documents) window w as (partition by k order by doc_id rows between unbounded preceding and current row)""")
+def first_occurrences(spark, sf):
+    x = table(spark, sf, "documents", "doc_id", "text").withColumn("k", F.sha2(T.simple_key(F.col("text")), 256)).withColumn("first_id", F.col("doc_id")).drop("text")
+    return H.first_occurrence(x, ["k"], ["doc_id"], ["first_id"]).select("doc_id", "is_duplicate", "first_id")
+
+
+# -- signals, risk, decisions ----------------------------------------------------------------------
+
+#: Low thresholds, so that the tables' texts, which are calm, go up the whole ladder.
+LOW = P.Policy().with_rules(spam__caps={"threshold": 0.05}, spam__repeated_words={"threshold": 5, "minimum_ratio": 0.04}, spam__emoji={"enabled": False}, spam__repeated_chars={"enabled": False}, url__detected={"enabled": False}, url__shortener={"enabled": False}, invite__detected={"enabled": False}, evasion__unicode={"enabled": False})
+MODEL_LABELS = ("SAFE", "THREAT", "HATE", "SCAM", "TOXIC", "PROFANITY", "URL", "SPAM")
+
+
+def _digits(at: int, n: int = 1) -> Column:
+    return F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), at, n), 16, 10).cast("int")
+
+
+def model_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up signals of two models, from a hash of doc_id, as no model comes with the tables."""
+    d = table(spark, sf, "documents", "doc_id")
+    names = F.array(*map(F.lit, MODEL_LABELS))
+    pick = lambda i: F.get(names, i % 8)
+    two = F.when(_digits(6) < 8, _digits(5)).otherwise(_digits(1))
+    each = lambda pos, source, at, conf, sev: F.struct(F.lit(pos).alias("pos"), F.lit(source).alias("source"), pick(at).alias("label"), F.round(conf / 255, 4).alias("confidence"), (sev % 6).cast("int").alias("severity"), (_digits(8) * 4).cast("double").alias("risk_weight"), F.lit(f"{source.lower()}.model").alias("rule_id"))
+    both = F.array(each(100, "RUBERT", _digits(1), _digits(2, 2), _digits(7)), each(101, "QWEN", two, _digits(9, 2), _digits(11)))
+    return d.select("doc_id", F.explode(both).alias("s")).select("doc_id", "s.*")
+
+
+def all_signals(spark: SparkSession, sf: str, policy: P.Policy = LOW) -> DataFrame:
+    rules = E.to_signals(E.emit(features(spark, sf), policy), "doc_id", policy)
+    cols = ["doc_id", "pos", "source", "label", "confidence", "severity", "risk_weight", "rule_id"]
+    return E.confident(rules.select(*cols).unionByName(model_signals(spark, sf).select(*cols)), policy)
+
+
+def _hex(at: int, n: int = 1) -> str:
+    return f"('0x' || substr(md5(doc_id::varchar), {at}, {n}))::int"
+
+
+def _case(values: dict, key: str, default: str) -> str:
+    return f"(case {key} " + " ".join(f"when {k!r} then {v!r}" for k, v in values.items()) + f" else {default} end)"
+
+
+_NAMES = str(list(MODEL_LABELS))
+_RULE_SIGNALS = """select doc_id, 0 as pos, 'PREPROCESSING' as source, 'SPAM' as label, {caps_c} as confidence, {caps_s} as severity, 10.0::double as risk_weight, 'preprocessing.spam.caps' as rule_id
+  from features where uppercase_ratio >= {caps} and text_length >= 8
+  union all select doc_id, 1, 'PREPROCESSING', 'SPAM', 0.72::double, 2, 20.0::double, 'preprocessing.spam.repeated_words'
+  from features where max_word_repetition_count >= 5 and word_count >= 5 and max_word_repetition_ratio >= {ratio}"""
+_SIGNALS = f"""{_FEATURES},
+rule_signals as ({_RULE_SIGNALS.format(caps_c="0.58::double", caps_s=1, caps=0.05, ratio=0.04)}),
+models as (
+  select doc_id, 100 as pos, 'RUBERT' as source, {_NAMES}[1 + {_hex(1)} % 8] as label, round({_hex(2, 2)} / 255.0::double, 4) as confidence, ({_hex(7)} % 6)::int as severity, ({_hex(8)} * 4)::double as risk_weight, 'rubert.model' as rule_id from documents
+  union all select doc_id, 101, 'QWEN', {_NAMES}[1 + (case when {_hex(6)} < 8 then {_hex(5)} else {_hex(1)} end) % 8], round({_hex(9, 2)} / 255.0::double, 4), ({_hex(11)} % 6)::int, ({_hex(8)} * 4)::double, 'qwen.model' from documents),
+signals as (
+  select *, greatest({_case({k: float(v) for k, v in P.LABEL_WEIGHTS.items()}, "label", "10.0")}::double, risk_weight) * {_case(P.SOURCE_WEIGHTS, "source", "1.0")}::double * confidence * {_case(P.SEVERITY_MULTIPLIERS, "severity", "1.0")}::double as contribution
+  from (select * from rule_signals union all select * from models)
+  where confidence >= coalesce({_case(P.LABEL_CONFIDENCE, "label", "null")}::double, {_case(P.SOURCE_CONFIDENCE, "source", "null")}::double, {P.MIN_CONFIDENCE}))"""
+_RANKS = "list_position(" + str(list(P.PRIORITY)) + ", label)"
+_EVALUATED = f"""{_SIGNALS},
+by_label as (select doc_id, label, max(contribution) as most from signals group by all),
+agg as (select doc_id, sum(most) as total, list(label order by {_RANKS}) as labels from by_label group by doc_id),
+ctx as (select s.doc_id, max(confidence) as confidence, max(severity) as severity, string_agg(rule_id, ',' order by pos, rule_id) as rule_ids,
+  arg_max(label, pos) filter (source = 'RUBERT' and confidence >= 0.8) as rubert, arg_max(label, pos) filter (source = 'QWEN' and confidence >= 0.8) as qwen from signals s group by s.doc_id),
+ranked as (select doc_id, label, row_number() over (partition by doc_id order by contribution + 0.5 * greatest(14 - ({_RANKS} - 1), 0) + (case when confidence >= 0.8 and label <> 'SAFE' then case source when 'RUBERT' then 6 when 'QWEN' then 8 else 0 end else 0 end) desc,
+  severity desc, greatest(14 - ({_RANKS} - 1), 0) desc, confidence desc, pos) as rn from signals),
+pre as (select d.doc_id, coalesce(total, 0.0) as total, coalesce(labels, ['SAFE']) as labels, coalesce(confidence, 1.0) as confidence, coalesce(severity, 0) as severity, coalesce(rule_ids, '') as rule_ids,
+  coalesce(r.label, 'SAFE') as first, rubert, qwen from documents d left join agg using (doc_id) left join ctx using (doc_id) left join (select * from ranked where rn = 1) r using (doc_id)),
+conf as (select *, list_filter(labels, lambda x: x <> 'SAFE') as harmful, contains(labels, 'SAFE') and len(labels) > 1 as clash from pre),
+res as (select *, case when clash and first = 'SAFE' then harmful[1] else first end as resolved, case when rubert is null or qwen is null then 1.0 when rubert = qwen then 1.2 else 0.7 end::double as agreement,
+  coalesce(rubert <> qwen, false) as disagreement from conf),
+evaluated as (select doc_id, round(least(least(total, 100.0) * agreement, 100.0), 4) as risk_score,
+  case when contains(labels, 'URL') and contains(labels, 'SCAM') and resolved = 'URL' then 'SCAM' else resolved end as primary_label,
+  array_to_string(case when len(harmful) > 0 then harmful else ['SAFE'] end, ',') as labels, confidence, severity::int as severity, agreement, disagreement, rule_ids,
+  array_to_string(list_filter([case when clash then 'safe_with_harmful' end, case when clash and first = 'SAFE' then 'primary_was_safe' end, case when contains(labels, 'URL') and contains(labels, 'SCAM') and resolved = 'URL' then 'url_with_scam' end], lambda x: x is not null), ',') as conflicts from res)"""
+
+
+def evaluated(spark: SparkSession, sf: str, policy: P.Policy = LOW) -> DataFrame:
+    return K.evaluate(table(spark, sf, "documents", "doc_id"), "doc_id", all_signals(spark, sf, policy), policy)
+
+
+@query(f"with {_SIGNALS} select doc_id, source, label, confidence, severity::int as severity, risk_weight, rule_id from signals")
+def signal_threshold_filter(spark, sf):
+    return all_signals(spark, sf).drop("pos")
+
+
+@query(f"with {_SIGNALS} select doc_id, source, label, round(contribution, 6) as contribution from signals")
+def risk_contribution(spark, sf):
+    return K.contributions(all_signals(spark, sf), LOW).select("doc_id", "source", "label", F.round("contribution", 6).alias("contribution"))
+
+
+@query(f"with {_EVALUATED} select * from evaluated")
+def rule_evaluation(spark, sf):
+    x = evaluated(spark, sf)
+    return x.select("doc_id", "risk_score", "primary_label", joined("labels").alias("labels"), "confidence", F.col("severity").cast("int").alias("severity"), "agreement", "disagreement", joined("rule_ids").alias("rule_ids"), joined("conflicts").alias("conflicts"))
+
+
+@query(f"with {_EVALUATED} select label, count(*)::bigint as n, round(sum(most), 4) as risk from by_label group by label")
+def risk_by_label(spark, sf):
+    s = K.contributions(all_signals(spark, sf), LOW)
+    return s.groupBy("doc_id", "label").agg(F.max("contribution").alias("most")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("most"), 4).alias("risk"))
+
+
+@query("""with u as (select user_id, count(*) as n, count(*) filter (event_type = 'error') as errors, max(epoch_us(ts)) - min(epoch_us(ts)) as span from events group by user_id)
+select user_id, round(least((case when span // 86400000000 < 7 then 1.15 else 1.0 end) * (case when user_id % 5 < 1 then 1.1 else 1.0 end) * (case when errors >= 3 then 1.35 else 1.0 end)
+  * (case when n / 40.0 >= 3.0 then 1.35 else 1.0 end), 1.75)::double, 6) as multiplier from u""")
+def user_risk_multiplier(spark, sf):
+    u = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").cast("string").alias("violations"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    u = u.withColumns({"account_age_days": T.age_days(F.col("b"), F.col("a")), "member_age_days": F.when(F.col("user_id") % 5 < 1, 1), "escalation": F.col("n") / 40})
+    return u.select("user_id", F.round(K.user_multiplier(u, LOW), 6).alias("multiplier"))
+
+
+def _decision_sql(mode: str) -> str:
+    risk = "least(risk_score * 1.2::double, 100.0)" if mode == "STRICT" else "risk_score"
+    ladder = "case " + " ".join(f"when {risk} >= {v} then '{a}'" for a, v in P.LADDER) + " else 'IGNORE' end"
+    floor = 0.6 - (0.1 if mode == "STRICT" else 0)
+    order = str(list(P.ACTION_PRIORITY))
+    soft = f"case when chosen in ('DELETE', 'DELETE_WARN', 'BAN', 'TIMEOUT') and confidence < {floor} then 'REVIEW' else chosen end"
+    if mode == "PASSIVE":
+        soft = f"case when list_position({order}, {soft}) < list_position({order}, 'REVIEW') then 'REVIEW' else {soft} end"
+    return f"""{_EVALUATED},
+chosen as (select *, coalesce({_case(P.OVERRIDES, "primary_label", "null")}, {ladder}) as chosen, {_case(P.OVERRIDES, "primary_label", "null")} is not null as forced from evaluated),
+acted as (select *, case when disagreement then 'REVIEW' else {soft} end as action, case when disagreement then 'disagreement' when forced then 'override' else 'threshold' end as reason from chosen),
+decided as (select *, case action when 'DELETE_WARN' then ['WARN'] when 'TIMEOUT' then ['DELETE', 'TIMEOUT'] when 'BAN' then ['DELETE', 'BAN'] else [action] end as plan from acted)"""
+
+
+_DECIDED = """ select doc_id, risk_score, primary_label, action, reason, array_to_string(plan, ',') as plan,
+  array_to_string(list_filter(plan, lambda x: x <> action), ',') as required_actions, len(list_filter(plan, lambda x: x <> 'IGNORE')) > 0 as action_required from decided"""
+
+
+def decided(spark: SparkSession, sf: str, mode: str = "ACTIVE", policy: P.Policy = LOW) -> DataFrame:
+    import dataclasses
+
+    policy = dataclasses.replace(policy, mode=mode)
+    return K.decide(evaluated(spark, sf, policy), policy)
+
+
+def _decision(mode: str):
+    def run(spark, sf):
+        x = decided(spark, sf, mode)
+        return x.select("doc_id", "risk_score", "primary_label", "action", "reason", joined("plan").alias("plan"), joined("required_actions").alias("required_actions"), "action_required")
+
+    run.__name__ = f"decision_{mode.lower()}"
+    return query(f"with {_decision_sql(mode)} {_DECIDED}")(run)
+
+
+for _mode in ("ACTIVE", "PASSIVE", "STRICT"):
+    _decision(_mode)
+
+
+@query(f"""with {_FEATURES}, rule_signals as ({_RULE_SIGNALS.format(caps_c="0.58::double", caps_s=1, caps=0.65, ratio=0.5)}),
+risk as (select doc_id, max(greatest(20.0, risk_weight) * confidence * (case severity when 1 then 0.5 else 0.8 end)) as r from rule_signals group by doc_id),
+d as (select case when coalesce(r, 0) >= 50 then 'WARN' when coalesce(r, 0) >= 40 then 'REVIEW' when coalesce(r, 0) >= 10 then 'LOG' else 'IGNORE' end as action, case when r is null then 'SAFE' else 'SPAM' end as primary_label, round(coalesce(r, 0), 4) as risk from documents left join risk using (doc_id))
+select action, primary_label, count(*)::bigint as n, round(avg(risk), 4) as mean_risk from d group by all""")
+def moderation_decision_summary(spark, sf):
+    """The flagship: texts to features, rules, risk and decisions, counted by action."""
+    policy = P.Policy().with_rules(spam__emoji={"enabled": False}, spam__repeated_chars={"enabled": False}, url__detected={"enabled": False}, url__shortener={"enabled": False}, invite__detected={"enabled": False}, evasion__unicode={"enabled": False})
+    docs = features(spark, sf)
+    signals = E.confident(E.to_signals(E.emit(docs, policy), "doc_id", policy), policy)
+    x = K.decide(K.evaluate(table(spark, sf, "documents", "doc_id"), "doc_id", signals, policy), policy)
+    return x.groupBy("action", "primary_label").agg(F.count("*").alias("n"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
+
+
+@query()
+def moderation_decisions_full(spark, sf):
+    """All rules as they are by default, addresses, invites and evasion included."""
+    policy = P.Policy()
+    signals = E.confident(E.to_signals(E.emit(features(spark, sf), policy), "doc_id", policy), policy)
+    x = K.decide(K.evaluate(table(spark, sf, "documents", "doc_id"), "doc_id", signals, policy), policy)
+    return x.select("doc_id", "risk_score", "primary_label", joined("labels").alias("labels"), "action", joined("rule_ids").alias("rule_ids"))
+
+
+_STEPS = f"""with {_decision_sql("STRICT")}, planned as (select doc_id, unnest(plan) as p, generate_subscripts(plan, 1) - 1 as nth from decided),
+steps as (select doc_id, nth * 2 as pos, case when p = 'BAN' then 'REVIEW' else p end as action, case when p not in ('LOG', 'REVIEW', 'WARN', 'DELETE', 'TIMEOUT', 'BAN') then 'SKIPPED' else 'DRY_RUN' end as status from planned
+  union all select doc_id, nth * 2 + 1, 'BAN', 'SKIPPED' from planned where p = 'BAN')"""
+
+
+@query(f"{_STEPS} select doc_id, pos::int as pos, action, status from steps")
+def action_steps(spark, sf):
+    return K.steps(decided(spark, sf, "STRICT"), "doc_id", LOW).select("doc_id", F.col("pos").cast("int").alias("pos"), "action", "status")
+
+
+@query(f"""{_STEPS} select doc_id, case when bool_and(status = 'DRY_RUN') then 'DRY_RUN' when bool_and(status = 'SKIPPED') then 'SKIPPED' else 'PARTIAL_SUCCESS' end as status,
+  coalesce(string_agg(action, ',' order by pos) filter (status = 'DRY_RUN'), '') as executed from steps group by doc_id""")
+def action_plan_status(spark, sf):
+    x = K.plan_status(K.steps(decided(spark, sf, "STRICT"), "doc_id", LOW), "doc_id")
+    return x.select("doc_id", "status", joined("executed").alias("executed"))
+
+
+# -- policies and stores ---------------------------------------------------------------------------
+
+_RECORDS = [
+    ("g1", "RULES", "GLOBAL", None, None, "1", 0, True, "2024-01-01"), ("p1", "RULES", "PLATFORM", "chat", None, "1", 5, True, "2024-01-02"),
+    ("u1", "RULES", "GUILD", "1", "chat", "1", 1, True, "2024-01-03"), ("u2", "RULES", "GUILD", "1", "chat", "2", 1, True, "2024-01-04"),
+    ("u3", "RULES", "GUILD", "2", "mail", "1", 9, True, "2024-01-05"), ("c1", "RULES", "CHANNEL", "3", None, "1", 0, True, "2024-01-01"),
+    ("c2", "RULES", "CHANNEL", "4", None, "1", 0, False, "2024-01-01"), ("x1", "DECISION", "USER", "7", None, "1", 9, True, "2024-01-09"), ("r1", "RULES", "ROLE", "mod", None, "1", 0, True, "2024-01-01"),
+]
+_RECORD_SQL = ", ".join("(" + ", ".join("null" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) for v in r) + ")" for r in _RECORDS)
+
+
+@query(f"""with records(policy_id, policy_type, scope_type, scope_id, platform, version, priority, enabled, updated_at) as (values {_RECORD_SQL}),
+ctx as (select distinct user_id, 'chat' as platform, user_id % 4 as guild, user_id % 6 as channel from events),
+chain as (select user_id, platform, 0 as rank, 'USER' as st, user_id::varchar as sid from ctx union all select user_id, platform, 1, 'ROLE', 'mod' from ctx where user_id % 11 = 0
+  union all select user_id, platform, 2, 'CHANNEL', channel::varchar from ctx union all select user_id, platform, 3, 'GUILD', guild::varchar from ctx union all select user_id, platform, 4, 'PLATFORM', platform from ctx union all select user_id, platform, 5, 'GLOBAL', null from ctx),
+m as (select c.user_id, r.policy_id, r.scope_type, row_number() over (partition by c.user_id order by rank, priority desc, updated_at desc, policy_id) as rn from chain c join records r
+  on r.scope_type = c.st and r.scope_id is not distinct from c.sid and r.policy_type = 'RULES' and r.enabled and (r.scope_type = 'GLOBAL' or r.platform is null or r.platform = c.platform))
+select user_id, policy_id, scope_type from m where rn = 1""")
+def policy_resolution(spark, sf):
+    u = table(spark, sf, "events", "user_id").distinct()
+    roles = F.when(F.col("user_id") % 11 == 0, F.array(F.lit("mod")))
+    none = F.lit(None).cast("string")
+    c = u.withColumn("platform", F.lit("chat")).withColumn("chain", P.scope_chain(F.col("user_id"), roles, F.col("user_id") % 6, F.col("user_id") % 4, none, F.col("platform")))
+    schema = "policy_id string, policy_type string, scope_type string, scope_id string, platform string, version string, priority int, enabled boolean, updated_at string"
+    records = spark.createDataFrame(_RECORDS, schema).withColumn("payload", F.lit("{}"))
+    return P.resolve(c, "user_id", records, "RULES").select("user_id", "policy_id", "scope_type")
+
+
+@query("""with r as (select user_id, event_type, event_id, value, ts, row_number() over (partition by user_id, event_type order by event_id desc) as rn, min(event_id) over (partition by user_id, event_type) as created_id from events)
+select user_id, event_type, event_id, value, created_id from r where rn = 1""")
+def event_upsert(spark, sf):
+    e = table(spark, sf, "events", "user_id", "event_type", "event_id", "value").withColumn("created_id", F.col("event_id"))
+    return S.upsert(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0"), ["user_id", "event_type"], "event_id", ["created_id"])
+
+
+@query("""with k as (select *, case when event_id % 10 = 0 then null else user_id || event_type end as k from events), n as (select *, row_number() over (partition by k order by event_id) as rn from k where event_id >= 200)
+select event_id, k from n where (k is null or rn = 1) and (k is null or k not in (select k from k where event_id < 200 and k is not null))""")
+def feedback_idempotent(spark, sf):
+    e = table(spark, sf, "events", "event_id", "user_id", "event_type").withColumn("k", F.when(F.col("event_id") % 10 != 0, F.concat("user_id", "event_type")))
+    return S.insert_absent(e.where("event_id < 200").select("event_id", "k"), e.where("event_id >= 200").select("event_id", "k"), "k", "event_id")
+
+
+@query("select event_id from events where event_id % 5 = 0 or ts + interval 10 days > timestamp '2024-01-20 00:00:00'")
+def retention_purge(spark, sf):
+    e = table(spark, sf, "events", "event_id", "ts").withColumn("until", F.when(F.col("event_id") % 5 != 0, F.col("ts").cast("timestamp") + F.expr("interval 10 days")))
+    return S.purge(e, "until", F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@query("""with c as (select n_nationkey as k, n_regionkey as revision, n_nationkey % 3 <> 0 as active from nation), s as (select n_nationkey + 2 as k, n_nationkey % 4 as expected from nation)
+select k, case when coalesce((active and revision = expected) or (not coalesce(active, false) and expected = 0), false) then 'saved' else 'conflict' end as outcome,
+  (coalesce(revision, 0) + case when coalesce((active and revision = expected) or (not coalesce(active, false) and expected = 0), false) then 1 else 0 end)::int as new_revision from s left join c using (k)""")
+def optimistic_saves(spark, sf):
+    n = table(spark, sf, "nation")
+    c = n.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("revision"), (F.col("n_nationkey") % 3 != 0).alias("active"))
+    s = n.select((F.col("n_nationkey") + 2).alias("k"), (F.col("n_nationkey") % 4).alias("expected"))
+    return S.save_versions(c, s, "k").select("k", "outcome", F.col("new_revision").cast("int").alias("new_revision"))
+
+
+@query("""select n_nationkey as k, (n_regionkey + case when n_nationkey % 2 = 0 and n_nationkey % 3 <> 0 then 1 else 0 end)::int as revision, n_nationkey % 3 <> 0 and n_nationkey % 2 <> 0 as active, n_nationkey % 2 = 0 and n_nationkey % 3 <> 0 as reset from nation""")
+def policy_reset(spark, sf):
+    n = table(spark, sf, "nation")
+    c = n.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("revision"), (F.col("n_nationkey") % 3 != 0).alias("active"))
+    x = S.reset_versions(c, c.where("k % 2 = 0"), "k")
+    return x.select("k", F.col("revision").cast("int").alias("revision"), "active", "reset")
+
+
+@query("""with f as (select event_id, case when event_id % 9 = 0 then null else user_id + event_id % 2 * 1000 end as user_id, event_type as expected from events),
+k as (select user_id, max(event_type) as actual from events group by user_id)
+select event_id, case when f.user_id is null then 'missing_reference' when actual is null then 'not_found' when expected <> actual then 'conflict' end as error from f left join k using (user_id)""")
+def reference_checks(spark, sf):
+    e = table(spark, sf, "events", "event_id", "user_id", "event_type")
+    f = e.select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("user_id") + F.col("event_id") % 2 * 1000).alias("user_id"), F.col("event_type").alias("expected"))
+    k = e.groupBy("user_id").agg(F.max("event_type").alias("actual"))
+    return S.reference_errors(f, k, "user_id", "expected", "actual").select("event_id", "error")
+
+
+@query("select count(*)::bigint as missing from documents where doc_id not in (select doc_id from labels)")
+def missing_results(spark, sf):
+    return S.missing_results(table(spark, sf, "documents", "doc_id"), table(spark, sf, "labels", "doc_id"), "doc_id").agg(F.count("*").alias("missing"))
+
+
+@query(f"""select doc_id, array_to_string(list_filter([case when length(text) > {IO.MOST_TEXT} then 'text_too_long' end, case when text is null then 'text_missing' end], lambda x: x is not null), ',') as errors from documents""")
+def message_checks(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("text", "raw_text")
+    return IO.checked(d).select("doc_id", joined("errors").alias("errors"))
+
+
+# -- curation --------------------------------------------------------------------------------------
+
+_BUCKET = f"(('0x' || substr(sha256('{D.SEED}' || chr(0) || k), 1, 16))::uhugeint % 10000)::bigint"
+
+
+@query(f"with k as (select doc_id, {_KEY} as k from documents) select doc_id, {_BUCKET} as bucket, case when {_BUCKET} < 1000 then 'validation' else 'train' end as split from k")
+def split_assignment(spark, sf):
+    key = T.simple_key(F.col("text"))
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", D.split_bucket(key).alias("bucket"), D.split_of(key).alias("split"))
+
+
+def _curated(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+    key = T.simple_key(F.col("text"))
+    d = table(spark, sf, "documents", "doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
+    mask = F.when(F.col("toxic") == 1, 32).otherwise(1).bitwiseOR(F.when(F.col("quality") == 0, 2).otherwise(0)).cast("long")
+    one = d.select(key.alias("norm"), "text", mask.alias("mask"), (F.col("doc_id") % 6).alias("severity"), D.split_of(key).alias("split"), F.col("doc_id").alias("pos"))
+    b = table(spark, sf, "benchmark")
+    two = b.select(key.alias("norm"), "text", F.lit(1).cast("long").alias("mask"), F.lit(0).cast("long").alias("severity"), F.lit("validation").alias("split"), F.col("item_id").alias("pos"))
+    return [("documents", one), ("benchmark", two)]
+
+
+_MERGED = f"""src as (
+  select {_KEY} as k, text, ((case when toxic = 1 then 32 else 1 end) | (case when quality = 0 then 2 else 0 end))::bigint as mask, doc_id % 6 as severity, 0 as rank, doc_id as pos from documents left join labels using (doc_id)
+  union all select {_KEY}, text, 1, 0, 1, item_id from benchmark),
+b as (select *, case when rank = 1 or {_BUCKET} < 1000 then 2 else 1 end as split from src),
+merged as (select k as norm, arg_min(text, rank * 10000000 + (3 - split) * 1000000 + pos) as text, bit_or(mask)::bigint as mask, max(severity)::bigint as severity, bit_or(split)::bigint as splits, min(rank)::bigint as best_rank from b group by k)"""
+
+
+@query(f"with {_MERGED.replace('(3 - split)', 'split')} select norm, sha256(text) as text_sha256, mask, severity, splits, best_rank from merged")
+def dedup_merge(spark, sf):
+    # the split is compared as a name: train comes before validation
+    return D.merge(_curated(spark, sf)).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query(f"with {_MERGED} select count(*)::bigint as n, count(*) filter (splits = 3)::bigint as in_both, count(*) filter (splits & 2 <> 0)::bigint as validation_first from merged")
+def merge_stats(spark, sf):
+    return D.merge(_curated(spark, sf)).agg(F.count("*").alias("n"), F.count_if(F.col("splits") == 3).alias("in_both"), F.count_if(F.col("splits").bitwiseAND(F.lit(2)) != 0).alias("validation_first"))
+
+
+@query(f"with {_MERGED} select norm, case when splits & 2 <> 0 then 'validation' else 'train' end as split, row_number() over (partition by splits & 2 <> 0 order by norm) as id from merged")
+def merged_splits(spark, sf):
+    return D.merged_split(D.merge(_curated(spark, sf))).select("norm", "split", "id")
+
+
+@query(f"select count(*)::bigint as n from (select distinct {_KEY} as k from documents intersect select distinct {_KEY} from benchmark)")
+def cross_split_overlap(spark, sf):
+    k = T.simple_key(F.col("text")).alias("k")
+    return D.cross_split(table(spark, sf, "documents").select(k), table(spark, sf, "benchmark").select(k), "k").agg(F.count("*").alias("n"))
+
+
+_DECODE = "case when len(list_filter([" + ", ".join(f"case when mask & {1 << i} <> 0 then '{v}' end" for i, v in enumerate(P.LABELS) if v != "SAFE") + "], lambda x: x is not null)) > 0 then list_filter([" + ", ".join(f"case when mask & {1 << i} <> 0 then '{v}' end" for i, v in enumerate(P.LABELS) if v != "SAFE") + "], lambda x: x is not null) else ['SAFE'] end"
+
+
+@query(f"""with {_MERGED}, named as (select norm, {_DECODE} as names from merged), p as (select *, list_filter({list(P.PRIORITY)}, lambda x: contains(names, x))[1] as prim from named)
+select 'rows' as kind, '' as label, count(*)::bigint as n from p union all select 'primary', prim, count(*) from p group by prim union all select 'label', x, count(*) from (select unnest(names) as x from p) group by x""")
+def dataset_audit_labels(spark, sf):
+    m = D.merge(_curated(spark, sf)).withColumn("label_names", D.decode_mask(F.col("mask")))
+    return D.audit_counts(m.withColumn("primary_label", D.primary_label(F.col("label_names"))))
+
+
+@query(f"""with l as (select lang, source, {_BUCKET} < 1000 as v from (select lang, source, {_KEY} as k from documents)), c as (select lang as topic, source as label, count(*) filter (not v) as train, count(*) filter (v) as validation from l group by all),
+dim as (select t.topic, s.label from (values ('en'), ('de'), ('xx')) t(topic), (select distinct source as label from documents) s)
+select topic, label, coalesce(train, 0)::bigint as train, coalesce(validation, 0)::bigint as validation from dim left join c using (topic, label) where coalesce(train, 0) < 20 or coalesce(validation, 0) < 3""")
+def dataset_gaps(spark, sf):
+    d = table(spark, sf, "documents", "lang", "source", "text").withColumn("v", D.split_of(T.simple_key(F.col("text"))) == "validation")
+    c = d.groupBy(F.col("lang").alias("topic"), F.col("source").alias("label")).agg(F.count_if(~F.col("v")).alias("train"), F.count_if("v").alias("validation"))
+    topics = spark.createDataFrame([("en",), ("de",), ("xx",)], "topic string")
+    dim = d.select(F.col("source").alias("label")).distinct().crossJoin(F.broadcast(topics))  # three topics
+    return D.gaps(c, dim, 20, 3)
+
+
+@query(f"""with r as (select doc_id, [('0x' || substr(md5(doc_id::varchar), 1, 1))::int % 13, ('0x' || substr(md5(doc_id::varchar), 2, 1))::int % 13] as ix from documents),
+n as (select doc_id, list_filter(list_transform(ix, lambda i: {list(P.LABELS)}[i + 1]), lambda x: x <> 'SAFE') as h, ((1 << ix[1]) | (1 << ix[2]))::bigint as mask from r),
+e as (select doc_id, mask, case when len(h) > 0 then list_distinct(h) else ['SAFE'] end as names from n)
+select doc_id, mask, array_to_string(list_filter({list(P.LABELS)}, lambda x: contains(names, x)), ',') as names, list_filter({list(P.PRIORITY)}, lambda x: contains(names, x))[1] as primary_label,
+  array_to_string(list_transform({list(P.LABELS)}, lambda x: case when contains(names, x) then '1' else '0' end), '') as vector from e""")
+def onehot_mask_roundtrip(spark, sf):
+    names = F.array(*map(F.lit, P.LABELS))
+    d = table(spark, sf, "documents", "doc_id").withColumn("raw", F.array(F.get(names, _digits(1) % 13), F.get(names, _digits(2) % 13)))
+    d = d.withColumn("mask", D.encode_mask(F.col("raw"))).withColumn("l", D.decode_mask(F.col("mask")))
+    vector = F.array_join(F.transform(D.one_hot(F.col("l")), lambda x: x.cast("int").cast("string")), "")
+    return d.select("doc_id", "mask", joined("l").alias("names"), D.primary_label(F.col("l")).alias("primary_label"), vector.alias("vector"))
+
+
+def _score(at: int) -> Column:
+    return F.round(_digits(at, 2) / 255, 4)
+
+
+_SCORES = ["toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack", "sexual_explicit"]
+_SCORE_SQL = ", ".join(f"round({_hex(1 + 2 * i, 2)} / 255.0::double, 4) * (case when {_hex(20)} < 6 then 0.1 else 1.0 end)::double as {c}" for i, c in enumerate(_SCORES))
+
+
+@query(f"""with s as (select doc_id, {_SCORE_SQL}, {_hex(21)} < 8 as family, {_hex(22)} < 8 as grouped from documents),
+p as (select *, [case when threat >= 0.5 then 'THREAT,TOXIC' end, case when sexual_explicit >= 0.5 then 'NSFW' end, case when sexual_explicit >= 0.5 and family then 'TOXIC' end, case when identity_attack >= 0.5 and grouped then 'HATE,TOXIC' end,
+  case when toxicity >= 0.7 or insult >= 0.7 or severe_toxicity >= 0.5 then 'TOXIC' end, case when obscene >= 0.7 then 'PROFANITY' end] as parts from s),
+q as (select *, list_distinct(string_split(array_to_string(list_filter(parts, lambda x: x is not null), ','), ',')) as labels from p)
+select doc_id, case when len(list_filter(parts, lambda x: x is not null)) > 0 then array_to_string(list_sort(labels), ',') when greatest({', '.join(_SCORES)}) <= 0.1 then 'SAFE' end as labels,
+  greatest(0, case when threat >= 0.5 then 5 else 0 end, case when sexual_explicit >= 0.5 then 4 else 0 end, case when identity_attack >= 0.5 and grouped then 4 else 0 end, case when toxicity >= 0.7 or insult >= 0.7 or severe_toxicity >= 0.5 then 3 else 0 end, case when obscene >= 0.7 then 1 else 0 end)::int as severity from q""")
+def score_label_mapping(spark, sf):
+    calm = F.when(_digits(20) < 6, 0.1).otherwise(1.0)
+    d = table(spark, sf, "documents", "doc_id").select("doc_id", *[(_score(1 + 2 * i) * calm).alias(c) for i, c in enumerate(_SCORES)], (_digits(21) < 8).alias("family"), (_digits(22) < 8).alias("grouped"))
+    return D.civil_labels(d).select("doc_id", joined(F.array_sort("labels")).alias("labels"), F.col("severity").cast("int").alias("severity"))
+
+
+@query("""with a as (select user_id as comment_id, min(event_id) as first, avg(value / 20 - 1) as hate_speech_score, avg((event_id % 5)::double) as violence, avg((event_id % 3)::double / 2) as genocide, avg((event_type = 'click')::int) as race, avg((event_type = 'view')::int) as gender from events group by user_id)
+select comment_id, case when hate_speech_score > 0.5 and (violence >= 2 or genocide >= 1) then 'HATE,TOXIC,THREAT' when hate_speech_score > 0.5 then 'HATE,TOXIC' when hate_speech_score < -1 then 'SAFE' end as labels,
+  array_to_string(list_filter([case when race >= 0.5 then 'race' end, case when gender >= 0.5 then 'gender' end], lambda x: x is not null), ',') as topics, round(hate_speech_score, 6) as score, first::varchar as text from a""")
+def annotator_means(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("comment_id"), F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("text"), (F.col("value") / 20 - 1).alias("hate_speech_score"), F.lit(0).alias("insult"),
+        (F.col("event_id") % 5).alias("violence"), (F.col("event_id") % 3 / 2).alias("genocide"), (F.col("event_type") == "click").alias("target_race"), (F.col("event_type") == "view").alias("target_gender"))
+    return D.annotator_labels(e).select("comment_id", joined("labels").alias("labels"), joined("topics").alias("topics"), F.round("hate_speech_score", 6).alias("score"), "text")
+
+
+def _export_rows(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text", "source").join(table(spark, sf, "labels"), "doc_id", "left")
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int")).cast("timestamp")
+    return d.select("doc_id", "text", "source", F.array().cast("array<string>").alias("injection_markers"), day(F.col("doc_id") % 60).alias("created_at"), F.when(F.col("doc_id") % 3 > 0, day(F.col("doc_id") % 90)).alias("retention_until"),
+        F.when(F.col("quality") == 1, "confirmed").when(F.col("quality") == 0, "corrected").alias("feedback_type"), F.when(F.col("toxic") == 1, "TOXIC").otherwise("SAFE").alias("primary_label"), F.col("doc_id").alias("pos"))
+
+
+_EXPORT = """from documents left join labels using (doc_id) where length(trim(text, ' ')) > 0 and source in ('src1', 'src2', 'src3', 'src4', 'src5') and doc_id % 60 >= 5 and (doc_id % 3 = 0 or doc_id % 90 > 30) and quality in (0, 1)"""
+
+
+@query(f"select doc_id, case when toxic = 1 then 'TOXIC' else 'SAFE' end as primary_label {_EXPORT}")
+def export_filter(spark, sf):
+    at = lambda s: F.lit(s).cast("timestamp")
+    return D.export(_export_rows(spark, sf), at("2024-01-31"), [f"src{i}" for i in range(1, 6)], ["confirmed", "corrected"], since=at("2024-01-06")).select("doc_id", "primary_label")
+
+
+@query(f"select doc_id, primary_label from (select *, row_number() over (partition by primary_label order by doc_id) as rn from (select doc_id, case when toxic = 1 then 'TOXIC' else 'SAFE' end as primary_label {_EXPORT})) where rn <= 7")
+def export_capped(spark, sf):
+    at = lambda s: F.lit(s).cast("timestamp")
+    return D.export(_export_rows(spark, sf), at("2024-01-31"), [f"src{i}" for i in range(1, 6)], ["confirmed", "corrected"], since=at("2024-01-06"), cap=7).select("doc_id", "primary_label")
+
+
+@query(f"""select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by sha256('{D.SEED}' || doc_id::varchar), doc_id) as rn from documents) where rn <= case lang when 'en' then 30 when 'de' then 12 when 'fr' then 5 else 0 end""")
+def quota_sample(spark, sf):
+    return D.quota_sample(table(spark, sf, "documents", "doc_id", "lang"), {"en": 30, "de": 12, "fr": 5}, "lang", "doc_id")
+
+
+@query("""select event_id, case when event_type in ('click', 'view') then event_type when value < 20 then 'real_safe' else 'real_moderated' end as source,
+  epoch_us(coalesce(least(ts + interval 500 days, ts + interval 365 days), ts + interval 90 days))::bigint as until_us from events where event_id % 2 = 0
+  union all select event_id, case when event_type in ('click', 'view') then event_type when value < 20 then 'real_safe' else 'real_moderated' end, epoch_us(ts + interval 90 days)::bigint from events where event_id % 2 = 1""")
+def source_and_retention(spark, sf):
+    e = table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    asked = F.when(F.col("event_id") % 2 == 0, F.col("t") + F.expr("interval 500 days"))
+    label = F.when(F.col("value") < 20, "SAFE").otherwise("SPAM")
+    return e.select("event_id", D.resolved_source(F.col("event_type"), label, F.lit(None).cast("string"), ["click", "view"]).alias("source"), F.unix_micros(D.retention(F.col("t"), asked)).alias("until_us"))
+
+
+# -- calibration and reports -----------------------------------------------------------------------
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, label, score, target): made-up scores that lean to the gold labels."""
+    base = table(spark, sf, "labels")
+    base = base.withColumn("doc_id", F.col("doc_id"))
+    part = lambda name, target, at: base.select(F.col("doc_id").alias("id"), F.lit(name).alias("label"), F.round((_digits(at, 2) / 255 + F.col(target)) / 2, 3).alias("score"), F.col(target).cast("long").alias("target"))
+    return part("toxic", "toxic", 1).unionByName(part("quality", "quality", 3))
+
+
+_SCORED = f"""scored as (select doc_id as id, 'toxic' as label, round(({_hex(1, 2)} / 255.0::double + toxic) / 2, 3) as score, toxic as target from labels
+  union all select doc_id, 'quality', round(({_hex(3, 2)} / 255.0::double + quality) / 2, 3), quality from labels)"""
+_F1 = "case when 2 * {tp} + {fp} + {fn} > 0 then 2 * {tp} / (2 * {tp} + {fp} + {fn})::double else 0.0 end"
+
+
+@query(f"""with {_SCORED}, c as (select label, score, sum(sum(target)) over d as tp, sum(count(*)) over d as seen, sum(sum(target)) over (partition by label) as pos from scored group by label, score window d as (partition by label order by score desc rows unbounded preceding)),
+f as (select *, {_F1.format(tp="tp", fp="(seen - tp)", fn="(pos - tp)")} as f1 from c)
+select label, score as threshold, round(tp / seen::double, 6) as precision, round(case when pos > 0 then tp / pos::double else 0.0 end, 6) as recall, round(f1, 6) as f1 from (select *, row_number() over (partition by label order by f1 desc, score desc) as rn from f) where rn = 1""")
+def threshold_best_f1(spark, sf):
+    return C.best_thresholds(scored(spark, sf))
+
+
+_GRID = [round(0.1 + 0.05 * i, 2) for i in range(18)]
+
+
+@query(f"""with {_SCORED}, g as (select unnest({_GRID})::double as t), c as (select label, t, sum(target) filter (score >= t) as a, count(*) filter (score >= t) as n, sum(target) as pos from scored, g group by all),
+f as (select label, t, pos, {_F1.format(tp="coalesce(a, 0)", fp="(n - coalesce(a, 0))", fn="(pos - coalesce(a, 0))")} as f1 from c)
+select label, case when pos = 0 then 0.5 else t end as threshold, round(case when pos = 0 then 0.0 else f1 end, 6) as f1 from (select *, row_number() over (partition by label order by f1 desc, t) as rn from f) where rn = 1""")
+def threshold_grid(spark, sf):
+    return C.grid_thresholds(scored(spark, sf), _GRID)
+
+
+@query(f"""with {_SCORED}, p as (select *, (score >= 0.5)::int as predicted from scored), e as (select label, sum(predicted * target) as tp, sum(predicted * (1 - target)) as fp, sum((1 - predicted) * target) as fn from p group by label),
+m as (select round({_F1.format(tp="sum(tp)", fp="sum(fp)", fn="sum(fn)")}, 6) as micro_f1, round(avg({_F1.format(tp="tp", fp="fp", fn="fn")}), 6) as macro_f1, round(sum(tp) / greatest(sum(tp) + sum(fp), 1)::double, 6) as precision, round(sum(tp) / greatest(sum(tp) + sum(fn), 1)::double, 6) as recall from e),
+x as (select round(avg(same::int), 6) as exact_match from (select id, bool_and(predicted = target) as same from p group by id)) select * from m, x""")
+def prf_metrics(spark, sf):
+    return C.metrics(scored(spark, sf).withColumn("predicted", (F.col("score") >= 0.5).cast("long")))
+
+
+@query(f"with {_SCORED} select label, round(least(greatest((count(*) - sum(target)) / greatest(sum(target), 1)::double, 1.0), 12.0), 6) as weight from scored group by label")
+def pos_weight(spark, sf):
+    return C.class_weights(scored(spark, sf))
+
+
+@query(f"""with {_SCORED}, p as (select *, (score >= 0.5)::int as predicted from scored where label = 'toxic'),
+r as (select count(*) as samples, sum(predicted * target) / greatest(sum(predicted), 1)::double as precision, sum(predicted * target) / greatest(sum(target), 1)::double as recall, avg((predicted <> target)::int) as rate, count(*) filter (target = 1 and score < 0.1) as severe from p)
+select samples::bigint as samples, array_to_string(list_filter([case when samples < 1000 then 'samples' end, case when precision < 0.9 then 'precision' end, case when recall < 0.85 then 'recall' end, case when rate > 0.05 then 'action_disagreement_rate' end, case when severe > 0 then 'severe_false_negatives' end], lambda x: x is not null), ',') as failures,
+  samples >= 1000 and precision >= 0.9 and recall >= 0.85 and rate <= 0.05 and severe = 0 as accepted from r""")
+def shadow_acceptance(spark, sf):
+    p = scored(spark, sf).where("label = 'toxic'").withColumn("predicted", (F.col("score") >= 0.5).cast("long"))
+    both = F.sum(F.col("predicted") * F.col("target"))
+    r = p.agg(F.count("*").alias("samples"), (both / F.greatest(F.sum("predicted"), F.lit(1))).alias("precision"), (both / F.greatest(F.sum("target"), F.lit(1))).alias("recall"), F.avg((F.col("predicted") != F.col("target")).cast("int")).alias("action_disagreement_rate"), F.count_if((F.col("target") == 1) & (F.col("score") < 0.1)).alias("severe_false_negatives"))
+    return C.acceptance(r).select("samples", joined("failures").alias("failures"), "accepted")
+
+
+@query(f"""with {_SCORED}, c as (select id, list(label order by label) filter (score >= 0.5) as picked, list(label order by score desc, label) as best from scored group by id)
+select id, array_to_string(coalesce(picked, ['SAFE']), ',') as labels, best[1] as top from c""")
+def label_selection(spark, sf):
+    x = C.chosen_labels(scored(spark, sf).select("id", "label", "score"), "id", {})
+    return x.select("id", joined("labels").alias("labels"), F.split(F.get("top_labels", F.lit(0)), ":")[0].alias("top"))
+
+
+@query("""select event_type, count(value)::bigint as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.8), 6) as p80, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by event_type""")
+def latency_percentiles(spark, sf):
+    return C.latency_report(table(spark, sf, "events", "event_type", "value"), "value", ["event_type"])
+
+
+@query("""select count(*)::bigint as n, count(*) filter (event_type <> 'error')::bigint as n_ok, round(count(*) filter (event_type <> 'error') / count(*)::double, 6) as success_rate, round(quantile_cont(value * 100, 0.8), 6) as p80, round(quantile_cont(value * 100, 0.95), 6) as p95,
+  count(*) filter (event_type <> 'error') / count(*)::double >= 0.99 and quantile_cont(value * 100, 0.8) <= 3000 and quantile_cont(value * 100, 0.95) <= 5000 as targets_met from events""")
+def load_targets(spark, sf):
+    e = table(spark, sf, "events").select(F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("error_kind"), (F.col("value") * 100).alias("latency_ms"))
+    return C.load_report(e)
+
+
+@query("select event_type as status, count(*)::bigint as n from events group by 1")
+def status_histogram(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""select i::bigint as sequence, (i % 20)::bigint as "user", (i % 5)::bigint as channel, (i % 3)::bigint as scenario, round(i * 60.0::double / 100, 6) as offset_s from range(100) r(i)""")
+def load_plan(spark, sf):
+    return C.load_plan(spark, 20, 5, 5, 3, 60.0)
+
+
+# -- media -----------------------------------------------------------------------------------------
+
+
+def packed(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", M.pack_bits(F.transform("embedding", lambda v: v > 0)).alias("h"))
+
+
+@query("""with b as (select vec_id, embedding from embeddings), k as (select vec_id as known, embedding as e from b where vec_id % 50 = 0),
+d as (select b.vec_id, known, len(list_filter(range(1, 65), lambda i: (embedding[i] > 0) <> (e[i] > 0))) as distance from b, k) select vec_id, known, distance::int as distance from d where distance <= 12""")
+def hash_hamming_match(spark, sf):
+    p = packed(spark, sf)
+    return M.hamming_join(p, "vec_id", "h", p.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "known").withColumnRenamed("h", "kh"), "known", "kh", 12)
+
+
+_LINES = [(1, "first line", 0.9), (1, "noise", 0.2), (1, "second", 0.6), (2, "x", 0.99), (3, "half sure text", 0.46), (4, "fine", 0.8), (4, "also fine", 0.7)]
+
+
+@query("with l(id, line, c) as (values " + ", ".join(f"({i}, '{t}', {c}::double)" for i, t, c in _LINES) + """), k as (select id, string_agg(line, chr(10)) as t, avg(c) as m from (select *, row_number() over () as rn from l) where c >= 0.45 group by id)
+select id::bigint as id, t as text, round(m, 6) as mean from k where m >= 0.5 and length(trim(t, ' ')) >= 3""")
+def ocr_line_filter(spark, sf):
+    lines = spark.createDataFrame([(i, n, t, c) for n, (i, t, c) in enumerate(_LINES)], "id long, pos int, text string, confidence double")
+    g = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "confidence"))).alias("l"))
+    return g.select("id", M.ocr_text(F.col("l")).alias("o")).where("o is not null").select("id", "o.text", "o.mean")
+
+
+_BOXES = [(1, "a", 0.9, 0, 0, 10, 10), (1, "a", 0.8, 1, 1, 10, 10), (1, "b", 0.7, 0, 0, 10, 10), (1, "a", 0.6, 20, 20, 30, 30), (2, "a", 0.5, 0, 0, 4, 4), (2, "a", 0.4, 2, 2, 6, 6)]
+_BOX_SQL = ", ".join(f"({i}, '{c}', {p}::double, {x1}, {y1}, {x2}, {y2})" for i, c, p, x1, y1, x2, y2 in _BOXES)
+
+
+def _boxes(spark):
+    return spark.createDataFrame([(i, c, p, *map(float, r)) for i, c, p, *r in _BOXES], "id long, cls string, confidence double, x1 double, y1 double, x2 double, y2 double")
+
+
+@query(f"""with b(id, cls, p, x1, y1, x2, y2) as (values {_BOX_SQL}), o as (select a.id, a.p as pa, b.p as pb, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as i,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as s from b a join b on a.id = b.id and a.p > b.p) select id::bigint as id, pa, pb, round(i / (s - i)::double, 6) as iou from o""")
+def box_iou(spark, sf):
+    b = _boxes(spark)
+    s = F.struct("x1", "y1", "x2", "y2")
+    x = b.select("id", F.col("confidence").alias("pa"), s.alias("a")).join(b.select("id", F.col("confidence").alias("pb"), s.alias("b")), "id").where("pa > pb")
+    return x.select("id", "pa", "pb", F.round(M.iou(F.col("a"), F.col("b")), 6).alias("iou"))
+
+
+@query()
+def nms_boxes(spark, sf):
+    g = _boxes(spark).groupBy("id").agg(F.collect_list(F.struct("cls", "confidence", "x1", "y1", "x2", "y2")).alias("b"))
+    return g.select("id", F.explode(M.suppressed(F.col("b"), 0.45)).alias("k")).select("id", "k.cls", "k.confidence")
+
+
+@query("with d(id, cls, c) as (select vec_id, ['explicit_nudity', 'casino_logo', 'casino', 'cat'][1 + vec_id % 4], round(vec_id % 100 / 100.0::double, 2) from embeddings) select id, case cls when 'explicit_nudity' then 'NSFW' else 'SCAM' end as label, c as confidence, case cls when 'explicit_nudity' then 3 when 'casino_logo' then 1 else 4 end as severity from d where (cls = 'explicit_nudity' and c >= 0.55) or (cls = 'casino_logo' and c >= 0.65) or (cls = 'casino' and c >= 0.8)")
+def detection_signals(spark, sf):
+    names = F.array(*map(F.lit, ("explicit_nudity", "casino_logo", "casino", "cat")))
+    d = table(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), F.lit(0).alias("pos"), F.get(names, (F.col("vec_id") % 4).cast("int")).alias("cls"), F.round(F.col("vec_id") % 100 / 100, 2).alias("confidence"))
+    return M.detection_signals(d, "id", {"casino": ("SCAM", 0.8)}).select("id", "label", "confidence", "severity")
+
+
+@query("""with a as (select event_id, user_id, (value * 100)::bigint as size, event_id % 1000 as w, event_id % 700 as h, count(*) over (partition by user_id) as n, sum((value * 100)::bigint) over (partition by user_id) as total from events),
+e as (select *, case when n > 60 then 'too_many' when size > 9000 then 'too_large' when total > 300000 then 'total_too_large' when w > 900 or h > 650 or w * h > 500000 then 'too_many_pixels' end as error from a)
+select event_id, error, case when error is not null then 'rejected' when event_id % 10 = 0 then 'duplicate' else 'analyzed' end as status from e""")
+def attachment_limits(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("size"), (F.col("event_id") % 1000).alias("width"), (F.col("event_id") % 700).alias("height"))
+    x = M.limits(e, "user_id", 60, 9000, 300_000, 900, 650, 500_000)
+    return x.select("event_id", "error", M.status(F.col("error"), F.col("event_id") % 10 == 0).alias("status"))
+
+
+@query()
+def image_hashes(spark, sf):
+    bits = F.transform("embedding", lambda v: F.hex(F.pmod(F.floor(v * 100).cast("int"), F.lit(256))))
+    luma = F.unhex(F.repeat(F.array_join(F.transform(bits, lambda b: F.lpad(b, 2, "0")), ""), 16))
+    return table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", M.picture_hashes(luma).alias("x")).select("vec_id", "x.*")
+
+
+# -- redaction, topics, streams --------------------------------------------------------------------
+
+
+@query()
+def redact_pii(spark, sf):
+    x = R.redact(table(spark, sf, "documents", "doc_id", "text"))
+    kinds = F.array_join(F.transform(F.map_entries("redactions"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return x.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), kinds.alias("redactions"), joined("injection_markers").alias("markers"))
+
+
+@query()
+def training_texts(spark, sf):
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2(R.training_text(F.col("text")), 256).alias("sha256"))
+
+
+def _rlike(pattern: str) -> str:
+    return "regexp_matches(coalesce(text, ''), '" + pattern.replace("'", "''") + "')"
+
+
+@query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {_rlike(p)} then '{k}' end" for k, p in R.INJECTIONS) + "], lambda x: x is not null), ',') as markers from documents")
+def injection_markers(spark, sf):
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", joined(R.injection_markers(F.coalesce("text", F.lit("")))).alias("markers"))
+
+
+#: A small neutral vocabulary, to run topic and word-list operators on the tables.
+DEMO_TOPICS = Q.TopicRules(topics={"race": [r"\bthe\b"], "family": [r"\btion\b"]}, harms={"threat": [r"\bscum\b"], "degradation": [r"\bidiot\b", r"\bclown\b"], "profanity": [r"\bpathetic\b"], "hate_action": [r"\bdisgusting\b"]}, group_context=[r"\bof\b"], counter=[r"\bpeace\b"])
+DEMO_WORDS = [("idiot", "rude"), ("clow", "mild"), ("clown", "rude"), ("path", "mild"), ("worthless", "rude")]
+
+
+@query()
+def topic_annotation(spark, sf):
+    x = Q.annotate(table(spark, sf, "documents", "doc_id", "text"), DEMO_TOPICS)
+    return x.select("doc_id", joined("topics").alias("topics"), joined("added").alias("added"), "minimum", "requires_review")
+
+
+@query(r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) as word from documents), v(head, category) as (values """ + ", ".join(f"('{a}', '{b}')" for a, b in DEMO_WORDS) + """),
+m as (select doc_id, word, category, row_number() over (partition by doc_id, word order by length(head) desc, category desc) as rn from w join v on starts_with(word, head)) select doc_id, word, category from m where rn = 1""")
+def profanity_tokens(spark, sf):
+    v = spark.createDataFrame(DEMO_WORDS, "word string, category string")
+    return Q.listed_words(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", v)
+
+
+@query()
+def rate_limit(spark, sf):
+    e = table(spark, sf, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = ST.limit_rate(e, "user_id", "ts", limit=2, window=36_000)
+    return x.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
+
+
+@query("select user_id, epoch_us(time_bucket(interval 1 day, ts))::bigint as start_us, count(*)::bigint as n from events group by all")
+def windowed_counts(spark, sf):
+    e = table(spark, sf, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = ST.windowed_counts(e, "user_id", "ts", size="1 day", slide="1 day")
+    return x.select("user_id", F.unix_micros("start").alias("start_us"), "n")
