@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LIMIT, WINDOW = 120, 60
 HISTORY, MEMORY_S = 20, 600
 MOST_PAYLOAD, MOST_ATTEMPTS = 65_536, 3
+#: How late a row of a stream may be; state goes once the watermark has passed what it remembers.
+LATE = "10 minutes"
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -57,10 +59,10 @@ def limit_rate(events: DataFrame, key: str, ts: str, limit: int = LIMIT, window:
         kept = list(state.get[0]) if state.exists else []
         out, kept = decide(pd.concat(list(parts)), kept)
         state.update((kept,))
-        state.setTimeoutDuration(window * 1000)
+        state.setTimeoutTimestamp(int(out[ts].max().timestamp() * 1000) + window * 1000)
         yield out[[key, ts, "allowed"]]
 
-    return cols.groupBy(key).applyInPandasWithState(update, schema, "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cols.withWatermark(ts, LATE).groupBy(key).applyInPandasWithState(update, schema, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def flood_rates(events: DataFrame, key: str, ts: str, text: str) -> DataFrame:
@@ -81,10 +83,10 @@ def flood_rates(events: DataFrame, key: str, ts: str, text: str) -> DataFrame:
             rows.append((k[0], at, *(sum(0 <= a <= s for a in ages) for s in (10, 60, 600)), sum(0 <= a <= 600 and h == body for a, (_, h) in zip(ages, past, strict=True))))
             past = [(t, h) for t, h in [*past, (now, body)] if now - t <= MEMORY_S][-HISTORY:]
         state.update(([json.dumps(x) for x in past],))
-        state.setTimeoutDuration(MEMORY_S * 1000)
+        state.setTimeoutTimestamp(int(rows[-1][1].timestamp() * 1000) + MEMORY_S * 1000)
         yield pd.DataFrame(rows, columns=schema.names)
 
-    return events.select(key, ts, text).groupBy(key).applyInPandasWithState(update, schema, "past array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, ts, text).withWatermark(ts, LATE).groupBy(key).applyInPandasWithState(update, schema, "past array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, key: str, ts: str, late: str = "10 minutes", size: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:

@@ -85,11 +85,10 @@ def test_limiter_in_batch_and_stream(spark, tmp_path):
     want = brute_limit(rows, 3, 60)
     assert sorted(map(tuple, ST.limit_rate(df, "user_id", "ts", 3, 60).collect())) == want
     for i in range(2):
-        df.where(F.col("event_id") // 100 == i).coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
+        df.where(F.floor(F.col("event_id") / 100) == i).coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = ST.limit_rate(stream, "user_id", "ts", 3, 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").start()
-    q.processAllAvailable()
-    q.stop()
+    q = ST.limit_rate(stream, "user_id", "ts", 3, 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert spark.table("limited").count() == len(rows)
 
 
@@ -98,9 +97,8 @@ def test_flood_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA)
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = ST.read_events(spark, f"{tmp_path}/in", df.schema)
-    q = ST.flood_rates(stream, "user_id", "ts", "body").writeStream.format("memory").queryName("flood").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
+    q = ST.flood_rates(stream, "user_id", "ts", "body").writeStream.format("memory").queryName("flood").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     want = []
     for i, (_, u, t, b) in enumerate(rows):
         past = [(x, y) for _, v, x, y in rows[:i] if v == u][-20:]
