@@ -896,3 +896,68 @@ def windowed_counts(spark, sf):
     e = table(spark, sf, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
     x = ST.windowed_counts(e, "user_id", "ts", size="1 day", slide="1 day")
     return x.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+# -- projections, statistics and templates ---------------------------------------------------------
+
+
+@query(f"with {_decision_sql('ACTIVE')} select doc_id, round(risk_score, 4) as risk, round(confidence, 6) as confidence, substr('risk ' || primary_label || ' by ' || reason, 1, 256) as reason, action = 'DELETE' as may_delete from decided")
+def response_rows(spark, sf):
+    x = decided(spark, sf)
+    may = F.array_contains(F.coalesce(P.lookup(P.BUNDLES, F.col("action")), F.array("action")), "DELETE") & (F.col("action") == "DELETE")
+    return x.select("doc_id", F.round("risk_score", 4).alias("risk"), F.round("confidence", 6).alias("confidence"), F.substring(F.concat(F.lit("risk "), "primary_label", F.lit(" by "), "reason"), 1, 256).alias("reason"), may.alias("may_delete"))
+
+
+@query(r"""select event_id, json_extract_string(props, '$.k')::bigint % 4 as attachments, json_extract_string(props, '$.k')::bigint % 4 > 0 as has_attachments, case when event_type = 'error' then null else upper(event_type) end as result from events""")
+def event_projection(spark, sf):
+    e = table(spark, sf, "events", "event_id", "event_type", "props")
+    n = F.get_json_object("props", "$.k").cast("long") % 4
+    return e.select("event_id", n.alias("attachments"), (n > 0).alias("has_attachments"), F.when(F.col("event_type") != "error", F.upper("event_type")).alias("result"))
+
+
+_TOPICS = {"article": ["the", "der", "le"], "ending": ["tion", "heit"], "none": ["qqqq"]}
+
+
+@query("select doc_id, array_to_string(list_filter([" + ", ".join("case when " + " or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f" then '{k}' end" for k, ws in _TOPICS.items()) + "], lambda x: x is not null), ',') as topics from documents")
+def topic_detection(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", joined(Q.topic_flags(F.lower(F.coalesce("text", F.lit(""))), _TOPICS)).alias("topics"))
+
+
+@query("""select doc_id, replace(text, 'the', 'https://discord.gg/x') = text as same, case when doc_id % 2 = 1 then 'INVITE,URL,SCAM' else 'INVITE,URL' end as labels, case when doc_id % 2 = 1 then 4 else 1 end as severity from documents where contains(text, 'the')""")
+def invite_labels(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text").withColumn("label", F.col("doc_id") % 2).withColumn("old", F.col("text"))
+    x = D.invites_labelled(d, "text", "label", "the", "https://discord.gg/x")
+    return x.select("doc_id", (F.col("text") == F.col("old")).alias("same"), joined("labels").alias("labels"), "severity")
+
+
+@query("""with t as (select distinct lower(a || ' ' || b || ' ' || c) as norm, min(a || ' ' || b || ' ' || c) over (partition by lower(a || ' ' || b || ' ' || c)) as text from (values ('Join'), ('come to'), ('Visit')) x(a), (select distinct r_name as b from region), (values ('now'), ('today')) z(c))
+select norm, text from t order by norm limit 20""")
+def template_augmentation(spark, sf):
+    a = spark.createDataFrame([("Join",), ("come to",), ("Visit",)], "a string")
+    c = spark.createDataFrame([("now",), ("today",)], "c string")
+    b = table(spark, sf, "region").select(F.col("r_name").alias("b")).distinct()
+    return D.augmented([a, b, c], ["a", "b", "c"], 20, lambda t: F.lower(t))
+
+
+@query("""with r as (select doc_id, case when toxic = 1 then ['TOXIC'] else ['SAFE'] end as old, case when doc_id % 4 = 0 then ['THREAT', 'TOXIC'] when doc_id % 4 = 1 then []::varchar[] end as added, doc_id % 4 = 1 as look from labels),
+n as (select *, list_sort(case when len(list_filter(list_distinct(old || coalesce(added, [])), lambda x: x <> 'SAFE')) > 0 then list_filter(list_distinct(old || coalesce(added, [])), lambda x: x <> 'SAFE') else ['SAFE'] end) as new from r)
+select count(*)::bigint as n_rows, count(*) filter (new <> old)::bigint as changed, count(*) filter (look and old[1] <> 'SAFE')::bigint as review, count(*) filter (contains(new, 'THREAT'))::bigint as threats from n""")
+def relabel_stats(spark, sf):
+    base = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.array(F.lit("TOXIC"))).otherwise(F.array(F.lit("SAFE"))).alias("labels"), F.lit(0).alias("severity"))
+    k = F.col("doc_id") % 4
+    ann = base.where("doc_id % 4 < 2").select("doc_id", F.when(k == 0, F.array(F.lit("THREAT"), F.lit("TOXIC"))).otherwise(F.array().cast("array<string>")).alias("added"), F.lit(1).alias("minimum"), (k == 1).alias("requires_review"))
+    x = D.relabel(base, ann, "doc_id")
+    return x.agg(F.count("*").alias("n_rows"), F.count_if("changed").alias("changed"), F.count_if("review").alias("review"), F.count_if(F.array_contains("new_labels", "THREAT")).alias("threats"))
+
+
+@query("""select count(*)::bigint as n_rows, 0::bigint as vector_mismatch, count(*) filter (doc_id % 7 = 0 and toxic = 1)::bigint as primary_mismatch, count(*) filter (toxic = 0 and doc_id % 2 = 1)::bigint as severity_mismatch from labels""")
+def structural_audit(spark, sf):
+    x = table(spark, sf, "labels").withColumn("names", F.when(F.col("toxic") == 1, F.array(F.lit("TOXIC"))).otherwise(F.array(F.lit("SAFE"))))
+    x = x.withColumns({"vector": D.one_hot(F.col("names")), "primary": F.when(F.col("doc_id") % 7 == 0, "SAFE").otherwise(F.get("names", F.lit(0))), "severity": F.when(F.col("toxic") == 1, 3).otherwise(F.col("doc_id") % 2)})
+    return D.structural_errors(x, "vector", "names", "primary", "severity")
+
+
+@query("select lang, count(*)::bigint as n, sum(n_chars)::bigint as n_chars from documents where lang = 'en' group by lang")
+def projected_scan(spark, sf):
+    return IO.read_corpus(spark, f"{sf}/documents.parquet", "parquet", ["lang", "n_chars"]).where("lang = 'en'").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
