@@ -29,7 +29,7 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces over so many bytes get a tree of their own.
 LONG = 512
 #: Units and pieces kept in each of the two generations of the caches.
-CACHE = 120_000
+CACHE = 200_000
 NONE = np.int64(1) << 60
 
 

@@ -10,9 +10,9 @@ documents that have rarer keys.
 * A light tile (up to LIGHT classes) yields its pairs within the size bound.
 * In a heavy tile each class is first compared with the largest class of its size band and of the
   next band only. Components of the links found so far are made; then tiles that still hold several
-  components are cut into size-banded blocks, and blocks compare their bitmaps: the bit count of the
-  difference bounds the overlap from above. Only pairs between components are kept, each in the tile
-  of its least common key.
+  components and share classes are one group, which is cut into size-banded blocks, and blocks compare
+  their bitmaps: the bit count of the difference bounds the overlap from above. Only pairs between
+  components are kept.
 * Pairs pass the bitmap bound, then the exact intersection. No pair that may link is left out.
 
 Rows: null and empty texts have no shingles and link with nothing. Fewer words than the shingle
@@ -65,38 +65,47 @@ def _least_overlap(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    """A bit for each key, in two to four bits a key; narrower bitmaps are wider ones folded."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+def _bitmap(s: np.ndarray, spread: int = 2) -> bytes:
+    """A bit for each key, in spread to 2 * spread bits a key; narrower bitmaps are wider ones folded."""
+    width = max(64, 1 << (spread * len(s) - 1).bit_length())
     bits = np.zeros(width, dtype=bool)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 class _Classes:
-    """One text for each set: those that occur once where they are read, those that occur more often
-    from a table."""
+    """One text for each set. Texts whose hash isn't in the filter copied are alone with their set and are
+    read where they are; a text for each of the other sets is in a table, with its hash null."""
 
     def __init__(self, docs: DataFrame, copied: Broadcast, table: DataFrame, k: int):
-        self.docs, self.copied, self.table, self.k = docs, copied, table, k
+        self.texts = docs.select(F.xxhash64("text").alias("t"), "text")
+        self.copied, self.table, self.k = copied, table.select(F.lit(None).cast("long").alias("t"), "text"), k
 
-    def scan(self, emit, schema: str) -> DataFrame:
-        """emit(list of (signature, set)) -> RecordBatch, over all classes."""
+    def scan(self, emit, schema: str, only: Broadcast | None = None) -> DataFrame:
+        """emit(list of sets) -> RecordBatch, over all classes; of the single ones only those whose text's
+        hash passes the filter only, where it is given."""
         k, copied = self.k, self.copied
 
-        def run(skip: bool):
-            def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    part = [(_signature(s), s) for s in _sets(batch.column(0), k) if len(s)]
-                    if skip and part:
-                        again = copied.value.mask(np.array([x[0] for x in part], dtype=np.int64).view(np.uint64))
-                        part = [x for x, y in zip(part, again, strict=True) if not y]
-                    for i in range(0, len(part), 2000):
-                        yield emit(part[i : i + 2000])
-
-            return of
-
-        return self.docs.select("text").mapInArrow(run(True), schema).unionByName(self.table.select("text").mapInArrow(run(False), schema))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t = batch.column(0)
+                if not t.null_count:
+                    t = t.to_numpy().view(np.uint64)
+                    keep = ~copied.value.mask(t)
+                    if only is not None:
+                        keep &= only.value.mask(t)
+                    batch = batch.filter(pa.array(keep))
+                part = []
+                for s in _sets(batch.column(1), k):
+                    if len(s):
+                        part.append(s)
+                        if len(part) == 2000:
+                            yield emit(part)
+                            part = []
+                if part:
+                    yield emit(part)
+
+        return self.texts.mapInArrow(run, schema).unionByName(self.table.mapInArrow(run, schema))
 
 
 def _ordered_prefix(s: np.ndarray, common: KeyFilter) -> np.ndarray:
@@ -111,33 +120,39 @@ def _flat(parts: list[np.ndarray]) -> pa.Array:
 
 
 def classes_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, sig, n): each row's set, by its signature and size; sig is null for an empty set."""
+    """(doc_id, t, sig, n): each row's set, by its signature and size; sig is null for an empty set, t is
+    the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(_signature(s) if len(s) else None, len(s)) for s in _sets(batch.column(1), k)]
+            found = [(_signature(s) if len(s) else None, len(s)) for s in _sets(batch.column(2), k)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
-                ["doc_id", "sig", "n"],
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
+                ["doc_id", "t", "sig", "n"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sig long, n long")
+    three = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
+    return three.mapInArrow(run, "doc_id long, t long, sig long, n long")
 
 
 def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> DataFrame:
     """(a, b): links between classes, enough of them to connect all that is connected."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
-    copied = send(KeyFilter.build(stage.cut(rows.where("sig is not null").groupBy("sig").count().where("count > 1").select("sig")), "sig"))
+    again = rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    copied_texts = stage.cut(rows.join(again, "sig", "left_semi").select("t").distinct())
+    copied = send(KeyFilter.build(copied_texts, "t"))
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.array([_signature(s) if len(s) else 0 for s in _sets(batch.column(0), k)], dtype=np.int64)
-            full = np.array([len(s) > 0 for s in _sets(batch.column(0), k)], dtype=bool)
-            pick = pa.array(np.flatnonzero(copied.value.mask(sig.view(np.uint64)) & full))
-            yield pa.RecordBatch.from_arrays([pa.array(sig).take(pick), batch.column(0).take(pick)], ["sig", "text"])
-
-    table = docs.select("text").mapInArrow(copies, "sig long, text string").groupBy("sig").agg(F.first("text").alias("text"))
+            batch = batch.filter(pa.array(copied.value.mask(batch.column(0).to_numpy().view(np.uint64))))
+            sets = list(_sets(batch.column(1), k))
+            pick = pa.array(np.flatnonzero([len(s) > 0 for s in sets]))
+            sig = pa.array([_signature(s) for s in sets if len(s)], pa.int64())
+            yield pa.RecordBatch.from_arrays([sig, batch.column(1).take(pick)], ["sig", "text"])
+
+    texts = docs.select(F.xxhash64("text").alias("t"), "text")
+    table = texts.mapInArrow(copies, "sig long, text string").groupBy("sig").agg(F.first("text").alias("text"))
     classes = _Classes(docs, copied, stage.cut(table), k)
 
     # keys that many classes have among their first ones go last in the order
@@ -149,17 +164,17 @@ def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> D
     shared = send(KeyFilter.build(multi.select("key"), "key"))
 
     def postings(part: list) -> pa.RecordBatch:
-        heads = [_ordered_prefix(s, common.value) for _, s in part]
+        heads = [_ordered_prefix(s, common.value) for s in part]
         heads = [h[shared.value.mask(h)] for h in heads]
         size = [len(h) for h in heads]
-        sig = np.repeat(np.array([x[0] for x in part], dtype=np.int64), size)
-        n = np.repeat(np.array([len(x[1]) for x in part], dtype=np.int32), size)
+        sig = np.repeat(np.array([_signature(s) for s in part], dtype=np.int64), size)
+        n = np.repeat(np.array([len(s) for s in part], dtype=np.int32), size)
         return pa.RecordBatch.from_arrays([_flat(heads), pa.array(sig), pa.array(n)], ["key", "sig", "n"])
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
     posts = classes.scan(postings, "key long, sig long, n int").join(multi.withColumnRenamed("count", "m"), "key")
     posts = stage.cut(posts.withColumn("band", band))
-    light, heavy = posts.where(F.col("m") <= LIGHT), posts.where(F.col("m") > LIGHT)
+    light, heavy = posts.where(F.col("m") <= LIGHT), stage.cut(posts.where(F.col("m") > LIGHT))
 
     # round 1: all pairs of light tiles; in heavy ones, each class with the largest of two bands
     member = F.sort_array(F.collect_list(F.struct("n", "sig")))
@@ -174,45 +189,51 @@ def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> D
     stars = near.join(lead, ["key", "band"]).where(fits).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
     pairs = pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stage.cut(pairs)
+    stage.drop(posts, multi)
 
     needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(heavy.select("sig")).distinct()
-    wanted = send(KeyFilter.build(stage.cut(needed), "sig"))
+    needed = stage.cut(needed)
+    wanted = send(KeyFilter.build(needed, "sig"))
+    texts_of = send(KeyFilter.build(stage.cut(rows.join(needed, "sig", "left_semi").select("t").distinct()), "t"))
 
     def contents(part: list) -> pa.RecordBatch:
-        keep = wanted.value.mask(np.array([x[0] for x in part], dtype=np.int64).view(np.uint64))
-        part = [x for x, y in zip(part, keep, strict=True) if y]
+        sig = np.array([_signature(s) for s in part], dtype=np.int64)
+        keep = np.flatnonzero(wanted.value.mask(sig.view(np.uint64))).tolist()
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([x[0] for x in part], pa.int64()),
-                pa.array([len(x[1]) for x in part], pa.int32()),
-                pa.array([_bitmap(x[1]) for x in part], pa.binary()),
-                pa.array([x[1].tobytes() for x in part], pa.binary()),
+                pa.array(sig[keep]),
+                pa.array([len(part[i]) for i in keep], pa.int32()),
+                pa.array([_bitmap(part[i]) for i in keep], pa.binary()),
+                pa.array([part[i].tobytes() for i in keep], pa.binary()),
             ],
             ["sig", "n", "bits", "keys"],
         )
 
-    sets = stage.cut(classes.scan(contents, "sig long, n int, bits binary, keys binary"))
+    sets = stage.cut(classes.scan(contents, "sig long, n int, bits binary, keys binary", texts_of))
     first = stage.cut(verify(pairs, sets))
+    stage.drop(pairs)
 
     # round 2: what heavy tiles hold of several components
     comp = components(first, stage)
     tiles = _tiles(heavy, comp, sets, stage)
-    second = stage.cut(verify(tiles.distinct(), sets))
+    second = stage.cut(verify(tiles, sets, bounded=True))
     return first.unionByName(second)
 
 
 def _keys(common: Broadcast):
     def emit(part: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_flat([_ordered_prefix(s, common.value) for _, s in part])], ["key"])
+        return pa.RecordBatch.from_arrays([_flat([_ordered_prefix(s, common.value) for s in part])], ["key"])
 
     return emit
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: by the bitmaps' bound, then exactly."""
+def verify(pairs: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) that link: by the bitmaps' bound, unless they passed one, then exactly."""
     side = lambda c, *cols: sets.select(F.col("sig").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
-    bound = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    may = bound.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
+    may = pairs
+    if not bounded:
+        bound = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+        may = bound.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
     both = may.join(side("a", "keys"), "a").join(side("b", "keys"), "b")
     return both.select("a", "b", "keys_a", "keys_b").mapInArrow(_exact, "a long, b long")
 
@@ -255,62 +276,67 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(heavy: DataFrame, comp: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
-    """(a, b): pairs of heavy tiles that may link and are in different components."""
+    """(a, b): pairs of heavy tiles that may link and are in different components, each once. Heavy tiles
+    that share classes are one group, as near copies share most of their keys; so a class is sent once a
+    group and not once a key."""
     of = comp.select(F.col("node").alias("sig"), "comp")
     rows = heavy.select("key", "sig", "n", "band").join(of, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     rows = stage.cut(rows)
+    stage.drop(heavy)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(mixed, "key")
+    rows = stage.cut(rows.join(mixed, "key"))
+    group = components(rows.select(F.col("sig").alias("a"), F.xxhash64("key").alias("b")), stage)
+    group = stage.cut(group.select(F.col("node").alias("sig"), F.col("comp").alias("g")))
+    rows = rows.select("sig", "n", "band", "comp").distinct().join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig"))
+    wide = sets.join(rows.select("sig"), "sig", "left_semi").select("sig", "keys").mapInArrow(_widen, "sig long, bits binary")
+    rows = stage.cut(rows.join(wide, "sig"))
     # blocks of about BLOCK classes of one band
-    blocks = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    around = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"))
-    keys = rows.groupBy("sig").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    rows = rows.join(around, "key").withColumn("sub", F.pmod(F.xxhash64("sig"), F.element_at("ks", F.col("band"))).cast("int"))
-    # a block meets itself, the later blocks of its band and all of the next band
+    blocks = rows.groupBy("g", "band").agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
+    around = blocks.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"), F.sum("m").alias("m"))
+    rows = rows.join(around, "g").withColumn("sub", F.pmod(F.xxhash64("sig"), F.element_at("ks", F.col("band"))).cast("int"))
+    # a block meets itself, the later blocks of its band and all of the next band; a small group is one tile
     same = "transform(sequence(0, ks[band] - 1), s -> struct(band as b1, least(s, sub) as s1, band as b2, greatest(s, sub) as s2))"
     up = "if(ks[band + 1] is null, array(), transform(sequence(0, ks[band + 1] - 1), s -> struct(band as b1, sub as s1, band + 1 as b2, s as s2)))"
     down = "if(ks[band - 1] is null, array(), transform(sequence(0, ks[band - 1] - 1), s -> struct(band - 1 as b1, s as s1, band as b2, sub as s2)))"
-    dealt = rows.select("key", "sig", "n", "comp", "band", "sub", F.expr(f"explode(concat({same}, {up}, {down})) as tile"))
-    dealt = dealt.join(sets.select("sig", "bits"), "sig").join(keys, "sig")
+    tile = f"explode(if(m <= {BLOCK}, array(struct(-1 as b1, 0 as s1, -1 as b2, 0 as s2)), concat({same}, {up}, {down}))) as tile"
+    dealt = rows.select("g", "sig", "n", "comp", "band", "sub", "bits", F.expr(tile))
     left = F.expr("band = tile.b1 and sub = tile.s1")
-    dealt = dealt.select("key", "tile", left.alias("left"), "sig", "n", "comp", "bits", "keys")
-    return dealt.groupBy("key", "tile").applyInArrow(_compare, "a long, b long")
+    dealt = dealt.select("g", "tile", left.alias("left"), "sig", "n", "comp", "bits")
+    return dealt.groupBy("g", "tile").applyInArrow(_compare, "a long, b long")
+
+
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of more bits, whose bound is close enough for whole tiles."""
+    for batch in batches:
+        bits = [_bitmap(np.frombuffer(x, dtype=np.uint64), 8) for x in batch.column("keys").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(bits, pa.binary())], ["sig", "bits"])
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    key = table.column("key")[0].as_py()
     tile = table.column("tile")[0].as_py()
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
     n = table.column("n").to_numpy().astype(np.int64)
     sig, comp = table.column("sig").to_numpy(), table.column("comp").to_numpy()
-    raw = [np.frombuffer(x, dtype=np.uint64)[None] for x in table.column("bits").to_pylist()]
-    words = min(x.shape[1] for x in raw)
-    bits = np.concatenate([_fold(x, words) for x in raw])
     left = table.column("left").to_numpy()
     alone = (tile["b1"], tile["s1"]) == (tile["b2"], tile["s2"])
-    xs = np.arange(len(sig)) if alone else np.flatnonzero(left)
-    ys = xs if alone else np.flatnonzero(~left)
-    found = []
-    for i in xs:
-        at = ys[ys > i] if alone else ys
+    raw = [np.frombuffer(x, dtype=np.uint64)[None] for x in table.column("bits").to_pylist()]
+    words = np.array([x.shape[1] for x in raw])
+    found, width, bits, begin = [], 0, None, 0
+    for i in range(len(sig)):
+        if words[i] != width:  # rows as wide, and the next wider ones folded; wider ones still are too large
+            width, begin = int(words[i]), i
+            end = int(np.searchsorted(words, 2 * width, side="right"))
+            bits = np.concatenate([_fold(x, width) for x in raw[i:end]])
+        at = np.arange(i + 1, np.searchsorted(n, n[i] * DEN // NUM, side="right"))
         at = at[comp[at] != comp[i]]
+        if not alone:
+            at = at[left[at] != left[i]]
         if len(at):
-            differ = np.bitwise_count(bits[i] ^ bits[at]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(bits[i - begin] ^ bits[at - begin]).sum(axis=1, dtype=np.int64)
             at = at[_may_link(differ, n[i] + n[at])]
             found.append(np.stack([np.full(len(at), i), at]))
     pair = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-    if pair.shape[1]:
-        # a pair belongs to the tile of its least common key
-        lists = [np.asarray(x, dtype=np.int64) for x in table.column("keys").to_pylist()]
-        lower = [x[x < key] for x in lists]
-        names = np.unique(np.concatenate(lower)) if lower else np.empty(0, dtype=np.int64)
-        has = np.zeros((len(sig), len(names) + 1), dtype=bool)
-        for i, x in enumerate(lower):
-            has[i, np.searchsorted(names, x)] = True
-        has = np.packbits(has, axis=1)
-        keep = np.ones(pair.shape[1], dtype=bool)
-        for part in np.array_split(np.arange(pair.shape[1]), pair.shape[1] // 20000 + 1):
-            keep[part] = ~(has[pair[0, part]] & has[pair[1, part]]).any(axis=1)
-        pair = pair[:, keep]
     a, b = sig[pair[0]], sig[pair[1]]
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts are worked on in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -56,7 +56,7 @@ class Roller:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = max(n, SLICE_BYTES + 4096)
+            size = max(n, SLICE_BYTES + 65536)
             up = np.full(size, self.base, dtype=U64)
             down = np.full(size, self.inverse, dtype=U64)
             up[0] = down[0] = 1

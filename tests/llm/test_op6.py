@@ -28,7 +28,7 @@ def texts():
 
 def test_matches_the_library(reference, monkeypatch):
     want = [reference.encode_ordinary(t) for t in texts()]
-    for cache in (120_000, 3):
+    for cache in (200_000, 3):
         monkeypatch.setattr(bpe, "CACHE", cache)
         enc = Encoder(read_ranks(rank_path()), public_tokenizers.PATTERN)
         for _ in range(2):
