@@ -191,35 +191,44 @@ def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> D
     pairs = stage.cut(pairs)
     stage.drop(posts, multi)
 
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(heavy.select("sig")).distinct()
-    needed = stage.cut(needed)
-    wanted = send(KeyFilter.build(needed, "sig"))
-    texts_of = send(KeyFilter.build(stage.cut(rows.join(needed, "sig", "left_semi").select("t").distinct()), "t"))
-
-    def contents(part: list) -> pa.RecordBatch:
-        sig = np.array([_signature(s) for s in part], dtype=np.int64)
-        keep = np.flatnonzero(wanted.value.mask(sig.view(np.uint64))).tolist()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(sig[keep]),
-                pa.array([len(part[i]) for i in keep], pa.int32()),
-                pa.array([_bitmap(part[i]) for i in keep], pa.binary()),
-                pa.array([part[i].tobytes() for i in keep], pa.binary()),
-            ],
-            ["sig", "n", "bits", "keys"],
-        )
-
-    sets = stage.cut(classes.scan(contents, "sig long, n int, bits binary, keys binary", texts_of))
-    first = stage.cut(verify(pairs, sets))
-    stage.drop(pairs)
+    def fetch(sigs: DataFrame, content, name: str) -> DataFrame:
+        """(sig, n, name): the content of the classes' sets, from the texts that hold them."""
+        sigs = stage.cut(sigs.distinct())
+        wanted = send(KeyFilter.build(sigs, "sig"))
+        texts_of = send(KeyFilter.build(stage.cut(rows.join(sigs, "sig", "left_semi").select("t").distinct()), "t"))
+
+        def contents(part: list) -> pa.RecordBatch:
+            sig = np.array([_signature(s) for s in part], dtype=np.int64)
+            keep = np.flatnonzero(wanted.value.mask(sig.view(np.uint64))).tolist()
+            made = [pa.array(sig[keep]), pa.array([len(part[i]) for i in keep], pa.int32()), pa.array([content(part[i]) for i in keep], pa.binary())]
+            return pa.RecordBatch.from_arrays(made, ["sig", "n", name])
+
+        return stage.cut(classes.scan(contents, f"sig long, n int, {name} binary", texts_of))
+
+    def exact(may: DataFrame) -> DataFrame:
+        """The pairs that link, by the intersection of their sets."""
+        may = stage.cut(may)
+        keys = fetch(_both(may), lambda s: s.tobytes(), "keys")
+        both = may.join(keys.select(F.col("sig").alias("a"), F.col("keys").alias("keys_a")), "a")
+        both = both.join(keys.select(F.col("sig").alias("b"), F.col("keys").alias("keys_b")), "b")
+        out = stage.cut(both.select("a", "b", "keys_a", "keys_b").mapInArrow(_exact, "a long, b long"))
+        stage.drop(keys, may)
+        return out
+
+    bits = fetch(_both(pairs), _bitmap, "bits")
+    first = exact(_may_pairs(pairs, bits))
+    stage.drop(pairs, bits)
 
     # round 2: what heavy tiles hold of several components
     comp = components(first, stage)
-    tiles = _tiles(heavy, comp, sets, stage)
-    second = stage.cut(verify(tiles, sets, bounded=True))
+    second = exact(_tiles(heavy, comp, lambda sigs: fetch(sigs, lambda s: _bitmap(s, 8), "bits").drop("n"), stage))
     return first.unionByName(second)
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+
+
 def _keys(common: Broadcast):
     def emit(part: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([_flat([_ordered_prefix(s, common.value) for s in part])], ["key"])
@@ -227,15 +236,11 @@ def _keys(common: Broadcast):
     return emit
 
 
-def verify(pairs: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
-    """The pairs (a, b) that link: by the bitmaps' bound, unless they passed one, then exactly."""
-    side = lambda c, *cols: sets.select(F.col("sig").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
-    may = pairs
-    if not bounded:
-        bound = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-        may = bound.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
-    both = may.join(side("a", "keys"), "a").join(side("b", "keys"), "b")
-    return both.select("a", "b", "keys_a", "keys_b").mapInArrow(_exact, "a long, b long")
+def _may_pairs(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bitmaps' bound lets through."""
+    side = lambda c: bits.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -275,7 +280,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tiles(heavy: DataFrame, comp: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
+def _tiles(heavy: DataFrame, comp: DataFrame, wide_of, stage: Stage) -> DataFrame:
     """(a, b): pairs of heavy tiles that may link and are in different components, each once. Heavy tiles
     that share classes are one group, as near copies share most of their keys; so a class is sent once a
     group and not once a key."""
@@ -288,8 +293,8 @@ def _tiles(heavy: DataFrame, comp: DataFrame, sets: DataFrame, stage: Stage) ->
     group = components(rows.select(F.col("sig").alias("a"), F.xxhash64("key").alias("b")), stage)
     group = stage.cut(group.select(F.col("node").alias("sig"), F.col("comp").alias("g")))
     rows = rows.select("sig", "n", "band", "comp").distinct().join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig"))
-    wide = sets.join(rows.select("sig"), "sig", "left_semi").select("sig", "keys").mapInArrow(_widen, "sig long, bits binary")
-    rows = stage.cut(rows.join(wide, "sig"))
+    rows = stage.cut(rows)
+    rows = stage.cut(rows.join(wide_of(rows.select("sig")), "sig"))
     # blocks of about BLOCK classes of one band
     blocks = rows.groupBy("g", "band").agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
     around = blocks.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"), F.sum("m").alias("m"))
@@ -305,13 +310,6 @@ def _tiles(heavy: DataFrame, comp: DataFrame, sets: DataFrame, stage: Stage) ->
     return dealt.groupBy("g", "tile").applyInArrow(_compare, "a long, b long")
 
 
-def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of more bits, whose bound is close enough for whole tiles."""
-    for batch in batches:
-        bits = [_bitmap(np.frombuffer(x, dtype=np.uint64), 8) for x in batch.column("keys").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(bits, pa.binary())], ["sig", "bits"])
-
-
 def _compare(table: pa.Table) -> pa.Table:
     tile = table.column("tile")[0].as_py()
     order = np.argsort(table.column("n").to_numpy(), kind="stable")
