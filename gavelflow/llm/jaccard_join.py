@@ -8,12 +8,12 @@ it only moves work, never results), so passages that many documents share open n
 documents that have rarer keys.
 
 * A light tile (up to LIGHT classes) yields its pairs within the size bound.
-* In a heavy tile each class is first compared with the largest class of its size band and of the
-  next band only. Components of the links found so far are made; then tiles that still hold several
-  components and share classes are one group, which is cut into size-banded blocks, and blocks compare
-  their bitmaps: the bit count of the difference bounds the overlap from above. Only pairs between
-  components are kept.
-* Pairs pass the bitmap bound, then the exact intersection. No pair that may link is left out.
+* Heavy tiles that share classes are one group, which is cut into size-banded blocks; blocks compare all
+  their pairs within the size bound. A pair of one group is left to the group alone, so each link is
+  counted once. A group's links may be quadratic in number: they are added up for each class where they
+  are found, and only as many are handed on as connect what they connect.
+* Pairs pass the bitmap bound (the bit count of the difference bounds the overlap from above), then the
+  exact intersection. No pair that may link is left out.
 
 Rows: null and empty texts have no shingles and link with nothing. Fewer words than the shingle
 length are one shingle. Rows with equal text link whatever their ids; a null doc_id counts last for
@@ -38,6 +38,7 @@ SHINGLE = 5
 NUM, DEN = 80, 100  # link when DEN * intersection >= NUM * union
 LIGHT = 32
 BLOCK = 512
+BLOCK_KEYS = 1 << 20
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -135,8 +136,9 @@ def classes_of(docs: DataFrame, k: int) -> DataFrame:
     return three.mapInArrow(run, "doc_id long, t long, sig long, n long")
 
 
-def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> DataFrame:
-    """(a, b): links between classes, enough of them to connect all that is connected."""
+def links(docs: DataFrame, rows: DataFrame, copies_of: DataFrame, stage: Stage, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between classes, enough of them to connect all that is connected; and (sig, w): in how
+    many rows of other classes, by the copies of copies_of, each class has links, of all of them."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     again = rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
@@ -176,20 +178,24 @@ def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> D
     posts = stage.cut(posts.withColumn("band", band))
     light, heavy = posts.where(F.col("m") <= LIGHT), stage.cut(posts.where(F.col("m") > LIGHT))
 
-    # round 1: all pairs of light tiles; in heavy ones, each class with the largest of two bands
+    # heavy tiles that share classes are one group
+    group = components(heavy.select(F.col("sig").alias("a"), F.xxhash64("key").alias("b")), stage)
+    group = group.select(F.col("node").alias("sig"), F.col("comp").alias("g"))
+    grouped = heavy.select("sig", "n", "band").distinct().join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig"))
+    grouped = stage.cut(grouped)
+
+    # all pairs of light tiles, but for those of one group
     member = F.sort_array(F.collect_list(F.struct("n", "sig")))
-    fits = "x.n * {d} >= y.n * {n} and x.sig <> y.sig".format(d=DEN, n=NUM)
     inner = f"transform(filter(slice(s, i + 1, size(s)), x -> x.n * {NUM} <= s[i - 1].n * {DEN} and x.sig <> s[i - 1].sig), x -> struct(s[i - 1].sig as a, x.sig as b))"
     pairs = (
         light.groupBy("key").agg(member.alias("s")).where("size(s) > 1")
         .selectExpr(f"explode(flatten(transform(sequence(1, size(s) - 1), i -> {inner}))) as p").select("p.a", "p.b")
     )
-    lead = heavy.groupBy("key", "band").agg(F.max(F.struct("n", "sig")).alias("y"))
-    near = heavy.select("key", F.struct("n", "sig").alias("x"), F.explode(F.expr("array(band, band + 1)")).alias("band"))
-    stars = near.join(lead, ["key", "band"]).where(fits).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
-    pairs = pairs.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stage.cut(pairs)
-    stage.drop(posts, multi)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: grouped.select(F.col("sig").alias(c), F.col("g").alias(f"g_{c}"))
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    pairs = stage.cut(pairs.where("g_a is null or g_b is null or g_a <> g_b").select("a", "b"))
+    stage.drop(posts, multi, heavy)
 
     def fetch(sigs: DataFrame, content, name: str) -> DataFrame:
         """(sig, n, name): the content of the classes' sets, from the texts that hold them."""
@@ -218,11 +224,15 @@ def links(docs: DataFrame, rows: DataFrame, stage: Stage, k: int = SHINGLE) -> D
     bits = fetch(_both(pairs), _bitmap, "bits")
     first = exact(_may_pairs(pairs, bits))
     stage.drop(pairs, bits)
+    keys = fetch(grouped.select("sig"), lambda s: s.tobytes(), "keys").drop("n")
+    second = stage.cut(_tiles(grouped.join(copies_of, "sig").join(keys, "sig"), stage))
+    stage.drop(grouped)
 
-    # round 2: what heavy tiles hold of several components
-    comp = components(first, stage)
-    second = exact(_tiles(heavy, comp, lambda sigs: fetch(sigs, lambda s: _bitmap(s, 8), "bits").drop("n"), stage))
-    return first.unionByName(second)
+    ends = first.union(first.select("b", "a")).toDF("sig", "other")
+    counted = ends.join(copies_of.withColumnRenamed("sig", "other"), "other").select("sig", F.col("copies").alias("w"))
+    counted = counted.unionByName(second.where("b is null").select(F.col("a").alias("sig"), "w"))
+    edges = first.unionByName(second.where("b is not null").select("a", "b"))
+    return edges, counted.groupBy("sig").agg(F.sum("w").alias("w"))
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -280,88 +290,111 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tiles(heavy: DataFrame, comp: DataFrame, wide_of, stage: Stage) -> DataFrame:
-    """(a, b): pairs of heavy tiles that may link and are in different components, each once. Heavy tiles
-    that share classes are one group, as near copies share most of their keys; so a class is sent once a
-    group and not once a key."""
-    of = comp.select(F.col("node").alias("sig"), "comp")
-    rows = heavy.select("key", "sig", "n", "band").join(of, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    rows = stage.cut(rows)
-    stage.drop(heavy)
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = stage.cut(rows.join(mixed, "key"))
-    group = components(rows.select(F.col("sig").alias("a"), F.xxhash64("key").alias("b")), stage)
-    group = stage.cut(group.select(F.col("node").alias("sig"), F.col("comp").alias("g")))
-    rows = rows.select("sig", "n", "band", "comp").distinct().join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig"))
+def _tiles(rows: DataFrame, stage: Stage) -> DataFrame:
+    """Of classes in groups (sig, n, band, g, copies, keys): what _compare makes of each tile. A class is sent
+    once for each block that its own one meets and not once a key, as near copies share most of their keys."""
     rows = stage.cut(rows)
-    rows = stage.cut(rows.join(wide_of(rows.select("sig")), "sig"))
-    # blocks of about BLOCK classes of one band
-    blocks = rows.groupBy("g", "band").agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
-    around = blocks.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"), F.sum("m").alias("m"))
+    # blocks of one band, of about BLOCK classes and BLOCK_KEYS keys at most
+    need = lambda: F.ceil(F.greatest(F.col("m") / BLOCK, F.col("keys") / BLOCK_KEYS)).cast("int")
+    blocks = rows.groupBy("g", "band").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("keys")).withColumn("k", need())
+    around = blocks.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"), F.sum("m").alias("m"), F.sum("keys").alias("keys"))
+    around = around.select("g", "ks", (need() == 1).alias("small"))
     rows = rows.join(around, "g").withColumn("sub", F.pmod(F.xxhash64("sig"), F.element_at("ks", F.col("band"))).cast("int"))
-    # a block meets itself, the later blocks of its band and all of the next band; a small group is one tile
+    # a block meets itself, the other blocks of its band and all of the next band; a small group is one tile
     same = "transform(sequence(0, ks[band] - 1), s -> struct(band as b1, least(s, sub) as s1, band as b2, greatest(s, sub) as s2))"
     up = "if(ks[band + 1] is null, array(), transform(sequence(0, ks[band + 1] - 1), s -> struct(band as b1, sub as s1, band + 1 as b2, s as s2)))"
     down = "if(ks[band - 1] is null, array(), transform(sequence(0, ks[band - 1] - 1), s -> struct(band - 1 as b1, s as s1, band as b2, sub as s2)))"
-    tile = f"explode(if(m <= {BLOCK}, array(struct(-1 as b1, 0 as s1, -1 as b2, 0 as s2)), concat({same}, {up}, {down}))) as tile"
-    dealt = rows.select("g", "sig", "n", "comp", "band", "sub", "bits", F.expr(tile))
+    tile = f"explode(if(small, array(struct(-1 as b1, 0 as s1, -1 as b2, 0 as s2)), concat({same}, {up}, {down}))) as tile"
+    dealt = rows.select("g", "sig", "n", "copies", "band", "sub", "keys", F.expr(tile))
     left = F.expr("band = tile.b1 and sub = tile.s1")
-    dealt = dealt.select("g", "tile", left.alias("left"), "sig", "n", "comp", "bits")
-    return dealt.groupBy("g", "tile").applyInArrow(_compare, "a long, b long")
+    dealt = dealt.select("g", "tile", left.alias("left"), "sig", "n", "copies", "keys")
+    return dealt.groupBy("g", "tile").applyInArrow(_compare, "a long, b long, w long")
 
 
 def _compare(table: pa.Table) -> pa.Table:
+    """(a, null, w): in how many rows of other classes class a has links here; (a, b, 0): links that connect
+    what all links here connect."""
     tile = table.column("tile")[0].as_py()
     order = np.argsort(table.column("n").to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     n = table.column("n").to_numpy().astype(np.int64)
-    sig, comp = table.column("sig").to_numpy(), table.column("comp").to_numpy()
+    sig, copies = table.column("sig").to_numpy(), table.column("copies").to_numpy()
     left = table.column("left").to_numpy()
     alone = (tile["b1"], tile["s1"]) == (tile["b2"], tile["s2"])
-    raw = [np.frombuffer(x, dtype=np.uint64)[None] for x in table.column("bits").to_pylist()]
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    raw = [np.frombuffer(_bitmap(x, 8), dtype=np.uint64)[None] for x in sets]
+    offs = np.concatenate([[0], np.cumsum(n)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(ids), dtype=bool)
     words = np.array([x.shape[1] for x in raw])
-    found, width, bits, begin = [], 0, None, 0
+    w, comp, edges = np.zeros(len(sig), dtype=np.int64), np.arange(len(sig)), []
+    width, bits, begin = 0, None, 0
     for i in range(len(sig)):
         if words[i] != width:  # rows as wide, and the next wider ones folded; wider ones still are too large
             width, begin = int(words[i]), i
             end = int(np.searchsorted(words, 2 * width, side="right"))
             bits = np.concatenate([_fold(x, width) for x in raw[i:end]])
         at = np.arange(i + 1, np.searchsorted(n, n[i] * DEN // NUM, side="right"))
-        at = at[comp[at] != comp[i]]
         if not alone:
             at = at[left[at] != left[i]]
         if len(at):
             differ = np.bitwise_count(bits[i - begin] ^ bits[at - begin]).sum(axis=1, dtype=np.int64)
             at = at[_may_link(differ, n[i] + n[at])]
-            found.append(np.stack([np.full(len(at), i), at]))
-    pair = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-    a, b = sig[pair[0]], sig[pair[1]]
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        if len(at):
+            mine = ids[offs[i] : offs[i + 1]]
+            marked[mine] = True
+            start = np.cumsum(n[at]) - n[at]
+            theirs = ids[np.repeat(offs[at] - start, n[at]) + np.arange(n[at].sum())]
+            both = np.add.reduceat(marked[theirs], start, dtype=np.int64)
+            marked[mine] = False
+            at = at[DEN * both >= NUM * (n[i] + n[at] - both)]
+            w[i] += copies[at].sum()
+            w[at] += copies[i]
+            new, first = np.unique(comp[at], return_index=True)
+            for c, j in zip(new.tolist(), at[first].tolist(), strict=True):
+                if c != comp[i]:
+                    comp[comp == c] = comp[i]
+                    edges.append((i, j))
+    some = np.flatnonzero(w)
+    pair = np.array(edges, dtype=np.int64).reshape(-1, 2)
+    a, b = sig[pair[:, 0]], sig[pair[:, 1]]
+    return pa.table({
+        "a": pa.array(np.concatenate([sig[some], np.minimum(a, b)])),
+        "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(np.maximum(a, b))]),
+        "w": pa.array(np.concatenate([w[some], np.zeros(len(pair), dtype=np.int64)])),
+    })
 
 
 def join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row; class_id, the signature of its set; and same_set, the
-    number of other rows with the same set."""
+    """doc_id, n_shingles and component_id of each row; class_id, the signature of its set; same_set, the
+    number of other rows with the same set; and n_links, the number of other rows that it links with, those
+    of the same set among them."""
     with Stage(docs.sparkSession) as stage:
         rows = stage.cut(classes_of(docs, k), keep=True)
-        found = components(links(docs, rows, stage, k), stage)
-        return _with_components(rows, stage.cut(found, keep=True))
+        copies = stage.cut(rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("copies")))
+        edges, counted = links(docs, rows, copies, stage, k)
+        counted = stage.cut(counted, keep=True)
+        found = components(edges, stage)
+        return _with_components(rows, stage.cut(found, keep=True), counted)
 
 
-def _with_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
+def _with_components(rows: DataFrame, comp: DataFrame, counted: DataFrame) -> DataFrame:
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = classes.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "comp").select("sig", "component_id", (F.col("copies") - 1).alias("same_set"))
+    same = F.col("copies") - 1
+    classes = classes.join(least, "comp").join(counted, "sig", "left")
+    classes = classes.select("sig", "component_id", same.alias("same_set"), (same + F.coalesce("w", F.lit(0))).alias("n_links"))
     return rows.join(classes, "sig", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("sig").alias("class_id"),
         F.coalesce("same_set", F.lit(0)).alias("same_set"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id and same_set of all documents."""
+    """doc_id, n_shingles, component_id, class_id, same_set and n_links of all documents."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

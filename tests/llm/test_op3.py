@@ -65,5 +65,20 @@ def test_matches_brute_force(spark, make_docs, monkeypatch, seed, light, block):
     assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got], key=str) == brute(rows)
 
 
+@pytest.mark.parametrize(("light", "block"), [(32, 512), (2, 4)])
+def test_every_link_is_counted(spark, make_docs, monkeypatch, light, block):
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = corpus(4)
+    base = [f"k{i}" for i in range(60)]
+    rows += [(2000 + i, " ".join([*base, f"v{i}"])) for i in range(50)]  # near variants, no identical copy
+    got = op3_jaccard_join(spark, make_docs([(d, t, "en", "s") for d, t in rows])).collect()
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(d, sum(linked(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, (d, _) in enumerate(rows)]
+    assert sorted([(x.doc_id, x.n_links) for x in got], key=str) == sorted(want, key=str)
+    assert {(x.same_set, x.n_links) for x in got if (x.doc_id or 0) >= 2000} == {(0, 49)}
+
+
 def test_empty_table(spark, make_docs):
     assert op3_jaccard_join(spark, make_docs([])).collect() == []
