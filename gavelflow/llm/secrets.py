@@ -2,8 +2,8 @@
 
 Base spans, leftmost and non-overlapping within a kind: assign (a keyword, : or =, and a value of 8 or
 more characters), access (AKIA and capitals or digits, 16 or more characters), hex (32 or more
-characters). The field's spans have the kind crf; those that touch a base span are left out, as the
-base one stays. Spans are in code points, ends exclusive.
+characters). The field's spans have the kind crf and may overlap base ones, which stay as they are; only
+those that base spans cover in full are left out, as they add nothing. Spans are in code points, ends exclusive.
 
 Rows: null counts as empty and has no spans. Whole texts are scanned. Repeated rows get equal spans.
 Other columns are ignored by op4, and kept by redact.
@@ -66,6 +66,14 @@ def _crf_spans(model: Crf, texts: pa.Array) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
+def _covered(start: int, end: int, spans: list[Span]) -> bool:
+    """Whether spans, which are sorted by start, cover all from start to end."""
+    for _, s, e in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def scan(texts: pa.Array, model: Crf) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
     maybe = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False).to_numpy(zero_copy_only=False)
@@ -81,7 +89,7 @@ def scan(texts: pa.Array, model: Crf) -> list[tuple[list[Span], list[Span]]]:
         raw = text.encode()
         for s, e in tagged.get(i, ()):
             s, e = len(raw[:s].decode(errors="replace")), len(raw[:e].decode(errors="replace"))
-            if all(e <= x or s >= y for _, x, y in base):
+            if not _covered(s, e, base):
                 more.append(("crf", s, e))
         order = (*KINDS, "crf")
         out.append((base, sorted(base + more, key=lambda s: (s[1], order.index(s[0])))))

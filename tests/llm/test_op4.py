@@ -4,8 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from gavelflow.llm import crf
+from gavelflow.llm import crf, secrets
 from gavelflow.llm.secrets import op4_secret_scans, redact
 
 HEX40 = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
@@ -62,6 +63,19 @@ def test_redaction(spark, make_docs):
     assert not any(HEX40 in (x.text or "") for x in rows.values())
 
 
+def test_spans_beyond_base_ones_stay(monkeypatch):
+    texts = ["x password: Summer2024!x9$Qz7 y", "token: ABCD1234 EFGH5678 z", f"id Zk9_{HEX40[:32]}Qz7 end", f"token = {HEX40} end"]
+    tails = ["Summer2024!x9$Qz7", "ABCD1234 EFGH5678", f"Zk9_{HEX40[:32]}Qz7", HEX40]
+    found = {i: [(t.index(x), t.index(x) + len(x))] for i, (t, x) in enumerate(zip(texts, tails, strict=True))}
+    monkeypatch.setattr(secrets, "_crf_spans", lambda model, texts: found)
+    got = secrets.scan(pa.array(texts), None)
+    assert [base for base, _ in got] == [secrets.base_spans(t) for t in texts]
+    assert all(set(base) <= set(spans) for base, spans in got)
+    out = [secrets.redacted(t, spans) for t, (_, spans) in zip(texts, got, strict=True)]
+    assert out == ["x [SECRET] y", "[SECRET] z", "id [SECRET] end", "[SECRET] end"]
+    assert not any(s[0] == "crf" for s in got[3][1])  # a base span covers it
+
+
 def test_viterbi_is_the_best_sequence():
     model = crf.trained()
     r = random.Random(5)
