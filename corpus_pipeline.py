@@ -25,15 +25,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest doc_id. Of several rows
-    with that id one stays. Documents without words, and null ids without links, all stay."""
-    t = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    rows = jaccard_join.join(docs.select("doc_id", "text"))
-    drop = rows.where("n_shingles > 0 and (doc_id <> component_id or (doc_id is null and component_id is not null))")
-    drop = drop.select(F.col("doc_id").alias("_id")).distinct()
-    # rows that share an id: only the first text of them can stand for its group
-    out = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return out.withColumn("_t", t).dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    """One row of each group of linked rows: the one with the smallest doc_id, nulls last, and of several texts
+    with that id the one whose hash is least; rows equal in both are one. Other groups' rows stay, whatever
+    ids they share or lack, and so do all rows without words."""
+    rows = jaccard_join.clusters(docs.select("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("t").alias("_k"))
+    first = rows.where("cluster is not null").groupBy("cluster").agg(F.min(rank).alias("x")).select("x._id", "x._k")
+    wordless = rows.where("cluster is null").select(F.col("t").alias("_k")).distinct()
+    hashed = docs.withColumn("_t", F.xxhash64("text"))
+    out = hashed.join(first, (F.col("_t") == F.col("_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    out = out.dropDuplicates(["doc_id", "_t"]).unionByName(hashed.join(wordless, F.col("_t") == F.col("_k"), "left_semi"))
+    return out.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

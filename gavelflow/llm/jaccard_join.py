@@ -365,17 +365,29 @@ def _compare(table: pa.Table) -> pa.Table:
     })
 
 
-def join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row; class_id, the signature of its set; same_set, the
-    number of other rows with the same set; and n_links, the number of other rows that it links with, those
-    of the same set among them."""
+def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's class, the components of classes and the links of each class."""
     with Stage(docs.sparkSession) as stage:
         rows = stage.cut(classes_of(docs, k), keep=True)
         copies = stage.cut(rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("copies")))
         edges, counted = links(docs, rows, copies, stage, k)
         counted = stage.cut(counted, keep=True)
-        found = components(edges, stage)
-        return _with_components(rows, stage.cut(found, keep=True), counted)
+        return rows, stage.cut(components(edges, stage), keep=True), counted
+
+
+def join(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row; class_id, the signature of its set; same_set, the
+    number of other rows with the same set; and n_links, the number of other rows that it links with, those
+    of the same set among them."""
+    return _with_components(*_linked(docs, k))
+
+
+def clusters(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, t (the text's xxhash64) and cluster of each row: rows are in one cluster if links connect them,
+    whatever their ids; it is null for a text without words."""
+    rows, comp, _ = _linked(docs, k)
+    rows = rows.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left")
+    return rows.select("doc_id", "t", F.coalesce("comp", "sig").alias("cluster"))
 
 
 def _with_components(rows: DataFrame, comp: DataFrame, counted: DataFrame) -> DataFrame:

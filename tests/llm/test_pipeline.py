@@ -60,5 +60,17 @@ def test_stages(spark, make_docs):
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_near_duplicates_go_by_row(spark, make_docs):
+    r = random.Random(11)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " tail"
+    rows = [(3, a), (7, near(a)), (7, b), (None, near(b)), (None, c), (None, d), (None, near(d)), (9, e), (9, near(e)), (9, f), (9, f), (None, "!"), (None, "")]
+    docs = spark.read.parquet(make_docs([(i, t, "en", "s") for i, t in rows]) + "/documents.parquet")
+    got = sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    groups = [[(3, a)], [(7, b)], [(None, c)], [(None, d), (None, near(d))], [(9, e), (9, near(e))], [(9, f)], [(None, "!")], [(None, "")]]
+    assert [sum(x in g for x in got) for g in groups] == [1] * 8 and len(got) == 8
+
+
 def test_empty_table(spark, make_docs):
     assert corpus_pipeline.run(spark, make_docs([])).collect() == []
