@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textbytes as tb
+from gavelflow.llm import worker
 from gavelflow.llm.common import KeyFilter, Stage
 
 
@@ -31,16 +32,17 @@ class Windows:
         """(first row, end row, item offsets by row, window hashes on demand, the anchor, row and start
         item of each window, bytes, segments) of each slice of the texts. Segments: the first window,
         length and number of places of the anchor of each maximal run of windows with one anchor."""
-        items, grams, wide = tb.Roller(11), tb.Roller(12), tb.Roller(13)
         for a, b, data, offs in tb.text_slices(texts):
             if self.unit == "word":
                 words = tb.Words(data, offs)
-                values, item_offs = words.hashes(items), words.offs
+                values, item_offs, over = words.hashes(11), words.offs, tb.windows
+                again = lambda w=words: w.hashes(15)
             else:
-                values, item_offs = items.bytes[data], offs
+                values, item_offs, over = data, offs, tb.byte_windows
+                again = lambda d=data: d
             if len(values) < self.window:
                 continue
-            gram, w = grams.windows(grams.prefix(values), self.anchor), self.window - self.anchor + 1
+            gram, w = over(values, self.anchor, 12), self.window - self.anchor + 1
             all_anchors = tb.sliding_min(gram, w)
             counts = np.maximum(np.diff(item_offs) - self.window + 1, 0)
             if not counts.any():
@@ -52,7 +54,8 @@ class Windows:
             places = np.ones(len(first), dtype=np.int32)
             if self.unit == "byte":
                 places = _places(gram, all_anchors, w, anchor[first], start[first], length)
-            hashes = lambda v=values: wide.windows(wide.prefix(v), self.window)
+            # of other word hashes and other steps than the anchors', so that one verifies the other
+            hashes = lambda v=again, f=over: f(v(), self.window, 13)
             yield a, b, item_offs, hashes, anchor, row, start, data, (first, length, places)
 
 
@@ -67,7 +70,7 @@ def anchor_rows(docs: DataFrame, windows: Windows, id_col: str = "doc_id") -> Da
                     [pa.array(anchor[first].view(np.int64)), ids.take(pa.array(a + row[first])), pa.array(places)], ["fp", "id", "n"]
                 )
 
-    return docs.select(id_col, "text").mapInArrow(run, "fp long, id long, n int")
+    return docs.select(id_col, "text").mapInArrow(worker.batches("anchors", run), "fp long, id long, n int")
 
 
 def _places(gram: np.ndarray, anchors: np.ndarray, w: int, fp: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -104,7 +107,7 @@ def segment_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = wanted.value
-        over = tb.Roller(14)
+        content = tb.Ranges(14)
         for batch in batches:
             if texts is not None:
                 batch = batch.filter(pa.array(texts.value.mask(batch.column(1).to_numpy().view(np.uint64))))
@@ -115,7 +118,7 @@ def segment_rows(
                 if not len(first):
                     continue
                 wide = hashes()[start]
-                seg = over.ranges(over.prefix(wide), first, first + length)
+                seg = content.ranges(wide, first, first + length)
                 if only is not None:
                     keep = only.value.mask(seg)
                     first, length, places, seg = first[keep], length[keep], places[keep], seg[keep]
@@ -140,7 +143,7 @@ def segment_rows(
                 )
 
     return docs.select(id_col, F.xxhash64("text").alias("t"), "text").mapInArrow(
-        run, "fp long, id long, t long, start long, n int, places int, seg long, payload binary"
+        worker.batches("anchors", run), "fp long, id long, t long, start long, n int, places int, seg long, payload binary"
     )
 
 
@@ -182,10 +185,10 @@ def apply_ranges(docs: DataFrame, ranges: DataFrame, rows: Callable, schema: str
     three = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
     by_doc = ranges.groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("r"))
     by_doc = by_doc.select("id", F.col("t").alias("rt"), F.col("r.start").alias("starts"), F.col("r.n").alias("lengths"))
-    part = three.mapInArrow(maybe, "doc_id long, text string, t long").withColumn("id", id_key())
+    part = three.mapInArrow(worker.batches("anchors", maybe), "doc_id long, text string, t long").withColumn("id", id_key())
     part = part.join(by_doc, (part.id == by_doc.id) & (part.t == by_doc.rt), "left")
     part = part.select("doc_id", "text", "starts", "lengths")
-    return three.mapInArrow(untouched_rows, schema).unionByName(part.mapInArrow(with_ranges, schema))
+    return three.mapInArrow(worker.batches("anchors", untouched_rows), schema).unionByName(part.mapInArrow(worker.batches("anchors", with_ranges), schema))
 
 
 def id_key():

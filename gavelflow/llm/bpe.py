@@ -21,10 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelflow.llm import worker
+
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Pieces over so many bytes get a tree of their own.
 LONG = 512
@@ -277,22 +280,18 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def worker_encoder(key: str, shared, name: str | None = None) -> Encoder:
-    """One encoder for each Python worker and key; shared broadcasts (ranks, pattern), or such by name."""
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*(shared.value if name is None else shared.value[name]))
-    return _ENCODERS[key]
+    """One encoder for each Python worker and key, while tasks of BPE run there; shared broadcasts (ranks,
+    pattern), or such by name."""
+    return worker.held("bpe", key, lambda: Encoder(*(shared.value if name is None else shared.value[name])))
 
 
-def _batches(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about so many characters together."""
-    lengths = batch.column(column).to_pylist()
+def _batches(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges whose texts have about so many bytes together."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     lo = total = 0
     for i, x in enumerate(lengths):
-        total += len(x or "")
+        total += x
         if total >= size:
             yield lo, i + 1
             lo, total = i + 1, 0
@@ -324,7 +323,7 @@ def _run(docs: DataFrame, path: str | None, pattern: str | None, last: str, colu
                 made = columns(enc, texts, enc.encode_texts(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *[x.split()[0] for x in last.split(", ")]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {last}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(worker.batches("bpe", run), f"doc_id long, {last}")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -338,7 +337,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             text = [enc.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(worker.batches("bpe", run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

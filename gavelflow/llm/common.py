@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -15,10 +17,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session
+    gets a new folder, and any other raises."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gavelflow-"))
     return configured or sc.getCheckpointDir()
 
@@ -44,16 +49,34 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
+_released = 0.0
+
+
+def release(spark: SparkSession, pause: float = 5.0) -> None:
     """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected
-    the handles, which may otherwise take as long as the application lives."""
+    the handles, which may otherwise take as long as the application lives. Not more often than every pause
+    seconds, as each is a full collection."""
+    global _released
+    if time.monotonic() - _released < pause:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+_KEPT: set[str] = set()
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that results returned so far still read. For callers that have stored or read them."""
+    while _KEPT:
+        remove(spark, _KEPT.pop())
+
+
 class Stage:
     """Intermediate results as tables in the shared folder, so that no later job computes them again
-    and a lost executor costs no recomputation. They go when the block ends, but for those kept."""
+    and a lost executor costs no recomputation. They go when the block ends, but for those kept, which
+    the results read: these stay until forget()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, set()
@@ -70,8 +93,7 @@ class Stage:
         path = scratch(self.spark, "stage")
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        if not keep:
-            self.paths.add(path)
+        (_KEPT if keep else self.paths).add(path)
         out._stage_path = path
         release(self.spark)
         return out
@@ -81,26 +103,27 @@ class Stage:
         for df in frames:
             remove(self.spark, df._stage_path)
             self.paths.discard(df._stage_path)
+            _KEPT.discard(df._stage_path)
 
 
 class KeyFilter:
-    """A set of 64-bit keys as a bitmap of bounded size; it may also let other keys through.
+    """A set of 64-bit keys as a bitmap of bounded size; it also lets some other keys through.
 
-    It only saves shuffling: whoever uses it joins exactly afterwards. Beyond max_bits' worth of
-    keys there is no bitmap and every key passes, so the answer stays the same at any size.
+    It only saves shuffling: whoever uses it joins exactly afterwards. Beyond max_bits / 16 keys the bitmap
+    stays as large as it is and lets ever more other keys through, so that the answer is the same at any
+    size and the shuffle grows towards that of all rows.
     """
 
-    def __init__(self, words: np.ndarray | None):
+    #: 16 MB
+    MAX_BITS = 1 << 27
+
+    def __init__(self, words: np.ndarray):
         self.words = words
 
     @classmethod
-    def build(cls, keys: DataFrame, column: str, max_bits: int = 1 << 27) -> KeyFilter:
+    def build(cls, keys: DataFrame, column: str, max_bits: int | None = None) -> KeyFilter:
         n = keys.count()
-        bits = 1 << max(16, (16 * n - 1).bit_length() if n else 16)
-        if bits > max_bits:
-            bits = max_bits
-            if n * 3 > max_bits:
-                return cls(None)
+        bits = min(1 << max(16, (16 * n - 1).bit_length() if n else 16), max_bits or cls.MAX_BITS)
         part = keys.select(
             F.expr(f"shiftrightunsigned({column}, 6) & {bits // 64 - 1}L").alias("w"),
             F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("b"),
@@ -112,13 +135,24 @@ class KeyFilter:
 
     def mask(self, keys: np.ndarray) -> np.ndarray:
         """Which of the keys (uint64) may be in the set."""
-        if self.words is None:
-            return np.ones(len(keys), dtype=bool)
         w = self.words[((keys >> np.uint64(6)) & np.uint64(len(self.words) - 1)).astype(np.int64)]
         return (w >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
-def components(edges: DataFrame, stage: Stage, max_rounds: int = 60) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in count how many rows of left have it. Keys with
+    more rows than half a partition's share are hot; there are at most twice as many as partitions, so these
+    rows of right are broadcast and their rows of left stay where they are; the others are shuffled."""
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(1000, total // (2 * parts))
+    hot = F.broadcast(right.where(F.col(count) > limit))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= limit), keys, how)
+    return left.join(hot, keys, how).unionByName(cold)
+
+
+def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, comp): each node of the edges (a, b) with the least node that it is connected to.
 
     Alternating large-star and small-star rounds, which need a logarithmic number of rounds; the
@@ -128,7 +162,7 @@ def components(edges: DataFrame, stage: Stage, max_rounds: int = 60) -> DataFram
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
@@ -143,4 +177,3 @@ def components(edges: DataFrame, stage: Stage, max_rounds: int = 60) -> DataFram
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == old:
             return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
-    raise RuntimeError("components did not converge")

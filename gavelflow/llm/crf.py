@@ -38,7 +38,7 @@ _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
 _WORD = (_CLASS > 0) & (_CLASS < 4)
 _WORD[128:] = True
-_ROLL = tb.Roller(51)
+_SEED = 51
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -46,7 +46,7 @@ def _hash_words(words: list[str]) -> np.ndarray:
     out = []
     for w in words:
         data = np.frombuffer(w.encode(), dtype=np.uint8)
-        out.append(_ROLL.ranges(_ROLL.prefix(_ROLL.bytes[data]), np.array([0]), np.array([len(data)]))[0])
+        out.append(tb.byte_ranges(data, np.array([0]), np.array([len(data)]), _SEED)[0])
     return np.sort(np.array(out, dtype=np.uint64))
 
 
@@ -98,9 +98,9 @@ class Lines:
         link_end = links[e] > links[np.maximum(self.core_end, s)]
         slash = total((data == 47) | (data == 64) | (data == 46) | (data == 45))
         marks = slash[self.core_end] - slash[self.core_start]
-        prefix = _ROLL.prefix(_ROLL.bytes[tb._LOWER[data]])
-        core = _ROLL.ranges(prefix, self.core_start, self.core_end)
-        whole = _ROLL.ranges(prefix, s, e)
+        low = tb._LOWER[data]
+        core = tb.byte_ranges(low, self.core_start, self.core_end, _SEED)
+        whole = tb.byte_ranges(low, s, e, _SEED)
         key = _among(core, _hash_words(KEYWORDS))
         link = _among(whole, _hash_words(LINKS))
 

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textbytes as tb
-from gavelflow.llm.common import KeyFilter, Stage, components
+from gavelflow.llm import worker
+from gavelflow.llm.common import KeyFilter, Stage, components, hot_join
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # link when DEN * intersection >= NUM * union
@@ -43,16 +44,16 @@ BLOCK_KEYS = 1 << 20
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words_roll, shingle_roll = tb.Roller(41), tb.Roller(42)
+    short = tb.Ranges(42)
     for a, b, data, offs in tb.text_slices(texts):
         words = tb.Words(data, offs)
-        prefix = shingle_roll.prefix(words.hashes(words_roll, lower=True))
-        grams = shingle_roll.windows(prefix, k)
+        values = words.hashes(41, lower=True)
+        grams = tb.windows(values, k, 43)
         for lo, hi in zip(words.offs[:-1].tolist(), words.offs[1:].tolist(), strict=True):
             if hi - lo >= k:
                 yield np.unique(grams[lo : hi - k + 1])
             elif hi > lo:
-                yield shingle_roll.ranges(prefix, np.array([lo]), np.array([hi]))
+                yield short.ranges(values, np.array([lo]), np.array([hi]))
             else:
                 yield grams[:0]
 
@@ -106,7 +107,7 @@ class _Classes:
                 if part:
                     yield emit(part)
 
-        return self.texts.mapInArrow(run, schema).unionByName(self.table.mapInArrow(run, schema))
+        return self.texts.mapInArrow(worker.batches("jaccard", run), schema).unionByName(self.table.mapInArrow(worker.batches("jaccard", run), schema))
 
 
 def _ordered_prefix(s: np.ndarray, common: KeyFilter) -> np.ndarray:
@@ -133,7 +134,7 @@ def classes_of(docs: DataFrame, k: int) -> DataFrame:
             )
 
     three = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    return three.mapInArrow(run, "doc_id long, t long, sig long, n long")
+    return three.mapInArrow(worker.batches("jaccard", run), "doc_id long, t long, sig long, n long")
 
 
 def links(docs: DataFrame, rows: DataFrame, copies_of: DataFrame, stage: Stage, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -154,7 +155,7 @@ def links(docs: DataFrame, rows: DataFrame, copies_of: DataFrame, stage: Stage,
             yield pa.RecordBatch.from_arrays([sig, batch.column(1).take(pick)], ["sig", "text"])
 
     texts = docs.select(F.xxhash64("text").alias("t"), "text")
-    table = texts.mapInArrow(copies, "sig long, text string").groupBy("sig").agg(F.first("text").alias("text"))
+    table = texts.mapInArrow(worker.batches("jaccard", copies), "sig long, text string").groupBy("sig").agg(F.first("text").alias("text"))
     classes = _Classes(docs, copied, stage.cut(table), k)
 
     # keys that many classes have among their first ones go last in the order
@@ -174,8 +175,8 @@ def links(docs: DataFrame, rows: DataFrame, copies_of: DataFrame, stage: Stage,
         return pa.RecordBatch.from_arrays([_flat(heads), pa.array(sig), pa.array(n)], ["key", "sig", "n"])
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    posts = classes.scan(postings, "key long, sig long, n int").join(multi.withColumnRenamed("count", "m"), "key")
-    posts = stage.cut(posts.withColumn("band", band))
+    posts = stage.cut(classes.scan(postings, "key long, sig long, n int"))
+    posts = stage.cut(hot_join(posts, multi.withColumnRenamed("count", "m"), ["key"], "m").withColumn("band", band))
     light, heavy = posts.where(F.col("m") <= LIGHT), stage.cut(posts.where(F.col("m") > LIGHT))
 
     # heavy tiles that share classes are one group
@@ -217,7 +218,7 @@ def links(docs: DataFrame, rows: DataFrame, copies_of: DataFrame, stage: Stage,
         keys = fetch(_both(may), lambda s: s.tobytes(), "keys")
         both = may.join(keys.select(F.col("sig").alias("a"), F.col("keys").alias("keys_a")), "a")
         both = both.join(keys.select(F.col("sig").alias("b"), F.col("keys").alias("keys_b")), "b")
-        out = stage.cut(both.select("a", "b", "keys_a", "keys_b").mapInArrow(_exact, "a long, b long"))
+        out = stage.cut(both.select("a", "b", "keys_a", "keys_b").mapInArrow(worker.batches("jaccard", _exact), "a long, b long"))
         stage.drop(keys, may)
         return out
 
@@ -250,7 +251,7 @@ def _may_pairs(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs (a, b) that the bitmaps' bound lets through."""
     side = lambda c: bits.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(worker.batches("jaccard", _bounded), "a long, b long")
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -308,7 +309,7 @@ def _tiles(rows: DataFrame, stage: Stage) -> DataFrame:
     dealt = rows.select("g", "sig", "n", "copies", "band", "sub", "keys", F.expr(tile))
     left = F.expr("band = tile.b1 and sub = tile.s1")
     dealt = dealt.select("g", "tile", left.alias("left"), "sig", "n", "copies", "keys")
-    return dealt.groupBy("g", "tile").applyInArrow(_compare, "a long, b long, w long")
+    return dealt.groupBy("g", "tile").applyInArrow(worker.groups("jaccard", _compare), "a long, b long, w long")
 
 
 def _compare(table: pa.Table) -> pa.Table:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textbytes as tb
+from gavelflow.llm import worker
 from gavelflow.llm.crf import Crf, Lines, trained
 
 KINDS = ("assign", "access", "hex")
@@ -115,7 +116,7 @@ def find(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(worker.batches("secrets", run), schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -145,7 +146,7 @@ def redact(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(worker.batches("secrets", run), schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.length("text").cast(kind)

@@ -3,8 +3,8 @@
 The index holds, in sorted immutable runs (bucketed and sorted tables), the fingerprints of all
 earlier documents' 13-word windows: each window is represented by its anchor (see anchors.py),
 which equal windows share. A new batch's fingerprints are merge-joined with every run, without
-shuffling the runs; what meets is verified on the windows themselves, and the batch becomes a run.
-When there are more than max_runs runs, all are merged into one (compaction).
+shuffling the runs; what meets is verified window by window on a second 64-bit hash that is made from the
+words again and has nothing in common with the fingerprint, and the batch becomes a run. When there are more than max_runs runs, all are merged into one (compaction).
 
 Rows: a word goes if a window that covers it also starts in a document with a smaller doc_id.
 Null or short texts have no windows. Rows with a null doc_id keep all their words and are the
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textbytes as tb
+from gavelflow.llm import worker
 from gavelflow.llm.anchors import Windows, anchor_rows, apply_ranges, gone, segment_rows
-from gavelflow.llm.common import KeyFilter, Stage, release, remove, scratch
+from gavelflow.llm.common import KeyFilter, Stage, hot_join, release, remove, scratch
 
 WINDOW = 13
 ANCHOR = 4
@@ -93,39 +94,42 @@ def duplicate_ranges(docs: DataFrame, windows: Windows, stage: Stage, batches: i
     edges = batch_edges(docs, batches)
     index = FingerprintIndex(spark, stage)
     shared = None
-    for lo, hi in zip([None, *edges], [*edges, None], strict=True):
-        batch = docs
-        if lo is not None:
-            batch = batch.where(F.col("doc_id") > lo)
-        if hi is not None:
-            batch = batch.where(F.col("doc_id") <= hi)
-        found = index.add(
-            anchor_rows(batch, windows).groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        )
-        shared = found if shared is None else shared.unionByName(found)
-    index.drop()
+    try:
+        for lo, hi in zip([None, *edges], [*edges, None], strict=True):
+            batch = docs
+            if lo is not None:
+                batch = batch.where(F.col("doc_id") > lo)
+            if hi is not None:
+                batch = batch.where(F.col("doc_id") <= hi)
+            found = index.add(
+                anchor_rows(batch, windows).groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+            )
+            shared = found if shared is None else shared.unionByName(found)
+    finally:
+        index.drop()
     wanted = spark.sparkContext.broadcast(KeyFilter.build(shared, "fp"))
     key = ["fp", "seg"]
 
     seg = stage.cut(segment_rows(docs, windows, wanted, payload="none").drop("payload", "places"))
     # level 1: equal segments; all but those in the least document are removed whole
-    least = stage.cut(seg.groupBy(*key).agg(F.min(F.struct("id", "t")).alias("m")).select(*key, F.col("m.id").alias("least"), F.col("m.t").alias("text_of")))
-    whole = stage.cut(seg.join(least, key).where("id > least").select("id", "t", "start", "n"))
+    least = seg.groupBy(*key).agg(F.min(F.struct("id", "t")).alias("m"), F.count("*").alias("c"))
+    least = stage.cut(least.select(*key, F.col("m.id").alias("least"), F.col("m.t").alias("text_of"), "c"))
+    whole = stage.cut(hot_join(seg, least.where("c > 1"), key, "c").where("id > least").select("id", "t", "start", "n"))
     # level 2: windows of different segments with one anchor, each segment once, in its least document
-    many = least.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp")
-    each = stage.cut(least.join(many, "fp", "left_semi"))
+    many = least.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1")
+    each = stage.cut(hot_join(least.drop("c"), stage.cut(many), ["fp"], "k", "left_semi"))
     only = spark.sparkContext.broadcast(KeyFilter.build(each, "seg"))
     texts = spark.sparkContext.broadcast(KeyFilter.build(stage.cut(each.select("text_of").distinct()), "text_of"))
     found = segment_rows(docs, windows, wanted, only=only, texts=texts).join(each, key).where("id = least and t = text_of")
     first_of = found.groupBy(*key, "id").agg(F.first("payload").alias("payload"))
     opened = stage.cut(_open(first_of))
-    first = opened.groupBy("fp", "w").agg(F.min("id").alias("first"))
-    parts = opened.join(first, ["fp", "w"]).where("id > first").select(*key, F.col("id").alias("least"), "at")
+    first = opened.groupBy("fp", "w").agg(F.min("id").alias("first"), F.count("*").alias("c"))
+    first = stage.cut(first.where("c > 1"))
+    parts = hot_join(opened, first, ["fp", "w"], "c").where("id > first").select(*key, F.col("id").alias("least"), "at")
     # the least document's own occurrences of the segment
     parts = stage.cut(parts)
     own = (
-        parts.join(seg, key)
-        .where("id = least")
+        parts.withColumnRenamed("least", "id").join(seg, [*key, "id"])
         .select("id", "t", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     )
     return whole.unionByName(own)
@@ -148,7 +152,7 @@ def _open(each: DataFrame) -> DataFrame:
                 ["fp", "seg", "id", "at", "w"],
             )
 
-    return each.mapInArrow(run, "fp long, seg long, id long, at long, w long")
+    return each.mapInArrow(worker.batches("anchors", run), "fp long, seg long, id long, at long, w long")
 
 
 def kept_words(texts: pa.Array, starts: list, lengths: list, window: int) -> Iterator[tuple[int, int, bytes]]:

@@ -1,16 +1,20 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, on whole numpy arrays.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
-Induction scans buckets, not entries: all entries of one first symbol that are known so far induce
-their predecessors at once, in the order of the scan, so the work is linear and runs in numpy. The
-reduced string of leftmost-smaller (LMS) substrings is sorted by doubling its names, the recursion
-whose buckets would be too many to scan; it stops once the order is settled to the depth asked for.
+A text's leftmost-smaller (LMS) substrings are sorted by induction and named; the string of names, in text
+order, is sorted in the same way, level by level, until all names differ; its order induces the whole array.
+Induction is linear. Over few symbols (bytes) it scans buckets, not entries: all entries of one first symbol
+that are known so far induce their predecessors at once, in the order of the scan. Over many (names) it scans
+entries.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from gavelflow.llm.textbytes import Roller
+from gavelflow.llm.textbytes import _eights
+
+#: Up to so many symbols, and runs of one symbol up to so long, buckets are scanned, and entries beyond.
+SYMBOLS, RUN = 512, 1000
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -29,8 +33,11 @@ def classify(t: np.ndarray) -> np.ndarray:
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All suffixes in order, given the LMS suffixes in order."""
+    """All suffixes in order, given the LMS suffixes in order; their LMS substrings in order, given any order."""
     k = len(sizes)
+    same = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
+    if k > SYMBOLS or np.diff(same).max() > RUN:
+        return _induce_entries(t.tolist(), s.tolist(), lms.tolist(), np.cumsum(sizes).tolist())
     order = np.argsort(t[lms], kind="stable")
     lms_by = np.split(lms[order], np.cumsum(np.bincount(t[lms], minlength=k))[:-1])
     n = len(t)
@@ -114,25 +121,35 @@ def _name(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sa: np.ndarray, is_lms:
     return names, int((~equal).sum()) + 1
 
 
-def _doubled(names: np.ndarray, count: int, depth: int) -> np.ndarray:
-    """Order of the suffixes of the reduced string, to so many names' depth at least."""
-    n, h, rank = len(names), 1, names
-    order = np.argsort(rank, kind="stable")
-    while count < n and h < depth:
-        second = np.zeros(n, dtype=np.int64)
-        second[:-h] = rank[h:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank, count, h = new, int(new[order[-1]]) + 1, h * 2
-    return order
-
-
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of t (small non-negative integers) in order, to depth symbols at least
-    (the whole order if depth is None)."""
+def _induce_entries(t: list[int], s: list[bool], lms: list[int], ends: list[int]) -> np.ndarray:
+    """_induce, entry by entry. A bucket has its L-type suffixes first, then its S-type ones; the order of the
+    scan sees to it that an entry stands before it is read."""
+    n = len(t)
+    sa = [-1] * n
+    free = ends[:]
+    for i in reversed(lms):
+        free[t[i]] -= 1
+        sa[free[t[i]]] = i
+    free = [0, *ends[:-1]]
+    sa[free[t[-1]]] = n - 1  # the end comes first and induces the last suffix
+    free[t[-1]] += 1
+    for i in sa:  # reads what the loop writes further on
+        if i > 0 and not s[i - 1]:
+            c = t[i - 1]
+            sa[free[c]] = i - 1
+            free[c] += 1
+    free = ends[:]
+    for at in range(n - 1, -1, -1):
+        i = sa[at] - 1
+        if i >= 0 and s[i]:
+            c = t[i]
+            free[c] -= 1
+            sa[free[c]] = i
+    return np.array(sa, dtype=np.int64)
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of t (small non-negative integers) in order."""
     t = t.astype(np.int64)
     n = len(t)
     if n < 2:
@@ -142,47 +159,48 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     is_lms[1:] = s[1:] & ~s[:-1]
     lms = np.flatnonzero(is_lms)
     sizes = np.bincount(t)
-    if not len(lms):
-        return _induce(t, s, lms, sizes)
     sa = _induce(t, s, lms, sizes)
+    if len(lms) < 2:
+        return sa
     names, count = _name(t, s, lms, sa, is_lms)
-    # two neighbours in the reduced string are two symbols apart at least
-    order = _doubled(names, count, n if depth is None else depth // 2 + 2)
+    order = np.argsort(names) if count == len(lms) else suffix_array(names)
     return _induce(t, s, lms[order], sizes)
 
 
-def permuted_reach(t: np.ndarray, sa: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """In text order, each position's predecessor in the suffix array (-1 for the first), and whether
-    their common prefix has size symbols. Found by hashes, then proved on the symbols: along a run of
-    positions whose predecessors follow each other too, prefixes shrink by one symbol at a time, so the
-    first is compared whole and the others by the one symbol that is new."""
+def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In text order, each position's predecessor in the suffix array (-1 for the first), and the length of
+    their common prefix. t are bytes.
+
+    Where the symbols before both are equal, the prefix is one shorter than that of the position before. Only
+    the other positions are compared, eight bytes a step; their prefixes add up to O(n log n)."""
     n = len(t)
     phi = np.full(n, -1, dtype=np.int64)
     phi[sa[1:]] = sa[:-1]
-    i = np.flatnonzero(phi >= 0)
-    i = i[np.maximum(i, phi[i]) + size <= n]
-    roll = Roller(21)
-    full = roll.windows(roll.prefix(roll.bytes[t & 255] ^ (t.astype(np.uint64) >> np.uint64(8))), size)
-    hit = i[full[i] == full[phi[i]]]
-    ok = np.zeros(n, dtype=bool)
-    ok[hit] = t[hit + size - 1] == t[phi[hit] + size - 1]
-    follows = np.zeros(n, dtype=bool)
-    follows[hit] = (hit > 0) & ok[hit - 1] & (phi[hit - 1] == phi[hit] - 1)
-    head = hit[~follows[hit]]
-    for part in np.array_split(head, len(head) * size // (1 << 20) + 1):
-        at = np.arange(size)
-        ok[part] = (t[part[:, None] + at] == t[phi[part][:, None] + at]).all(axis=1)
-    if not ok[head].all():  # a collision of hashes: what followed it is compared whole
-        for at in hit[ok[hit]].tolist():
-            ok[at] = np.array_equal(t[at : at + size], t[phi[at] : phi[at] + size])
-    return phi, ok
+    own = np.ones(n, dtype=bool)
+    later = np.flatnonzero(phi[1:] > 0) + 1
+    own[later] = t[later - 1] != t[phi[later] - 1]
+    eight = _eights(np.concatenate([t, np.zeros(8, dtype=np.uint8)]))
+    lcp = np.zeros(n, dtype=np.int64)
+    live = np.flatnonzero(own & (phi >= 0))
+    done = 0
+    while len(live):
+        x = eight[live + done] ^ eight[phi[live] + done]
+        same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8)
+        lcp[live] = np.minimum(done + same, n - np.maximum(live, phi[live]))
+        done += 8
+        live = live[lcp[live] == done]
+        live = live[np.maximum(live, phi[live]) + done < n]
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(own, at, 0))
+    return phi, lcp[first] - (at - first)
 
 
 def repeated(t: np.ndarray, size: int) -> np.ndarray:
-    """Starts, as a mask, of the strings of size symbols that also start elsewhere in t."""
+    """Starts, as a mask, of the strings of size bytes that also start elsewhere in t."""
     out = np.zeros(len(t), dtype=bool)
     if len(t) > size:
-        phi, ok = permuted_reach(t, suffix_array(t, size), size)
+        phi, lcp = permuted_lcp(t, suffix_array(t))
+        ok = lcp >= size
         out[ok] = True
         out[phi[ok]] = True
     return out

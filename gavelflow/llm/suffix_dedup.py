@@ -4,7 +4,7 @@ Windows that share no anchor with another place (see anchors.py) are repeated no
 shuffled. The others meet in shards by anchor; equal segments collapse, and each shard's different
 segments are laid end to end, with a separator, under a suffix array built by induced sorting
 (suffix_array.py). Where the permuted common prefix reaches 200 bytes, the window is repeated.
-An anchor with more than MAX_GROUP different segments is taken apart by window instead, so that no
+Segments are equal if two unrelated 64-bit hashes are, the anchor's and the content's. An anchor with more than MAX_GROUP different segments is taken apart by window instead, so that no
 task has to hold it: its windows are counted by two 64-bit hashes.
 
 Rows: texts are UTF-8 bytes; null counts as empty. Bytes are judged on the input; a removal may cut
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textbytes as tb
+from gavelflow.llm import worker
 from gavelflow.llm.anchors import Windows, anchor_rows, apply_ranges, gone, id_key, segment_rows
-from gavelflow.llm.common import KeyFilter, Stage
+from gavelflow.llm.common import KeyFilter, Stage, hot_join
 from gavelflow.llm.suffix_array import repeated
 
 WINDOW = 200
@@ -44,11 +45,11 @@ def repeated_ranges(docs: DataFrame, stage: Stage, window: int = WINDOW, max_gro
     seg = stage.cut(segment_rows(docs, windows, wanted, payload="none").drop("payload"))
     distinct = stage.cut(seg.groupBy(*key).agg(F.count("*").alias("c"), F.max("places").alias("places"), F.max("n").alias("n"), F.min("t").alias("text_of")))
     seg_rows = seg.select(*key, "id", "t", "start", "n")
-    whole = seg_rows.join(distinct.where("c > 1").select(*key), key, "left_semi").select("id", "t", "start", "n")
+    whole = hot_join(seg_rows, distinct.where("c > 1").select(*key, "c"), key, "c", "left_semi").select("id", "t", "start", "n")
     whole = stage.cut(whole)
     # segments that share an anchor with another one, or that may hold a string twice
     by_fp = distinct.groupBy("fp").agg(F.count("*").alias("k"), F.max("places").alias("most")).where("k > 1 or most > 1")
-    open_ = stage.cut(distinct.join(by_fp, "fp").select(*key, "n", "k", "c", "text_of"))
+    open_ = stage.cut(hot_join(distinct, stage.cut(by_fp), ["fp"], "k").select(*key, "n", "k", "c", "text_of"))
     only = spark.sparkContext.broadcast(KeyFilter.build(open_, "seg"))
     # one text holds each of them; only such texts are scanned again
     texts = spark.sparkContext.broadcast(KeyFilter.build(stage.cut(open_.select("text_of").distinct()), "text_of"))
@@ -64,13 +65,12 @@ def repeated_ranges(docs: DataFrame, stage: Stage, window: int = WINDOW, max_gro
         each.where(F.col("k") <= max_group)
         .withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_shard(window), "fp long, seg long, at long, len int")
+        .applyInArrow(worker.groups("anchors", _shard(window)), "fp long, seg long, at long, len int")
     )
     opened = stage.cut(_open(each.where(F.col("k") > max_group), window))
-    many = opened.groupBy("fp", "w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
-    found = found.unionByName(
-        opened.join(many, ["fp", "w1", "w2"], "left_semi").select("fp", "seg", "at", F.lit(1).alias("len"))
-    )
+    many = stage.cut(opened.groupBy("fp", "w1", "w2").agg(F.count("*").alias("times")).where("times > 1"))
+    again = hot_join(opened, many, ["fp", "w1", "w2"], "times", "left_semi")
+    found = found.unionByName(again.select("fp", "seg", "at", F.lit(1).alias("len")))
     single = stage.cut(found.join(open_.where("c = 1").select(*key), key, "left_semi"))
     part = seg_rows.drop("n").join(single, key).select("id", "t", (F.col("start") + F.col("at")).alias("start"), F.col("len").alias("n"))
     return whole.unionByName(part)
@@ -81,7 +81,7 @@ def _shard(window: int):
         table = table.combine_chunks()
         parts = table.column("payload").to_pylist()
         n = table.column("n").to_numpy()
-        text = np.frombuffer(b"".join(x + b"\0" for x in parts), dtype=np.uint8).astype(np.int64) + 1
+        text = np.frombuffer(b"".join(x + b"\0" for x in parts), dtype=np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
         ends = np.cumsum(n + window) - 1  # each segment has n + window - 1 bytes
         text[ends] = 0
         mask = repeated(text, window)
@@ -111,7 +111,6 @@ def _open(each: DataFrame, window: int) -> DataFrame:
     """(fp, seg, at, w1, w2): one row for each window of a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = tb.Roller(31), tb.Roller(32)
         for batch in batches:
             if not len(batch):
                 continue
@@ -120,14 +119,14 @@ def _open(each: DataFrame, window: int) -> DataFrame:
             begin = np.cumsum(n + window - 1) - (n + window - 1)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             start = at + np.repeat(begin, n)
-            w = [r.ranges(r.prefix(r.bytes[data]), start, start + window).view(np.int64) for r in (one, two)]
+            w = [tb.byte_windows(data, window, seed)[start].view(np.int64) for seed in (31, 32)]
             pick = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(pick) for c in ("fp", "seg")] + [pa.array(at.astype(np.int64)), *map(pa.array, w)],
                 ["fp", "seg", "at", "w1", "w2"],
             )
 
-    return each.select("fp", "seg", "n", "payload").mapInArrow(run, "fp long, seg long, at long, w1 long, w2 long")
+    return each.select("fp", "seg", "n", "payload").mapInArrow(worker.batches("anchors", run), "fp long, seg long, at long, w1 long, w2 long")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, max_group: int = MAX_GROUP) -> DataFrame:

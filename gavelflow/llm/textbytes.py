@@ -39,47 +39,110 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _table(seed: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+        return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 0xD1B54A32D192ED03 % (1 << 64)))
 
 
-class Roller:
-    """Polynomial hashes mod 2**64 of ranges of a sequence, by prefix sums.
-
-    Two rollers with other seeds are independent; the values' low bits are mixed at the end.
-    """
+class Ranges:
+    """Hashes of ranges of a sequence of 64-bit values: the sum of each value times a random odd number that
+    belongs to its place in the range, modulo 2**64, mixed with the length. Places have unrelated factors, so
+    no pattern of values can cancel out, as it can in a polynomial. Rangers with other seeds are independent."""
 
     def __init__(self, seed: int):
-        self.base = U64((0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) & 0xFFFFFFFFFFFFFFFF)
-        self.inverse = U64(pow(int(self.base), -1, 1 << 64))
-        self.bytes = _table(seed * 1000 + 17, 256)
-        self._up = self._down = np.ones(1, dtype=U64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, SLICE_BYTES + 65536)
-            up = np.full(size, self.base, dtype=U64)
-            down = np.full(size, self.inverse, dtype=U64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self._up, self._down
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums, with a zero in front, for ranges()."""
-        up, _ = self._powers(len(values) + 1)
-        out = np.empty(len(values) + 1, dtype=U64)
-        out[0] = 0
-        np.cumsum(values * up[: len(values)], out=out[1:])
-        return out
-
-    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self._down[start])
-
-    def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
-        """The hash of every range of k values (none if there are fewer)."""
-        n = len(prefix) - k
-        if n <= 0:
+        self.seed, self._factors = seed, np.empty(0, dtype=U64)
+
+    def ranges(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ranges, none of them empty, from start to end; they may overlap."""
+        size = end - start
+        if not len(size):
             return np.empty(0, dtype=U64)
-        return mix((prefix[k:] - prefix[:n]) * self._down[:n])
+        longest = int(size.max())
+        if len(self._factors) < longest:
+            self._factors = _table(self.seed * 1000 + 19, max(longest, 4096)) | U64(1)
+        first = np.cumsum(size) - size
+        place = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
+        x = values[place + np.repeat(start, size)]
+        x *= self._factors[place]
+        return mix(np.add.reduceat(x, first) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+#: How many bytes of a word are taken in steps of eight; longer words are summed by Ranges.
+_STEPS = 256
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray(max(0, len(data) - 7), dtype="<u8", buffer=data, strides=(1,))
+
+
+def byte_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """The hashes of ranges of bytes, none of them empty: eight bytes a step, each step mixed."""
+    keys = _table(seed * 1000 + 29, 2) | U64(1)
+    eight = _eights(np.concatenate([data, np.zeros(8, dtype=np.uint8)]))
+    size = end - start
+    h = eight[start] & _MASK[np.minimum(size, 8)]
+    h += size.astype(U64) * keys[0]
+    live, at = np.flatnonzero(size > 8), 8
+    live = live[size[live] <= _STEPS]
+    while len(live):
+        x = h[live] * keys[1]
+        x ^= x >> U64(32)
+        x += eight[start[live] + at] & _MASK[np.minimum(size[live] - at, 8)]
+        h[live] = x
+        at += 8
+        live = live[size[live] > at]
+    h = mix(h)
+    long = np.flatnonzero(size > _STEPS)
+    if len(long):
+        # random but for the lowest byte, which tells any two bytes apart
+        values = (_table(seed * 1000 + 17, 256) << U64(8)) | np.arange(256, dtype=U64)
+        h[long] = Ranges(seed).ranges(values[data], start[long], end[long])
+    return h
+
+
+def windows(values: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The hash of every range of k 64-bit values (none if there are fewer), as a tree: two hashes of halves
+    make one of the whole, each step mixed, so that no pattern of values is bad. Seeds are independent."""
+    keys = _table(seed * 1000 + 23, 66) | U64(1)
+    return _finished(_doubled(values * keys[65], 1, k, keys), keys)
+
+
+def byte_windows(data: np.ndarray, k: int, seed: int, part: int = 1 << 15) -> np.ndarray:
+    """The hash of every range of k bytes (none if there are fewer)."""
+    keys = _table(seed * 1000 + 23, 66) | U64(1)
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.empty(0, dtype=U64)
+    out = np.empty(n, dtype=U64)
+    for lo in range(0, n, part):  # in parts that a processor's cache holds
+        piece = data[lo : lo + part + k - 1]
+        x, size = (_eights(piece), 8) if k >= 8 else (piece.astype(U64), 1)
+        x = x * keys[65]
+        x ^= x >> U64(32)
+        out[lo : lo + part] = _finished(_doubled(x, size, k, keys), keys)
+    return out
+
+
+def _finished(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    x = x * keys[64]
+    x ^= x >> U64(32)
+    x *= keys[63]
+    return x
+
+
+def _doubled(x: np.ndarray, size: int, k: int, keys: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of k, given those of ranges of size."""
+    level = 0
+    while size < k:
+        step = min(size, k - size)
+        if len(x) <= step:
+            return np.empty(0, dtype=U64)
+        left = x[:-step] * keys[level]
+        left ^= left >> U64(32)
+        left += x[step:]
+        x, size, level = left, size + step, level + 1
+    return x
 
 
 def text_slices(arr: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -115,9 +178,8 @@ class Words:
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.offs = np.searchsorted(self.starts, offs)
 
-    def hashes(self, roller: Roller, lower: bool = False) -> np.ndarray:
-        data = _LOWER[self.data] if lower else self.data
-        return roller.ranges(roller.prefix(roller.bytes[data]), self.starts, self.ends)
+    def hashes(self, seed: int, lower: bool = False) -> np.ndarray:
+        return byte_ranges(_LOWER[self.data] if lower else self.data, self.starts, self.ends, seed)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from gavelflow.llm.common import Stage
+import pytest
+
+from gavelflow.llm.common import KeyFilter, Stage
 from gavelflow.llm.substring_dedup import FingerprintIndex, op8_substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,3 +64,31 @@ def test_index_runs_and_compaction(spark):
         assert sorted(index.add(frame([(3, 7, 7), (2, 8, 8), (9, 7, 7)])).collect()) == [(2,), (3,)]
         assert len(index.runs) == 2  # the first two are one run now
         index.drop()
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a[:n], b[:n]
+
+
+@pytest.mark.parametrize("n", [512, 2048, 8192])
+def test_long_words_of_patterns_that_polynomials_confuse(spark, make_docs, n):
+    a, b = thue_morse(n)
+    tail = [f"t{i}" for i in range(9)]
+    rows = [(1, " ".join([a, b] * 3 + tail)), (2, " ".join([b, a] * 3 + tail[:8] + ["x"])), (3, " ".join([a, b] * 3 + tail))]
+    got = op8_substring_dedup(spark, make_docs([(d, t, "en", "s") for d, t in rows])).collect()
+    assert sorted([tuple(x) for x in got], key=str) == brute(rows)
+
+
+def test_hot_windows_and_full_filters(spark, make_docs, monkeypatch):
+    """One passage in a third of all documents, each with other words around it; then with filters of 64 bits."""
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(16))
+    rows = [(d, " ".join([f"x{r.randrange(40)}" for _ in range(8)] + ([passage] if d % 3 == 0 else []) + [f"y{r.randrange(40)}" for _ in range(8)])) for d in range(3000)]
+    rows += [(5000 + d, rows[0][1]) for d in range(1500)]
+    folder, want = make_docs([(d, t, "en", "s") for d, t in rows]), brute(rows)
+    assert sorted([tuple(x) for x in op8_substring_dedup(spark, folder).collect()], key=str) == want
+    monkeypatch.setattr(KeyFilter, "MAX_BITS", 64)
+    assert sorted([tuple(x) for x in op8_substring_dedup(spark, folder).collect()], key=str) == want

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from gavelflow.llm.suffix_array import repeated, suffix_array
+from gavelflow.llm import suffix_array as module
+from gavelflow.llm.suffix_array import permuted_lcp, repeated, suffix_array
 
 
 def cases():
@@ -24,6 +25,33 @@ def test_suffix_array_is_sorted(text):
     assert suffix_array(t).tolist() == want
     for size in (3, 8):
         starts = [text[i : i + size] for i in range(len(text) - size + 1)]
-        assert np.flatnonzero(repeated(t.astype(np.int64) + 1, size)).tolist() == [
-            i for i, x in enumerate(starts) if starts.count(x) > 1
-        ]
+        assert np.flatnonzero(repeated(t + np.uint8(1), size)).tolist() == [i for i, x in enumerate(starts) if starts.count(x) > 1]
+
+
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("text", [*cases(), b"x" * 900 + b"y", b"the cat sat on the mat " * 40])
+def test_permuted_common_prefixes(text):
+    t = np.frombuffer(text, dtype=np.uint8)
+    sa = suffix_array(t)
+    phi, lcp = permuted_lcp(t, sa)
+    for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+        assert phi[b] == a and lcp[b] == common(text[a:], text[b:])
+    assert phi[sa[0]] == -1 and lcp[sa[0]] == 0
+
+
+def test_entries_and_buckets_agree(monkeypatch):
+    """Both scans, and a text whose names repeat over several levels."""
+    a, b = b"a", b"ab"
+    for _ in range(18):
+        a, b = b, b + a
+    r = random.Random(5)
+    for text in (b[:4000], b"x" * 3000 + b"y", bytes(r.choice(b"ab") for _ in range(3000)), b"the cat sat on the mat " * 60):
+        t = np.frombuffer(text, dtype=np.uint8)
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        for symbols in (0, 10**9):
+            monkeypatch.setattr(module, "SYMBOLS", symbols)
+            monkeypatch.setattr(module, "RUN", 10**9)
+            assert suffix_array(t).tolist() == want
