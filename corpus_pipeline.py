@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.llm import bpe, jaccard_join, langid, mixing, secrets
-from gavelflow.llm.common import Stage
+from gavelflow.llm.common import WORD, Stage, forget
 
 #: Texts that share next to nothing with any learned language's profile are in none of them.
 MAX_DISTANCE = 0.97
@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     predicted one."""
     found = langid.identify(docs, langid.train(docs))
     kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_distance") <= MAX_DISTANCE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = jaccard_join.clusters(docs.select("doc_id", "text"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("t").alias("_k"))
     first = rows.where("cluster is not null").groupBy("cluster").agg(F.min(rank).alias("x")).select("x._id", "x._k")
-    wordless = rows.where("cluster is null").select(F.col("t").alias("_k")).distinct()
-    hashed = docs.withColumn("_t", F.xxhash64("text"))
-    out = hashed.join(first, (F.col("_t") == F.col("_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    out = out.dropDuplicates(["doc_id", "_t"]).unionByName(hashed.join(wordless, F.col("_t") == F.col("_k"), "left_semi"))
-    return out.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no name can clash
+    hashed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
+    out = hashed.join(first, (F.col("t") == F.col("_k")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    out = out.dropDuplicates(["id", "t"]).unionByName(hashed.where(~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))))
+    return out.select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A text's profile is the list of its TOP most frequent n-grams of 1 to 3 letters,
 a boundary, in the order of frequency. A language's is that of its training texts. The out-of-place
 distance of the two sums, over the text's n-grams, how far each is from its place in the language's
 list, TOP where it isn't there; the least distance wins, ties by the language's name. N-grams are kept
-as 16-bit hashes, so a profile is a table of fixed size, whatever the script.
+as 32-bit hashes of all their letters. All languages are learned; the model has TOP n-grams for each.
 
 Training takes at most SAMPLE documents of a language (of all documents with a language whose
 crc32(doc_id) mod 4 is not 2, those with the least hashes of doc_id), whole texts; that bounds the
@@ -23,29 +23,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gavelflow.llm import worker
 
 TOP = 300
 SAMPLE = 2000
-#: Languages beyond so many, the least frequent ones, are not learned.
-MAX_LANGS = 1000
+#: Up to so many languages their counts are broadcast (a few MB); more are joined by shuffling.
+BROADCAST_LANGS = 50_000
 HELD_OUT = 2
 UND = "und"
 
-_LETTERS: list[np.ndarray] = []
-
-
 def _letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
-    return _LETTERS[0]
+    return worker.held("langid", "letters", lambda: np.array([chr(i).isalpha() for i in range(0x110000)]))
 
 
 def grams(text: str) -> np.ndarray:
-    """The 16-bit hashes of all n-grams of a text; none if it has no letter."""
+    """The 32-bit hashes of all n-grams of a text; none if it has no letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[c]
     if not letter.any():
-        return np.empty(0, dtype=np.uint16)
+        return np.empty(0, dtype=np.uint32)
     c = np.where(letter, c + np.uint32(1), np.uint32(0))
     keep = letter.copy()
     keep[0] = True
@@ -55,8 +53,8 @@ def grams(text: str) -> np.ndarray:
     one ^= one >> np.uint32(15)
     two = (one[:-1] * np.uint32(0x85EBCA77)) ^ one[1:]
     three = (two[:-1] * np.uint32(0xC2B2AE3D)) ^ one[2:]
-    mixed = [one[c > 0], two, three]
-    return np.concatenate([((x * np.uint32(0x27D4EB2F)) >> np.uint32(16)).astype(np.uint16) for x in mixed])
+    x = np.concatenate([one[c > 0], two, three]) * np.uint32(0x27D4EB2F)
+    return x ^ (x >> np.uint32(15))
 
 
 def profile(text: str, top: int = TOP) -> np.ndarray:
@@ -66,30 +64,36 @@ def profile(text: str, top: int = TOP) -> np.ndarray:
         return g
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     count = np.diff(np.append(first, len(g)))
-    key = (-count.astype(np.int64) << 16) | g[first]
+    # a text has under 2**31 n-grams
+    key = (-count.astype(np.int64) << 32) | g[first]
     if len(key) > top:
         key = np.partition(key, top)[:top]
-    return (np.sort(key) & 0xFFFF).astype(np.uint16)
+    return (np.sort(key) & 0xFFFFFFFF).astype(np.uint32)
 
 
 class Model:
-    """Places of the n-grams in each language's profile."""
+    """The n-grams of all profiles, sorted, with the language and the place of each."""
 
     def __init__(self, profiles: dict[str, list[int]], top: int = TOP):
         self.langs, self.top = sorted(profiles), top
-        self.places = np.full((len(self.langs), 1 << 16), -1, dtype=np.int32)
-        for i, lang in enumerate(self.langs):
-            p = np.asarray(profiles[lang][:top], dtype=np.int64)
-            self.places[i, p] = np.arange(len(p))
+        rows = [np.asarray(profiles[lang][:top], dtype=np.uint32) for lang in self.langs]
+        gram = np.concatenate([*rows, np.empty(0, dtype=np.uint32)])
+        order = np.argsort(gram, kind="stable")
+        self.gram = gram[order]
+        self.lang = np.repeat(np.arange(len(rows)), [len(p) for p in rows])[order].astype(np.int32)
+        self.place = np.concatenate([*(np.arange(len(p)) for p in rows), np.empty(0, dtype=np.int64)])[order].astype(np.int32)
 
     def distances(self, text: str) -> np.ndarray | None:
         """By language, from 0 to 1; None for a text without letters."""
         p = profile(text, self.top)
         if not len(p):
             return None
-        at = self.places[:, p]
-        off = np.where(at < 0, self.top, np.abs(at - np.arange(len(p))))
-        return off.sum(axis=1) / (len(p) * self.top)
+        lo, hi = np.searchsorted(self.gram, p), np.searchsorted(self.gram, p, side="right")
+        size = hi - lo
+        mine = np.repeat(np.arange(len(p)), size)
+        at = np.arange(len(mine)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        near = self.top - np.abs(self.place[at] - mine)  # by how much less than top
+        return 1 - np.bincount(self.lang[at], weights=near, minlength=len(self.langs)) / (len(p) * self.top)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and distance."""
@@ -106,27 +110,36 @@ def is_held_out() -> F.Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
-    """The model of a documents table. Only top n-grams a language come to the driver."""
+    """The model of a documents table. Only top n-grams a language come to the driver; the model grows with
+    the number of languages and with nothing else."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    langs = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not langs:
+    usable = usable.select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    langs = usable.groupBy("lang").agg(F.count("*").alias("of"))
+    n_langs = langs.count()
+    if not n_langs:
         return Model({}, top)
     # rows with a hash under sample / n of the range, about sample of them, without sorting
-    share = F.create_map(*[x for r in langs for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    chosen = usable.where(place <= F.element_at(share, F.col("lang"))).select("lang", "text")
+    if n_langs <= BROADCAST_LANGS:
+        chosen = usable.join(F.broadcast(langs), "lang")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt")
+        chosen = usable.withColumn("salt", F.pmod(F.col("h"), F.lit(64)).cast("int")).join(langs.select("*", salt), ["lang", "salt"])
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / (1 << 30)
+    chosen = chosen.where(place <= F.lit(sample) / F.col("of")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for batch in batches:
+            by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = total.setdefault(lang, np.zeros(1 << 16, dtype=np.int64))
-                held += np.bincount(grams(text), minlength=1 << 16)
-        for lang, held in total.items():
-            g = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(held[g])], ["lang", "gram", "n"])
-
-    counts = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                by.setdefault(lang, []).append(np.stack(np.unique(grams(text), return_counts=True)))
+            for lang, parts in by.items():
+                g, n = np.concatenate(parts, axis=1)
+                key, at = np.unique(g, return_inverse=True)
+                total = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(total)], ["lang", "gram", "n"])
+
+    rows = chosen.mapInArrow(worker.batches("langid", count), "lang string, gram long, n long")
+    counts = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= top)
     profiles: dict[str, list[int]] = {}
     for row in best.orderBy("lang", "r").collect():
@@ -135,24 +148,25 @@ def train(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, lang_score and lang_distance to the rows of docs (whose own columns stay)."""
+    """row (a struct of all columns of docs, so that no name can clash), lang_pred, lang_score and
+    lang_distance of each row."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            found = [held.predict(t) for t in batch.column(at).to_pylist()]
+            found = [held.predict(t) for t in batch.column(1).to_pylist()]
             cols = list(zip(*found, strict=True)) or [[], [], []]
             made = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "lang_score", "lang_distance"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["row", "lang_pred", "lang_score", "lang_distance"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_distance double")
+    schema = T.StructType([docs.schema["row"], *T.StructType.fromDDL("lang_pred string, lang_score double, lang_distance double")])
+    return docs.mapInArrow(worker.batches("langid", run), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs.select("doc_id", "text"), train(docs))
+    found = identify(docs.select("doc_id", "text"), train(docs)).select("row.doc_id", "lang_pred", "lang_score")
     return found.select(F.col("doc_id").cast("long"), is_held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
