@@ -5,9 +5,10 @@ corpus itself: a quantile sketch for each language and source and ratio. The ske
 buckets whose bounds grow by a constant factor, so a quantile is within REL of the true one, sketches
 merge by adding counts, in any order and with equal results, and the size of one is bounded. Groups of
 fewer than MIN_GROUP documents use their language's sketch, and the whole corpus's if that is small
-too; both are merged from the groups'. A value fails when it is above
-median + SPREAD * (75th percentile - median), but never below the ratio's FLOOR, so that where a ratio
-hardly varies clean documents stay.
+too; both are merged from the groups'. A value fails when it is above q + s * (q - median), where q is its
+group's quantile and s the spread that FENCE names for the ratio. So what is usual in a group, the share of
+its documents up to the quantile, never fails there. There are no fixed cutoffs. Documents that fail the
+base rules are in no sketch, as they would set the tails; a group of theirs alone has no limits.
 
 Rows: a null text counts as one without words; it fails the base rules. Null languages and sources are
 groups of their own. Repeated rows are separate documents. Other columns are ignored.
@@ -23,9 +24,9 @@ from gavelflow.llm.common import Stage
 REL = 0.02
 LEAST = 1e-4
 MIN_GROUP = 50
-SPREAD = 8.0
-#: Values up to these never fail, whatever the thresholds.
-FLOORS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.3, "repeat_ratio": 0.1, "mean_word": 12.0}
+#: Quantile and spread. Symbols are the mark of junk, which may be a fifth of a group; the other ratios have
+#: a long tail in good documents too, and the base rules have taken the worst repeats.
+FENCE = {"symbol_ratio": (0.8, 1.0), "dup_line_ratio": (0.99, 1.0), "repeat_ratio": (0.99, 1.0), "mean_word": (0.95, 1.0)}
 WINDOW = 5
 MIN_WORDS = 10
 
@@ -104,7 +105,7 @@ def ratios(rows: DataFrame) -> dict[str, Column]:
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): the mergeable sketches."""
     each = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("v")) for k, v in ratios(rows).items()])
-    x = rows.select("lang", "source", F.explode(each).alias("r")).select("lang", "source", "r.ratio", "r.v")
+    x = rows.where(~F.col("base_failed")).select("lang", "source", F.explode(each).alias("r")).select("lang", "source", "r.ratio", "r.v")
     bucket = F.when(F.col("v") <= LEAST, 0).otherwise(F.ceil(F.log(F.col("v") / LEAST) / F.log(F.lit((1 + REL) / (1 - REL)))))
     return x.groupBy("lang", "source", "ratio", bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -121,13 +122,14 @@ def limits(sketch: DataFrame, *by: str) -> DataFrame:
     x = x.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
     factor = (1 + REL) / (1 - REL)
     value = F.when(F.col("bucket") == 0, 0.0).otherwise(LEAST * F.pow(F.lit(factor), F.col("bucket")))
+    of = lambda i: F.coalesce(*[F.when(F.col("ratio") == k, F.lit(x[i])) for k, x in FENCE.items()])
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("size") * q, value))
-    found = x.groupBy(*by, "ratio").agg(F.max("size").alias("size"), at(0.5).alias("q50"), at(0.75).alias("q75"))
-    return found.select(*by, "ratio", "size", (F.col("q50") + SPREAD * (F.col("q75") - F.col("q50"))).alias("most"))
+    found = x.groupBy(*by, "ratio").agg(F.max("size").alias("size"), at(0.5).alias("q50"), at(of(0)).alias("q"))
+    return found.select(*by, "ratio", "size", (F.col("q") + of(1) * (F.col("q") - F.col("q50"))).alias("most"))
 
 
 def _wide(found: DataFrame, by: list[str], level: str) -> DataFrame:
-    most = [F.max(F.when(F.col("ratio") == k, F.col("most"))).alias(f"{level}_{k}") for k in FLOORS]
+    most = [F.max(F.when(F.col("ratio") == k, F.col("most"))).alias(f"{level}_{k}") for k in FENCE]
     return found.groupBy(*by).agg(F.max("size").alias(f"{level}_size"), *most)
 
 
@@ -143,7 +145,7 @@ def judge(docs: DataFrame) -> DataFrame:
         every = _wide(limits(merged(sketch)), [], "all")
         both = both.crossJoin(F.broadcast(every))  # one row
         most = lambda k: F.when(F.col("one_size") >= MIN_GROUP, F.col(f"one_{k}")).when(F.col("lang_size") >= MIN_GROUP, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
-        both = stage.cut(both.select("g_lang", "g_source", *[F.greatest(most(k), F.lit(v)).alias(f"most_{k}") for k, v in FLOORS.items()]), keep=True)
+        both = stage.cut(both.select("g_lang", "g_source", *[most(k).alias(f"most_{k}") for k in FENCE]), keep=True)
     joined = rows.join(both, rows["lang"].eqNullSafe(both["g_lang"]) & rows["source"].eqNullSafe(both["g_source"]), "left")
     bad = F.array_compact(F.array(*[F.when(v > F.col(f"most_{k}"), F.lit(k)) for k, v in ratios(rows).items()]))
     return joined.select(
@@ -165,15 +167,14 @@ _OVER = {
     "mean_word": "word_chars / greatest(n_words, 1)",
 }
 _EACH = " union all ".join(f"select row, lang, source, '{k}' as ratio, ({v})::double as v from m" for k, v in _OVER.items())
-_LIMIT = """select {by} ratio, max(size) as size,
-  min(value) filter (upto >= size * 0.5) as q50, min(value) filter (upto >= size * 0.75) as q75
+_OF = ["case ratio " + " ".join(f"when '{k}' then {x[i]}::double" for k, x in FENCE.items()) + " end" for i in range(2)]
+_LIMIT = """select {by} ratio, size, q + ({spread}) * (q - q50) as most from (select {by} ratio, max(size) as size,
+  min(value) filter (upto >= size * 0.5) as q50, min(value) filter (upto >= size * ({tail})) as q
   from (select *, sum(n) over (partition by {by} ratio) as size,
     sum(n) over (partition by {by} ratio order by bucket) as upto,
     case when bucket = 0 then 0.0::double else {least}::double * pow({factor}::double, bucket) end as value
-    from (select {by} ratio, bucket, sum(n) as n from sketch group by {by} ratio, bucket)) group by {by} ratio"""
+    from (select {by} ratio, bucket, sum(n) as n from sketch group by {by} ratio, bucket)) group by {by} ratio)"""
 _FACTOR = repr((1 + REL) / (1 - REL))
-_FLOOR = " ".join(f"when '{k}' then {v}::double" for k, v in FLOORS.items())
-_SPREAD = lambda t: f"{t}.q50 + {SPREAD}::double * ({t}.q75 - {t}.q50)"
 
 ORACLE_SQL = f"""
 with d as (
@@ -193,19 +194,18 @@ m as (select d.row, doc_id, lang, source, len(w)::bigint as n_words,
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
   from d left join cov using (row) left join ln using (row)),
 v as ({_EACH}),
-sketch as (select lang, source, ratio,
+sketch as (select v.lang, v.source, ratio,
     (case when v <= {LEAST}::double then 0 else ceil(ln(v / {LEAST}::double) / ln({_FACTOR}::double)) end)::int as bucket, count(*) as n
-  from v group by all),
-one as ({_LIMIT.format(by="lang, source,", least=LEAST, factor=_FACTOR)}),
-lng as ({_LIMIT.format(by="lang,", least=LEAST, factor=_FACTOR)}),
-every as ({_LIMIT.format(by="", least=LEAST, factor=_FACTOR)}),
-f as (select v.row, v.ratio, v.v > greatest(case v.ratio {_FLOOR} end,
-    case when one.size >= {MIN_GROUP} then {_SPREAD("one")} when lng.size >= {MIN_GROUP} then {_SPREAD("lng")} else {_SPREAD("every")} end) as fails
+  from v join m using (row) where not (n_words < {MIN_WORDS} or n_repeat_words * 100 > n_words * 20) group by all),
+one as ({_LIMIT.format(by="lang, source,", least=LEAST, factor=_FACTOR, tail=_OF[0], spread=_OF[1])}),
+lng as ({_LIMIT.format(by="lang,", least=LEAST, factor=_FACTOR, tail=_OF[0], spread=_OF[1])}),
+every as ({_LIMIT.format(by="", least=LEAST, factor=_FACTOR, tail=_OF[0], spread=_OF[1])}),
+f as (select v.row, v.ratio, one.size is not null and v.v > case when one.size >= {MIN_GROUP} then one.most when lng.size >= {MIN_GROUP} then lng.most else every.most end as fails
   from v
-  join one on v.lang is not distinct from one.lang and v.source is not distinct from one.source and v.ratio = one.ratio
-  join lng on v.lang is not distinct from lng.lang and v.ratio = lng.ratio
-  join every on v.ratio = every.ratio),
-names as (select row, coalesce(string_agg(ratio, ',' order by list_position({list(FLOORS)}, ratio)) filter (fails), '') as failed_ratios
+  left join one on v.lang is not distinct from one.lang and v.source is not distinct from one.source and v.ratio = one.ratio
+  left join lng on v.lang is not distinct from lng.lang and v.ratio = lng.ratio
+  left join every on v.ratio = every.ratio),
+names as (select row, coalesce(string_agg(ratio, ',' order by list_position({list(FENCE)}, ratio)) filter (fails), '') as failed_ratios
   from f group by row)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {MIN_WORDS} or n_repeat_words * 100 > n_words * 20) as base_failed,

@@ -53,3 +53,19 @@ def test_counts_and_verdicts(spark, make_docs):
 
 def test_empty_table(spark, make_docs):
     assert op5_quality_rules(spark, make_docs([])).collect() == []
+
+
+def test_a_groups_own_distribution_decides(spark, make_docs):
+    """The same text, with a tenth of its characters symbols, fails among prose and stays among listings of code."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randrange(999)) for _ in range(n))
+    code = lambda n: " ".join("if<a>|b&" + str(r.randrange(9999)) for _ in range(n))
+    mixed = prose(36) + " && || ## $$ ** << >>" * 2
+    rows = [(d, prose(30), "en", "news") for d in range(100)] + [(200 + d, code(30), "en", "code") for d in range(100)]
+    rows += [(500, mixed, "en", "news"), (501, mixed, "en", "code"), (502, mixed, "en", "rare")]
+    kept = {x.doc_id: (x.kept, x.failed_ratios) for x in op5_quality_rules(spark, make_docs(rows)).collect()}
+    assert kept[500] == (False, "symbol_ratio") and kept[501] == (True, "")
+    # a small group goes by its language's sketch, in which half the documents are code
+    assert kept[502] == (True, "")
+    for part in (range(100), range(200, 300)):
+        assert sum(kept[d][0] for d in part) >= 94
