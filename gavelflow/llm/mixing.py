@@ -7,9 +7,11 @@ above goes to the others by weight (solved in closed form over the sources sorte
 Blocks: a source's documents are dealt by a seeded hash to about as many shards as each shard then
 has documents, the square root of their number, so neither a shard nor a source's list of shards
 becomes large: a source with a third of all rows is split like any other. Blocks of BLOCK words go to
-the sources by highest quotients target / (2 s + 1), then each source's to its shards by theirs. A
-shard lays its documents end to end in a seeded order, as a ring, and takes its quota of blocks from a
-seeded one on; so a block is always full, and a shard may be gone round twice but not more.
+the sources by highest quotients target / (2 s + 1), then each source's to its shards by theirs. What
+a small shard can't take of its quota, as it may be gone round CAP times only, and what a source's blocks
+are short of its target or beyond it, is dealt to its shards in their order, so each source takes its
+target to the word. A shard lays its documents end to end in a seeded order, as a ring, and takes its
+words from a seeded block on.
 
 Rows: a null text has 0 words and is never taken. A null source is a source of its own. Repeated rows
 are separate documents. Sources without words have target 0. Other columns are ignored by op2, and
@@ -100,19 +102,36 @@ def _tables(rows: DataFrame, stage: Stage, weights, share, cap, block) -> tuple[
     sources = targets(sources, weights, share, cap).withColumn("blocks", F.round(F.col("all_target") / block).cast("long"))
     sources = apportion(sources, [], ["nr"], "target", "blocks").withColumnRenamed("quota", "source_blocks")
     sources = stage.cut(sources.select("source", "nr", "source_size", "target", "shards", "source_blocks"), keep=True)
-    shards = _sharded(rows, sources).groupBy("nr", "source_blocks", "shard").agg(F.sum("_size").alias("shard_size"))
+    # within half a word of the target; not a half itself, at which engines could differ by their rounding errors
+    goal = F.floor(F.col("target") + 0.499).cast("long").alias("goal")
+    shards = _sharded(rows, sources).groupBy("nr", "source_blocks", goal, "shard").agg(F.sum("_size").alias("shard_size"))
     shards = apportion(shards, ["nr"], ["shard"], "shard_size", "source_blocks")
+    shards = _settled(shards.withColumn("_quota", F.col("quota") * block), int(cap))
     shards = shards.withColumn("_first", F.pmod(_number(_seeded("nr", "shard")), F.greatest(F.col("shard_size"), F.lit(1))))
     shards = shards.select(
         "nr",
         "shard",
         "shard_size",
-        F.least(F.col("quota") * block, F.col("shard_size") * int(cap)).alias("take"),
+        "take",
         (F.floor(F.col("_first") / block) * block).cast("long").alias("first"),
     )
     return sources, stage.cut(shards, keep=True)
 
 
+def _settled(shards: DataFrame, cap: int) -> DataFrame:
+    """Adds take: _quota, up to the shard's size cap times, and the difference to the source's goal dealt to its
+    shards in their order, each as far as it has room or words."""
+    own = Window.partitionBy("nr")
+    before = own.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    x = shards.withColumn("_take", F.least(F.col("_quota"), F.col("shard_size") * cap))
+    x = x.withColumn("_room", F.col("shard_size") * cap - F.col("_take"))
+    x = x.withColumn("_more", F.col("goal") - F.sum("_take").over(own))
+    add = F.greatest(F.lit(0), F.least(F.col("_more") - sum_before("_room"), F.col("_room")))
+    less = F.greatest(F.lit(0), F.least(-F.col("_more") - sum_before("_take"), F.col("_take")))
+    return x.withColumn("take", F.col("_take") + add - less).drop("_take", "_room", "_more")
+
+
 def _sharded(rows: DataFrame, sources: DataFrame) -> DataFrame:
     joined = rows.join(sources, rows["_source"].eqNullSafe(sources["source"])).drop(sources["source"])
     return joined.withColumn("shard", F.pmod(_number(F.col("_h")), F.col("shards")))
@@ -204,10 +223,18 @@ shq as (
   select nr, shard, source_blocks, row_number() over (partition by nr order by shard_size / (2 * s + 1) desc, shard) as r
   from sh join sb using (nr), unnest(range(0, 2 * shard_size // {BLOCK} + 10)) as u(s) where shard_size > 0),
 won as (select nr, shard, count(*) as q from shq where r <= source_blocks group by nr, shard),
+own as (
+  select nr, shard, shard_size, least(coalesce(q, 0) * {BLOCK}, 2 * shard_size)::bigint as t0, floor(target + 0.499)::bigint as goal
+  from sh join tgt using (nr) left join won using (nr, shard)),
+gap as (
+  select *, 2 * shard_size - t0 as room, goal - sum(t0) over (partition by nr) as d,
+    coalesce(sum(2 * shard_size - t0) over w, 0) as room_before, coalesce(sum(t0) over w, 0) as t0_before
+  from own window w as (partition by nr order by shard rows between unbounded preceding and 1 preceding)),
 ring as (
-  select nr, shard, shard_size, least(coalesce(q, 0) * {BLOCK}, 2 * shard_size)::bigint as take,
+  select nr, shard, shard_size,
+    (t0 + greatest(0, least(d - room_before, room)) - greatest(0, least(-d - t0_before, t0)))::bigint as take,
     (('0x' || substr(md5('{SEED}|' || nr || '|' || shard), 1, 12))::bigint % greatest(shard_size, 1)) // {BLOCK} * {BLOCK} as first
-  from sh left join won using (nr, shard)),
+  from gap),
 placed as (
   select d.*, sum(size) over (partition by nr, shard order by h, doc_id rows unbounded preceding) - size as a from dealt d),
 cutup as (

@@ -53,7 +53,7 @@ def test_targets_quotas_and_rerun(spark, make_docs):
         by_size[(x.source_size, round(x.target, 6))] += x.taken
     assert {k for k in by_size} == {(sizes[s], round(t, 6)) for s, t in want.items()}
     for (_, t), taken in by_size.items():
-        assert abs(taken - t) <= max(2 * mixing.BLOCK, 0.02 * t)
+        assert abs(taken - t) <= 1
 
 
 def test_oracle_sql_gives_the_same_rows(spark, make_docs):
@@ -93,6 +93,22 @@ def test_mixed_documents_have_the_words_taken(spark, make_docs):
     assert words == {d: n for d, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("n, words, other", [(200, 1, 100000), (200, 1, 700), (100, 3, 100000), (7, 1, 5), (3, 40, 1)])
+def test_small_sources_reach_their_targets(spark, make_docs, n, words, other):
+    rows = [(d, "w " * words, "en", "a") for d in range(n)] + [(1000 + d, "v " * (other // 10 + 1), "en", "b") for d in range(10)]
+    folder = make_docs(rows)
+    want = brute_targets({"a": n * words, "b": 10 * (other // 10 + 1)})
+    got = op2_source_mixing(spark, folder).collect()
+    for low, source in ((True, "a"), (False, "b")):
+        mine = [x for x in got if (x.doc_id < 1000) == low]
+        assert all(0 <= x.taken <= 2 * x.size for x in mine)
+        assert abs(sum(x.taken for x in mine) - want[source]) <= 1
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    taken = {x[0]: x[4] for x in con.execute(mixing.ORACLE_SQL).fetchall()}
+    assert taken == {x.doc_id: x.taken for x in got}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "en", None)]])
 def test_empty(spark, make_docs, rows):
     folder = make_docs(rows)

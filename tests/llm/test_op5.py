@@ -60,7 +60,7 @@ def test_a_groups_own_distribution_decides(spark, make_docs):
     r = random.Random(9)
     prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randrange(999)) for _ in range(n))
     code = lambda n: " ".join("if<a>|b&" + str(r.randrange(9999)) for _ in range(n))
-    mixed = prose(36) + " && || ## $$ ** << >>" * 2
+    mixed = prose(36) + "".join(f" {x}{x}{i}" for i, x in enumerate("&|#$*<>&|#$*<>"))
     rows = [(d, prose(30), "en", "news") for d in range(100)] + [(200 + d, code(30), "en", "code") for d in range(100)]
     rows += [(500, mixed, "en", "news"), (501, mixed, "en", "code"), (502, mixed, "en", "rare")]
     kept = {x.doc_id: (x.kept, x.failed_ratios) for x in op5_quality_rules(spark, make_docs(rows)).collect()}
