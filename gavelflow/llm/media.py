@@ -6,7 +6,7 @@ resampling by UP / DOWN (windowed sinc, one filter for each output phase), frame
 every HOP, their power spectra in MELS overlapping triangular bands on the mel scale, in decibels, and
 the frames' energies, cut into segments by two thresholds: a segment is a run above the low one that
 reaches the high one. Log-mel frames are laid out in tensors of SHAPE, the last one padded, each with
-its span of time.
+its span of time. op9's values are computed from the stored file and the stored tensors, read back.
 
 Every clip is computed by itself, and features are rounded, so equal texts have equal values in any
 batch. Rows: null counts as empty (one block of zeros). Repeated rows repeat their values. Other
@@ -24,13 +24,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelflow.llm import worker
+
 BLOCK = 64
 RATE = 16_000
-UP, DOWN = 1, 2
-FRAME, HOP, FFT, MELS = 200, 80, 256, 40
+UP, DOWN = 5, 8
+FRAME, HOP, FFT, MELS = 250, 100, 256, 40
 SHAPE = (96, MELS)
 LOW_DB, HIGH_DB = 1.0, 4.0
 
@@ -65,21 +68,21 @@ def _filter(up: int, down: int, half: int = 10) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """x at up / down times its rate. Output n lies at input n * down / up; outputs of one phase use one
-    branch of the filter, so no zeros are multiplied."""
+    """x at up / down times its rate. Output n lies at input n * down / up. Outputs r, r + up, ... have one
+    phase: they use one branch of the filter, at inputs that are down apart, so neither zeros between inputs
+    nor outputs that are dropped again are computed."""
     h = _filter(up, down)
     mid = len(h) // 2
     size = -(-len(x) * up // down)
     out = np.zeros(size)
-    for r in range(up):
-        at = r * down  # in steps of the input's rate times up
+    taps = -(-len(h) // up)
+    padded = np.concatenate([np.zeros(taps), x, np.zeros(taps + down)])
+    for r in range(min(up, size)):
+        at = r * down + mid  # of the output's last tap, in steps of the input's rate times up
+        branch = h[at % up :: up][::-1]
+        first = at // up + taps - len(branch) + 1
         n = len(range(r, size, up))
-        if not n:
-            continue
-        phase, first = (at + mid) % up, (at + mid) // up
-        branch = np.convolve(x, h[phase::up])
-        y = branch[first::down][:n]
-        out[r::up][: len(y)] = y
+        out[r::up] = np.lib.stride_tricks.sliding_window_view(padded, len(branch))[first::down][:n] @ branch
     return out
 
 
@@ -125,10 +128,9 @@ class Clip:
     """One text's media and features."""
 
     def __init__(self, text: str | None):
-        self.n_bytes = len((text or "").encode("utf-8"))
         self.media = to_wav(payload(text))
-        self.samples, rate = from_wav(self.media)  # what follows sees only the stored bytes
-        x = (np.frombuffer(self.samples, dtype=np.uint8).astype(np.float64) - 128) / 128
+        samples, rate = from_wav(self.media)  # what follows sees only the stored bytes
+        x = (np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128) / 128
         self.rate = rate * UP / DOWN
         mel, energy = log_mel(resample(x), self.rate)
         self.mel = np.round(mel, 2).astype(np.float32)
@@ -145,14 +147,20 @@ class Clip:
         step = HOP / self.rate
         return [(round(i * step, 3), round(min(i + SHAPE[0], len(self.mel)) * step, 3)) for i in range(0, len(self.mel), SHAPE[0])]
 
-    def feature(self) -> str:
-        spans = ",".join(f"{a:.3f}-{b:.3f}" for a, b in self.spans)
-        return f"frames={len(self.mel)};mel={hashlib.sha256(self.mel.tobytes()).hexdigest()[:32]};spans={spans}"
+
+def feature(tensors: bytes, spans: list[dict]) -> str:
+    """Of stored tensors and segments: how many tensors there are, a hash of their values, where the last one
+    ends, and the segments."""
+    table = pa.ipc.open_stream(tensors).read_all()
+    values = table.column("log_mel").combine_chunks().to_numpy_ndarray()
+    said = ",".join(f"{s['start_s']:.3f}-{s['end_s']:.3f}" for s in spans)
+    digest = hashlib.sha256(np.ascontiguousarray(values).tobytes()).hexdigest()[:32]
+    return f"tensors={len(values)};mel={digest};end={table.column('end_s')[-1].as_py():.3f};spans={said}"
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """doc_id, media (a WAV file), spans (sounding segments) and tensors: an Arrow IPC stream of a
-    fixed-shape tensor column and its start and end times, a row for each tensor."""
+    """doc_id, n_bytes (of the text), media (a WAV file), spans (sounding segments) and tensors: an Arrow IPC
+    stream of a fixed-shape tensor column and its start and end times, a row for each tensor."""
 
     def ipc(clip: Clip) -> bytes:
         spans = clip.tensor_spans()
@@ -166,46 +174,49 @@ def media_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.slice(lo, 200)
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 clips = [Clip(t) for t in part.column(1).to_pylist()]
                 spans = [[{"start_s": a, "end_s": b} for a, b in c.spans] for c in clips]
                 kind = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([c.media for c in clips]), pa.array(spans, kind), pa.array([ipc(c) for c in clips])],
-                    ["doc_id", "media", "spans", "tensors"],
+                    [part.column(0), size, pa.array([c.media for c in clips]), pa.array(spans, kind), pa.array([ipc(c) for c in clips])],
+                    ["doc_id", "n_bytes", "media", "spans", "tensors"],
                 )
 
-    schema = "doc_id long, media binary, spans array<struct<start_s double, end_s double>>, tensors binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, media binary, spans array<struct<start_s double, end_s double>>, tensors binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(worker.batches("media", run), schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and what op9 returns of each row's media and features."""
+def digests(table: DataFrame) -> DataFrame:
+    """doc_id and what op9 returns of each row of a media table."""
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
         " media_sha256 string, feature string"
     )
     names = [x.split()[0] for x in schema.split(",")]
 
-    def row(clip: Clip) -> tuple:
+    def row(n_bytes: int, media: bytes, spans: list[dict], tensors: bytes) -> tuple:
+        samples, _ = from_wav(media)
         return (
-            clip.n_bytes,
-            len(clip.samples),
-            hashlib.sha256(clip.samples).hexdigest(),
-            zlib.crc32(clip.samples[-BLOCK:]),
-            len(clip.media),
-            hashlib.sha256(clip.media).hexdigest(),
-            clip.feature(),
+            n_bytes,
+            len(samples),
+            hashlib.sha256(samples).hexdigest(),
+            zlib.crc32(samples[-BLOCK:]),
+            len(media),
+            hashlib.sha256(media).hexdigest(),
+            feature(tensors, spans),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            cols = list(zip(*[row(Clip(t)) for t in batch.column(1).to_pylist()], strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+            stored = (batch.column(c).to_pylist() for c in ("n_bytes", "media", "spans", "tensors"))
+            cols = list(zip(*[row(*x) for x in zip(*stored, strict=True)], strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return table.select("doc_id", "n_bytes", "media", "spans", "tensors").mapInArrow(worker.batches("media", run), schema)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of all documents."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")))

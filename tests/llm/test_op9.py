@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gavelflow.llm.media import MELS, SHAPE, Clip, from_wav, log_mel, media_table, op9_media_columns, payload, resample, segments
+from gavelflow.llm.media import MELS, SHAPE, Clip, _filter, from_wav, log_mel, media_table, op9_media_columns, payload, resample, segments
 
 TEXTS = [(1, None), (2, ""), (3, "a"), (4, "é" * 32), (5, "x" * 64), (6, "long text é " * 4000), (6, "x" * 64), (None, "x" * 65), (7, "\0\xff\n")]
 
@@ -44,6 +44,31 @@ def test_resampling_keeps_a_low_tone(up, down):
     assert np.abs(y[inner] - want[inner]).max() < 0.02
 
 
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (5, 8), (3, 1), (2, 3), (8, 5)])
+@pytest.mark.parametrize("n", [1, 3, 64, 999])
+def test_resampling_is_filtering_between_zeros(up, down, n):
+    x = np.random.default_rng(n).normal(size=n)
+    h = _filter(up, down)
+    wide = np.zeros(n * up)
+    wide[::up] = x
+    want = np.convolve(wide, h)[len(h) // 2 :][: n * up][::down]
+    assert np.allclose(resample(x, up, down), want)
+
+
+def test_features_follow_from_the_text(spark, make_docs):
+    folder = make_docs([(d, t, "en", "s") for d, t in TEXTS])
+    want = {}
+    for _, t in TEXTS:
+        clip = Clip(t)
+        pad = np.zeros((-len(clip.mel) % SHAPE[0], MELS), dtype=np.float32)
+        full = np.concatenate([clip.mel, pad])
+        spans = ",".join(f"{a:.3f}-{b:.3f}" for a, b in clip.spans)
+        end = len(clip.mel) * 100 / 10000
+        want[hashlib.sha256(payload(t)).hexdigest()] = f"tensors={len(full) // SHAPE[0]};mel={hashlib.sha256(full.tobytes()).hexdigest()[:32]};end={end:.3f};spans={spans}"
+    for x in op9_media_columns(spark, folder).collect():
+        assert x.feature == want[x.payload_sha256]
+
+
 def test_mel_peak_and_segments():
     rate = 8000
     mel, _ = log_mel(np.sin(2 * np.pi * 1000 * np.arange(8000) / rate), rate)
