@@ -47,7 +47,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _crf_spans(model: Crf, texts: pa.Array) -> dict[int, list[tuple[int, int]]]:
-    """The field's spans in bytes, by row."""
+    """The field's spans in code points, by row."""
     out: dict[int, list[tuple[int, int]]] = {}
     for a, _, data, offs in tb.text_slices(texts):
         lines = Lines(data, offs)
@@ -62,8 +62,11 @@ def _crf_spans(model: Crf, texts: pa.Array) -> dict[int, list[tuple[int, int]]]:
         joined[1:] = (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1]) & (tags[at[1:]] == 2)
         first = np.flatnonzero(~joined)
         end = np.append(first[1:], len(at)) - 1
-        for i, s, e in zip(row[first].tolist(), lines.core_start[at[first]].tolist(), lines.core_end[at[end]].tolist(), strict=True):
-            out.setdefault(a + i, []).append((s - int(offs[i]), e - int(offs[i])))
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # words begin and end between code points
+        before = points[offs[row[first]]]
+        start, stop = points[lines.core_start[at[first]]] - before, points[lines.core_end[at[end]]] - before
+        for i, s, e in zip(row[first].tolist(), start.tolist(), stop.tolist(), strict=True):
+            out.setdefault(a + i, []).append((s, e))
     return out
 
 
@@ -87,9 +90,7 @@ def scan(texts: pa.Array, model: Crf) -> list[tuple[list[Span], list[Span]]]:
         text = texts[i].as_py()
         base = base_spans(text) if maybe[i] else []
         more = []
-        raw = text.encode()
         for s, e in tagged.get(i, ()):
-            s, e = len(raw[:s].decode(errors="replace")), len(raw[:e].decode(errors="replace"))
             if not _covered(s, e, base):
                 more.append(("crf", s, e))
         order = (*KINDS, "crf")
