@@ -12,11 +12,14 @@ from pyspark.sql.types import StringType
 
 # What counts as a word, a zero-width character and an emoji.
 WORDS = r"[A-Za-z\x{0400}-\x{04FF}0-9]+"
+# Hosts that shorten addresses.
+SHORTENERS = ("bit.ly", "t.co", "tinyurl.com", "goo.gl", "cutt.ly", "is.gd", "s.id", "clck.ru", "vk.cc", "ow.ly", "shorturl.at", "rebrand.ly")
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{200E}\x{200F}\x{2060}\x{FEFF}]"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-#: A web address: with a scheme or www., or a bare host with a top-level label of letters and a path.
-URL = r"(?i)(?:https?://|www\.)[^\x20\x09-\x0D<>\"']+|(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?:/[^\x20\x09-\x0D<>\"']*)?"
+#: A web address: with a scheme or www., or a bare host with a top-level label of letters and a path. A host that
+#: can start within a word can start where that word does, so no other place is tried.
+URL = r"(?i)(?:https?://|www\.)[^\x20\x09-\x0D<>\"']+|(?<![a-z0-9])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?:/[^\x20\x09-\x0D<>\"']*)?"
 #: Invite links: plain; with the dots spelt out or bracketed; with backslashes.
 _CODE = r"([A-Za-z0-9_-]{2,64})"
 INVITES = (
@@ -27,6 +30,11 @@ INVITES = (
 USER_MENTION, ROLE_MENTION, CHANNEL_MENTION = r"<@!?[0-9]+>", r"<@&[0-9]+>", r"<#[0-9]+>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -117,9 +125,9 @@ def longest_run(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
-def most_frequent_word(text: Column) -> Column:
-    """Occurrences of the most frequent word of two or more characters: runs in the sorted words."""
-    long = F.array_sort(F.filter(F.transform(words(text), F.lower), lambda w: F.length(w) >= 2))
+def most_frequent_word(found: Column) -> Column:
+    """Of an array of words, occurrences of the most frequent one of two or more characters: runs in order."""
+    long = F.sort_array(F.transform(F.filter(found, lambda w: F.length(w) >= 2), F.lower))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
 
     def step(acc: Column, w: Column) -> Column:
@@ -141,7 +149,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "_letters": _kept(m, r"[^\p{L}]"),
         "_upper": _kept(m, r"[^\p{Lu}]"),
         "_run": longest_run(m),
-        "_most": most_frequent_word(F.col("_raw")),
+        "_most": most_frequent_word(F.col("_words")),
         "_size": size,
         "_sizes": sizes,
         "domains": domains(F.col("urls")),
@@ -179,6 +187,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "invite_count": F.size("invites").cast("long"),
         "has_url": F.size("urls") > 0,
         "has_invite": F.size("invites") > 0,
+        "has_shortener": F.exists("domains", lambda d: matches_suffix(d, SHORTENERS)),
     }
     return df.withColumns(out).drop("_raw", "_words", "_metric", "_letters", "_upper", "_run", "_most", "_size", "_sizes")
 
@@ -200,6 +209,18 @@ def folded(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_fold(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
 
 
+@F.pandas_udf(StringType())
+def _casefold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(str.casefold, na_action="ignore")
+
+
+def casefolded(text: Column) -> Column:
+    """Case-folded text; ASCII text, for which that is its lower case, stays in the JVM."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, F.lower(text)).otherwise(_casefold(F.when(~plain, text)))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

@@ -116,3 +116,8 @@ def load_plan(spark, users: int, messages: int, channels: int, scenarios: int, s
     n = users * messages
     s = F.col("id")
     return spark.range(n).select(s.alias("sequence"), (s % users).alias("user"), (s % channels).alias("channel"), (s % scenarios).alias("scenario"), F.round(s * seconds / n, 6).alias("offset_s"))
+
+
+def median_runs(runs: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
+    """The median of each metric over the repeats of a benchmark, a row a run."""
+    return runs.groupBy(*group).agg(*[F.median(m).alias(m) for m in metrics])

@@ -231,3 +231,101 @@ def relabel(df: DataFrame, annotated: DataFrame, key: str) -> DataFrame:
         "review": F.coalesce("requires_review", F.lit(False)) & harmful,
         "severity": F.greatest(F.col("severity"), F.coalesce("minimum", F.lit(0))),
     })
+
+
+def rule_misses(rows: DataFrame, annotated: DataFrame, key: str, labels: str = "label_names") -> DataFrame:
+    """How many rows lack a label that annotation (key, added) finds."""
+    missing = F.array_except(F.coalesce("added", F.array().cast("array<string>")), F.col(labels))
+    return rows.join(annotated.select(key, "added"), key, "left").agg(F.count("*").alias("n_rows"), F.count_if(F.size(missing) > 0).alias("n_misses"))
+
+
+def family_rows(rows: DataFrame, annotated: DataFrame, key: str, upstream: str, required: str, text_key: str, prefix: str, fraction: float = 0.1, seed: str = SEED) -> DataFrame:
+    """Of the rows with upstream 1, what becomes of each: outcome skipped_without_family or review_not_targeted, or
+    written, with a record id, the labels of the annotation (key, topics, added, minimum) and a split."""
+    x = rows.where(F.col(upstream) == 1).join(annotated, key)
+    outcome = F.when(~F.array_contains("topics", "family"), "skipped_without_family").when(~F.array_contains("added", required), "review_not_targeted").otherwise("written")
+    names = decode_mask(encode_mask(F.col("added")))
+    x = x.withColumn("outcome", outcome)
+    kept = F.col("outcome") == "written"
+    return x.withColumns({
+        "record_id": F.when(kept, F.concat(F.lit(prefix), F.col(key).cast("string"))),
+        "label_names": F.when(kept, names),
+        "split": F.when(kept, split_of(F.col(text_key), fraction, seed)),
+    })
+
+
+def profanity_rows(lines: DataFrame, key, fraction: float = 0.1, seed: str = SEED) -> DataFrame:
+    """(id, text, label_names, primary_label, severity, split) of JSON lines (line, value) of curated rows: labels in
+    schema order, ids from the numbers of the lines, which don't depend on how the file is split. Blank lines are
+    skipped and counted; bad JSON is an error."""
+    schema = "text string, label_names array<string>, severity int, _bad string"
+    x = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.length(F.trim("value")) > 0)
+    x = x.select("line", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.raise_error(F.concat(F.lit("bad JSON in line "), F.col("line").cast("string")))
+    text = F.when(F.col("r._bad").isNotNull(), bad.cast("string")).otherwise(F.col("r.text"))
+    x = x.select(F.concat(F.lit("profanity_"), F.col("line").cast("string")).alias("id"), text.alias("text"), F.col("r.label_names").alias("labels"), F.col("r.severity").alias("severity"))
+    x = x.withColumn("added", F.array().cast("array<string>")).withColumn("minimum", F.lit(0))
+    out = normalized_row(x, "labels", "added", "severity", "minimum").withColumn("split", split_of(key(F.col("text")), fraction, seed))
+    return out.select("id", "text", "label_names", "primary_label", "severity", "split")
+
+
+def check_audit(errors: DataFrame, counts: DataFrame, minimum: dict[tuple[str, str], int]) -> None:
+    """Raise unless structural_errors found none and counts (label, split, n) reach the minimum of each
+    (label, split). Both are a few rows."""
+    row = errors.first()
+    wrong = {k: v for k, v in row.asDict().items() if k != "n_rows" and v}
+    if wrong:
+        raise ValueError(f"the dataset is not clean: {wrong}")
+    have = {(r["label"], r["split"]): r["n"] for r in counts.collect()}
+    short = {k: (have.get(k, 0), v) for k, v in minimum.items() if have.get(k, 0) < v}
+    if short:
+        raise ValueError(f"too few rows (have, need): {short}")
+
+
+def completed(sources: list[tuple[str, DataFrame]], minimum: dict[tuple[str, str], int], publish) -> DataFrame:
+    """Gap completion: sources, the relabelled dataset first, are merged by key and split; publish(rows) writes them
+    and returns what it wrote, which is audited and must reach the minimum rows by (label, split). Returns it."""
+    rows = merged_split(merge(sources)).withColumn("label_names", decode_mask(F.col("mask")))
+    rows = rows.withColumns({"vector": one_hot(F.col("label_names")), "primary_label": primary_label(F.col("label_names"))})
+    rows = rows.withColumn("severity", F.when(F.col("label_names") == F.array(F.lit("SAFE")), 0).otherwise(F.col("severity")))
+    written = publish(rows)
+    counts = written.select("split", F.explode("label_names").alias("label")).groupBy("label", "split").agg(F.count("*").alias("n"))
+    check_audit(structural_errors(written, "vector", "label_names", "primary_label", "severity"), counts, minimum)
+    return written
+
+
+#: What a moderator says about a message.
+FEEDBACK = (
+    "message_id string, labels array<string>, primary_label string, scam_subtype string, severity int, recommended_action string, moderator_id string, feedback_type string,"
+    " is_false_positive boolean, is_false_negative boolean, needs_context boolean, annotator_confidence double, source string, notes string"
+)
+
+
+def enriched(decisions: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
+    """Decisions (key, labels, primary_label, severity, action) with what feedback says instead, field by field; an
+    empty list of labels says nothing."""
+    f = feedback.select(key, *[F.col(c).alias(f"_{c}") for c in ("labels", "primary_label", "severity", "recommended_action", "feedback_type")])
+    x = decisions.join(f, key, "left")
+    said = F.when(F.size("_labels") > 0, F.col("_labels"))
+    return x.withColumns({
+        "labels": F.coalesce(said, F.col("labels")),
+        "primary_label": F.coalesce("_primary_label", "primary_label"),
+        "severity": F.coalesce("_severity", "severity"),
+        "action": F.coalesce("_recommended_action", "action"),
+        "feedback_type": F.col("_feedback_type"),
+    }).drop(*[f"_{c}" for c in ("labels", "primary_label", "severity", "recommended_action", "feedback_type")])
+
+
+def training_rows(examples: DataFrame) -> DataFrame:
+    """The fifteen columns that training reads, of enriched examples."""
+    x = examples.withColumn("_names", F.coalesce("labels", F.array().cast("array<string>")))
+    x = x.withColumn("_primary", primary_label(F.when(F.size("_names") > 0, F.col("_names")).otherwise(F.array("primary_label"))))
+    return x.select(
+        "event_id", "message_id", F.col("model_text").alias("text"), one_hot(F.col("_names")).alias("labels"), F.col("_names").alias("label_names"), F.col("_primary").alias("primary_label"), "severity", "source", "risk_score",
+        F.col("action").alias("decision_action"), "feedback_type", "policy_version", "features", "rule_matches", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+    )
+
+
+def dry_run(rows: DataFrame, order: list[str], n: int = 64) -> DataFrame:
+    """The first rows in an order, to try a training run with."""
+    return rows.orderBy(*order).limit(n)

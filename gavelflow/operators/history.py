@@ -23,18 +23,10 @@ def rates(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     return df.withColumns({k: F.count("*").over(_back([user], ts, s)) - 1 for k, s in spans})
 
 
-def repeats(df: DataFrame, text: str, user: str = "user_id", ts: str = "ts", history: int = 20) -> DataFrame:
-    """Adds repeated_10m, the user's other messages of equal text in ten minutes, and duplicate_score, that
-    over the number of earlier messages (up to history)."""
-    order = Window.partitionBy(user).orderBy(ts, *(["event_id"] if "event_id" in df.columns else []))
-    x = df.withColumn("repeated_10m", F.count("*").over(_back([user, text], ts, 600)) - 1)
-    seen = F.least(F.row_number().over(order) - 1, F.lit(history))
-    return x.withColumn("duplicate_score", F.when(seen > 0, F.round(F.col("repeated_10m") / seen, 3)).otherwise(0.0))
-
-
 def recent_rates(df: DataFrame, text: str, user: str = "user_id", ts: str = "ts", tie: str = "event_id", history: int = 20) -> DataFrame:
-    """The same as a caller sees them who hands in at most history earlier messages: the frame is counted in
-    rows, and ages are checked inside it."""
+    """Rates as a caller sees them who hands in at most history earlier messages, repeated_10m, those of equal text
+    in ten minutes, and duplicate_score, that over all that were handed in: the frame is counted in rows, and
+    ages are checked inside it."""
     w = Window.partitionBy(user).orderBy(ts, tie).rowsBetween(-history, -1)
     x = df.withColumn("_recent", F.collect_list(F.struct(_micros(ts).alias("at"), F.col(text).alias("text"))).over(w))
     now = _micros(ts)
@@ -91,9 +83,14 @@ def running_size(df: DataFrame, key: str, order: list, size: str, most: int) ->
     return df.withColumn("total_size", F.sum(size).over(w)).withColumn("rejected", F.col("total_size") > most)
 
 
-def first_occurrence(df: DataFrame, key: list[str], order: list, inherit: list[str]) -> DataFrame:
-    """Adds is_duplicate, and gives later rows of a key the first one's values of the columns to inherit."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    out = df.withColumn("is_duplicate", F.row_number().over(w) > 1)
-    whole = w.rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumns({c: F.first(c).over(whole) for c in inherit})
+def first_occurrence(df: DataFrame, key: list[str], order: list[str], inherit: list[str]) -> DataFrame:
+    """Adds is_duplicate, and gives later rows of a key the first one's values of the columns to inherit. The first
+    rows are aggregated and joined back, so a key that many rows have is no one task's."""
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(*order, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(inherit)])).alias("_f"))
+    on = F.lit(True)
+    for i, k in enumerate(key):
+        on = on & df[k].eqNullSafe(F.col(f"_k{i}"))
+    out = df.join(first, on)
+    same = F.struct(*order).eqNullSafe(F.struct(*[F.col(f"_f.{c}") for c in order]))
+    out = out.withColumn("is_duplicate", ~same).withColumns({c: F.col(f"_f._v{i}") for i, c in enumerate(inherit)})
+    return out.drop("_f", *[f"_k{i}" for i in range(len(key))])

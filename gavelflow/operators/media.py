@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,7 +114,9 @@ def _hex(bits: np.ndarray) -> str:
 
 def _cosines(n: int = 32) -> np.ndarray:
     k, x = np.arange(n)[:, None], np.arange(n)[None, :]
-    return np.cos(np.pi * (2 * x + 1) * k / (2 * n))
+    basis = np.cos(np.pi * (2 * x + 1) * k / (2 * n))
+    basis[0] /= np.sqrt(2)
+    return basis
 
 
 _HASHES = T.StructType([T.StructField(c, T.StringType()) for c in ("ahash", "dhash", "phash")])
@@ -134,3 +138,96 @@ def picture_hashes(luma: pd.Series) -> pd.DataFrame:
         low = (basis @ p @ basis.T)[:8, :8]
         out.append((_hex(cells >= cells.mean()), _hex(p[:8, 1:9] >= p[:8, :8]), _hex(low >= np.median(low.ravel()[1:]))))
     return pd.DataFrame(out, columns=["ahash", "dhash", "phash"])
+
+
+def attachment_errors(requests: DataFrame, attachments: DataFrame, key: str, attachment: str, declared: str, flag: str) -> DataFrame:
+    """(key, errors) of requests: attachment ids must differ, the flag be set and the declared number be right."""
+    ids = attachments.groupBy(key, attachment).agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("n_ids"))
+    x = requests.join(ids, key, "left").fillna(0, ["n", "n_ids"])
+    errors = F.array_compact(F.array(
+        F.when(F.col("n_ids") < F.col("n"), F.lit("duplicate_attachment_id")), F.when(~F.col(flag), F.lit("flag_not_set")), F.when(F.col(declared) != F.col("n"), F.lit("count_mismatch"))
+    ))
+    return x.select(key, errors.alias("errors"))
+
+
+def attachments_of(events: DataFrame, attachments: DataFrame, key: str, only: Column | None = None) -> DataFrame:
+    """Attachments with their events; only: which attachments."""
+    return events.join(attachments if only is None else attachments.where(only), key)
+
+
+def labels_by_attachment(signals: DataFrame, attachment: str, order: str) -> DataFrame:
+    """(attachment, labels): each label once, in the order of its first signal."""
+    first = signals.groupBy(attachment, "label").agg(F.min(order).alias("_o"))
+    labels = F.transform(F.sort_array(F.collect_list(F.struct("_o", "label"))), lambda x: x["label"])
+    return first.groupBy(attachment).agg(labels.alias("labels"))
+
+
+def warnings(*lists: Column, most: int = 8) -> Column:
+    """Warnings of the text and of its attachments, each once, in order, the first so many."""
+    return F.slice(F.array_distinct(F.concat(*lists)), 1, most)
+
+
+def best_class(scores: Column, names: list[str], objectness: Column | None = None) -> Column:
+    """struct<cls, confidence>: the class of the greatest score, the first of equal ones, times the objectness."""
+    top = F.array_max(scores)
+    confidence = top if objectness is None else top * objectness
+    return F.struct(F.get(F.array(*map(F.lit, names)), (F.array_position(scores, top) - 1).cast("int")).alias("cls"), confidence.alias("confidence"))
+
+
+def known_matches(rows: DataFrame, key: str, sha256: str, registry: DataFrame, phash: str | None = None, most: int = 6) -> DataFrame:
+    """(key, kind): sha256 where the registry (sha256, phash) has the row's digest, else phash where it has a hash at
+    most so many bits away. phash columns are longs."""
+    exact = rows.join(registry.select(F.col("sha256").alias(sha256)).where(F.col(sha256).isNotNull()).distinct(), sha256, "left_semi").select(key, F.lit("sha256").alias("kind"))
+    if phash is None:
+        return exact
+    known = registry.where("phash is not null").select(F.monotonically_increasing_id().alias("_id"), F.col("phash").alias("_h"))
+    near = hamming_join(rows.where(F.col(phash).isNotNull()), key, phash, known, "_id", "_h", most).select(key).distinct()
+    return exact.unionByName(near.join(exact, key, "left_anti").select(key, F.lit("phash").alias("kind")))
+
+
+def known_signals(matches: DataFrame, key: str) -> DataFrame:
+    """Signals of known pictures: a scam for sure."""
+    return matches.select(key, F.lit(0).alias("pos"), F.lit("IMAGE").alias("source"), F.lit("SCAM").alias("label"), F.lit(1.0).alias("confidence"), F.lit(4).alias("severity"), F.lit(float(P.LABEL_WEIGHTS["SCAM"])).alias("risk_weight"), F.concat(F.lit("image.known_"), "kind").alias("rule_id"))
+
+
+def ocr_signals(rule_signals: DataFrame, scores: DataFrame, ocr: DataFrame, key: str) -> DataFrame:
+    """Signals of recognised text: those of the rules as they are, those of the classifier no surer than the
+    recognition (key, ocr_confidence); SAFE is none."""
+    cols = [c for c in rule_signals.columns if c != "source"]
+    least = F.least("confidence", F.coalesce("ocr_confidence", "confidence"))
+    seen = scores.where("label <> 'SAFE'").join(ocr.select(key, "ocr_confidence"), key)
+    seen = seen.withColumn("confidence", least).withColumn("rule_id", F.concat(F.lit("ocr."), F.lower("label")))
+    both = rule_signals.where("label <> 'SAFE'").select(*cols).unionByName(seen.select(*cols))
+    return both.withColumn("source", F.lit("OCR"))
+
+
+def image_classes(labels: dict[str, str], thresholds: dict[str, float] | None = None) -> dict[str, tuple[str, float]]:
+    """A map of other detectors' classes for detection_signals: names are trimmed and folded and not empty, labels
+    are SCAM or NSFW, thresholds from 0 to 1."""
+    clean = {k.strip().casefold(): v for k, v in labels.items()}
+    least = {k.strip().casefold(): v for k, v in (thresholds or {}).items()}
+    if "" in clean or any(v not in ("SCAM", "NSFW") for v in clean.values()):
+        raise ValueError("classes have names and map to SCAM or NSFW")
+    if any(not 0 <= v <= 1 for v in least.values()):
+        raise ValueError("thresholds are from 0 to 1")
+    return {k: (v, float(least.get(k, 0.0))) for k, v in clean.items()}
+
+
+def check_manifest(manifest: dict, sha256: str) -> None:
+    """Raise unless a detector's manifest is whole and names the model file with this digest."""
+    need = {"schema_version": "1", "model_name": r".{1,128}", "model_version": r".{1,128}", "license": "MIT", "source_repository": r"https://.+", "source_commit": "[0-9a-f]{40}", "onnx_sha256": "[0-9a-f]{64}", "output_layout": "xywh_objectness_classes|xywh_classes"}
+    wrong = [k for k, p in need.items() if not re.fullmatch(p, str(manifest.get(k, "")))]
+    names = list(manifest.get("class_names", []))
+    if not 1 <= len(names) <= 128 or len(set(names)) != len(names):
+        wrong.append("class_names")
+    if not isinstance(manifest.get("input_size"), int) or not 320 <= manifest["input_size"] <= 1280:
+        wrong.append("input_size")
+    if manifest.get("onnx_sha256") != sha256:
+        wrong.append("checksum")
+    if wrong:
+        raise ValueError(f"manifest: {wrong}")
+
+
+def disabled(attachments: DataFrame, provider: str) -> DataFrame:
+    """What a provider that is switched off says of each attachment: nothing, and a warning."""
+    return attachments.withColumns({"text": F.lit(None).cast("string"), "detections": F.array().cast("array<string>"), "warnings": F.array(F.lit(f"{provider}_disabled"))})

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gavelflow.functions.text import SHORTENERS  # noqa: F401
+
 # The labels, in the order that makes a label's bit in a mask.
 LABELS = ("SAFE", "SPAM", "ADVERTISEMENT", "INVITE", "SCAM", "TOXIC", "PROFANITY", "POLITICS_IRL", "HATE", "THREAT", "NSFW", "EVASION", "URL")
 # Which label of several is primary; the first wins.
@@ -32,7 +34,6 @@ ALLOWED_ACTIONS = ("LOG", "REVIEW", "WARN", "DELETE", "TIMEOUT", "BAN")
 REVIEWED_ACTIONS = ("BAN",)
 # Hosts.
 ALLOWED_DOMAINS = ("youtube.com", "youtu.be", "tiktok.com", "vm.tiktok.com")
-SHORTENERS = ("bit.ly", "t.co", "tinyurl.com", "goo.gl", "cutt.ly", "is.gd", "s.id", "clck.ru", "vk.cc", "ow.ly", "shorturl.at", "rebrand.ly")
 SUSPICIOUS_WORDS = ("airdrop", "bonus", "claim", "crypto", "gift", "login", "promo", "verify", "wallet")
 # Scopes, the most specific first.
 SCOPES = ("USER", "ROLE", "CHANNEL", "GUILD", "CHAT", "PLATFORM", "GLOBAL")

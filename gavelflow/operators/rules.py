@@ -65,10 +65,17 @@ def conditions(df: DataFrame, policy: P.Policy, words: dict | None = None) -> di
         if "url.shortener" in r:
             out["url.shortener"] = F.exists("domains", lambda d: T.matches_suffix(d, P.SHORTENERS) & ~T.matches_suffix(d, allowed))
     if "evasion.unicode" in r and "has_mixed_scripts" in df.columns:
-        out["evasion.unicode"] = F.col("has_mixed_scripts") | F.col("has_suspicious_unicode")
+        out["evasion.unicode"] = F.col("has_mixed_scripts") | F.col("has_suspicious_unicode") | _column(df, "separator_obfuscation", False)
     return out
 
 
+def _rule_id(df: DataFrame, rule_id: str) -> Column:
+    """The rule's id; evasion by spelling out a listed word has one of its own."""
+    if rule_id.endswith("evasion.unicode") and "separator_obfuscation" in df.columns:
+        return F.when(F.col("separator_obfuscation"), "preprocessing.evasion.separator_obfuscation").otherwise(rule_id)
+    return F.lit(rule_id)
+
+
 def emit(df: DataFrame, policy: P.Policy, words: dict | None = None) -> DataFrame:
     """Adds matches: array<struct<rule_id, labels, severity, confidence, risk_weight>>, in rule order."""
     each = []
@@ -78,7 +85,7 @@ def emit(df: DataFrame, policy: P.Policy, words: dict | None = None) -> DataFram
             F.when(
                 when,
                 F.struct(
-                    F.lit(rule.rule_id).alias("rule_id"),
+                    _rule_id(df, rule.rule_id).alias("rule_id"),
                     F.array(*map(F.lit, rule.labels)).alias("labels"),
                     F.lit(rule.severity).alias("severity"),
                     F.lit(float(rule.confidence)).alias("confidence"),

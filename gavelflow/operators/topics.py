@@ -77,7 +77,7 @@ def annotate_text(rules: TopicRules, compiled: dict, text: str) -> tuple[list[st
 
 def annotate(df: DataFrame, rules: TopicRules, text: str = "text") -> DataFrame:
     """Adds topics, added, minimum and requires_review. Spans need match offsets, which no built-in function
-    gives, so this is an Arrow UDF; rows without any topic are told apart before it by a pattern."""
+    gives, so this is an Arrow UDF; rows without any topic don't go there."""
     comp = lambda ps: [re.compile(p) for p in ps]
     compiled = {
         "topics": {k: comp(v) for k, v in rules.topics.items()}, "harms": {k: comp(v) for k, v in rules.harms.items()},
@@ -91,7 +91,10 @@ def annotate(df: DataFrame, rules: TopicRules, text: str = "text") -> DataFrame:
 
     from gavelflow.functions.text import curation_key
 
-    x = df.withColumn("_a", work(curation_key(F.col(text))))
+    every = "|".join(f"(?:{p})" for ps in rules.topics.values() for p in ps)
+    x = df.withColumn("_k", curation_key(F.col(text)))
+    # other rows go in as null, which costs nothing there
+    x = x.withColumn("_a", work(F.when(F.col("_k").rlike("(?U)" + every), F.col("_k")) if every else F.lit(None).cast("string")))
     return x.select(*df.columns, "_a.topics", "_a.added", "_a.minimum", "_a.requires_review")
 
 
@@ -101,17 +104,50 @@ def topic_flags(text: Column, topics: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(hit(ps), F.lit(k)) for k, ps in topics.items()]))
 
 
-def listed_words(df: DataFrame, key: str, text: str, vocabulary: DataFrame, least: int = 3) -> DataFrame:
-    """(key, word, category): for each word of a text the longest of its beginnings, of least characters or
-    more, that the vocabulary (word, category) has. A join by equality of beginnings."""
-    w = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))).alias("word"))
+# Beginnings and parts of words that are obscene whatever the vocabulary says.
+STEMS = ("бляд", "еба", "еби", "ебу", "ёба", "пизд", "пидор", "пидр", "хуе", "хуй", "суч", "долбоеб")
+
+
+def with_aliases(vocabulary: DataFrame) -> DataFrame:
+    """(word, category) with two more spellings of words that end in a soft sign, where the vocabulary doesn't
+    have them itself."""
+    words = vocabulary.select(F.lower("word").alias("word"), "category")
+    soft = words.where(F.col("word").endswith("ь"))
+    body = F.expr("substring(word, 1, length(word) - 1)")
+    more = soft.select(F.explode(F.array(F.concat(body, F.lit("д")), F.concat(body, F.lit("т")))).alias("word"), "category")
+    more = more.groupBy("word").agg(F.min("category").alias("category")).join(words, "word", "left_anti")
+    return words.unionByName(more)
+
+
+def listed_words(df: DataFrame, key: str, text: str, vocabulary: DataFrame, least: int = 3, stems: tuple[str, ...] = STEMS, stem_category: str = "obscene") -> DataFrame:
+    """(key, word, category): for each word of a text, and each word that it spells out letter by letter, the
+    category of the longest of its beginnings, of least characters or more, that the vocabulary (word, category)
+    has; else stem_category if one of the stems is in it. A join by equality of beginnings."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w-]+"), F.lit(0))
+    w = df.select(key, F.explode(F.array_distinct(F.concat(found, spelled_out(F.col(text))))).alias("word"))
     heads = w.where(F.length("word") >= least).select(key, "word", F.explode(F.sequence(F.lit(least), F.length("word"))).alias("n"))
     heads = heads.withColumn("head", F.expr("substring(word, 1, n)"))
-    hit = heads.join(vocabulary.select(F.lower("word").alias("head"), "category"), "head")
+    hit = heads.join(with_aliases(vocabulary).withColumnRenamed("word", "head"), "head").select(key, "word", "n", "category")
+    if stems:
+        stemmed = w.where(F.col("word").rlike("|".join(stems))).select(key, "word", F.lit(0).alias("n"), F.lit(stem_category).alias("category"))
+        hit = hit.unionByName(stemmed)
     return hit.groupBy(key, "word").agg(F.max(F.struct("n", "category")).alias("b")).select(key, "word", "b.category")
 
 
 def spelled_out(text: Column) -> Column:
     """Words that are spelt letter by letter with separators, squeezed: 3 to 32 letters."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(?<!\w)\p{IsCyrillic}(?:[\x20._*\-/|]+\p{IsCyrillic}){2,31}(?!\w)"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[\x20._*\-/|]+", "")))
+    run = r"(?iU)(?<![а-яё])(?:[а-яё][\s.\-·•*_|]+){2,}[а-яё](?![а-яё])"
+    found = F.regexp_extract_all(F.lower(text), F.lit(run), F.lit(0))
+    squeezed = F.transform(found, lambda x: F.regexp_replace(x, "(?iu)[^а-яё]+", ""))
+    return F.array_distinct(F.filter(squeezed, lambda x: (F.length(x) >= 3) & (F.length(x) <= 32)))
+
+
+def profanity_flags(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """Adds profanity_obscene, profanity_literary and separator_obfuscation to messages, for the rules. Only
+    hits are joined back."""
+    hit = listed_words(df, key, text, vocabulary)
+    has = lambda c: F.coalesce(F.bool_or(F.col("category") == c), F.lit(False))
+    by = hit.groupBy(key).agg(has("obscene").alias("profanity_obscene"), has("literary").alias("profanity_literary"), F.collect_set("word").alias("_words"))
+    x = df.join(by, key, "left")
+    out = {c: F.coalesce(c, F.lit(False)) for c in ("profanity_obscene", "profanity_literary")}
+    return x.withColumns({**out, "separator_obfuscation": F.coalesce(F.arrays_overlap("_words", spelled_out(F.col(text))), F.lit(False))}).drop("_words")

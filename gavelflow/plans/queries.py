@@ -118,13 +118,18 @@ def word_repetition_top(spark, sf):
     return w.where(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
-_KEY = r"trim(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+#: Folded as far as these tables go: they have no character that compatibility forms or full case folding change but ß.
+_KEY = r"trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+
+def text_key(c: str = "text") -> Column:
+    return T.curation_key(F.coalesce(F.col(c), F.lit("")))
 
 
 @query(f"""with k as (select sha256({_KEY}) as h from documents)
 select count(*)::bigint as n_rows, count(distinct h)::bigint as n_distinct, (count(*) - count(distinct h))::bigint as n_duplicates from k""")
 def text_hash_duplicates(spark, sf):
-    k = table(spark, sf, "documents", "text").select(F.sha2(T.simple_key(F.col("text")), 256).alias("h"))
+    k = table(spark, sf, "documents", "text").select(F.sha2(text_key(), 256).alias("h"))
     by = k.groupBy("h").agg(F.count("*").alias("n"))  # counts first, so no task holds all hashes of a distinct count
     return by.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
 
@@ -217,11 +222,12 @@ def flood_counts(spark, sf):
     return H.rates(table(spark, sf, "events", "event_id", "user_id", "ts")).drop("user_id", "ts")
 
 
-@query("""with x as (select event_id, (count(*) over (partition by user_id, event_type order by ts range between interval 600 seconds preceding and current row) - 1)::bigint as repeated_10m,
-  least(row_number() over (partition by user_id order by ts, event_id) - 1, 20) as seen from events)
-select event_id, repeated_10m, case when seen > 0 then round(repeated_10m / seen::double, 3) else 0.0 end as duplicate_score from x""")
+@query("""with w as (select event_id, ts, event_type, list({'at': ts, 'x': event_type}) over (partition by user_id order by ts, event_id rows between 20 preceding and 1 preceding) as past from events),
+n as (select event_id, len(coalesce(past, [])) as seen, len(list_filter(coalesce(past, []), lambda p: ts - p.at <= interval 600 seconds and p.x = event_type))::bigint as repeated_10m from w)
+select event_id, repeated_10m, case when seen > 0 then round(repeated_10m / seen::double, 3) else 0.0 end as duplicate_score from n""")
 def repeated_event_10m(spark, sf):
-    return H.repeats(table(spark, sf, "events", "event_id", "user_id", "ts", "event_type"), "event_type").select("event_id", "repeated_10m", "duplicate_score")
+    x = H.recent_rates(table(spark, sf, "events", "event_id", "user_id", "ts", "event_type"), "event_type")
+    return x.select("event_id", "repeated_10m", "duplicate_score")
 
 
 @query("""with w as (select e.event_id, e.ts, e.event_type, list({'at': p.ts, 'x': p.event_type}) over win as past from events e join events p using (event_id)
@@ -264,14 +270,14 @@ def running_size_limit(spark, sf):
 
 @query(f"""select doc_id, row_number() over w > 1 as is_duplicate, first_value(doc_id) over w as first_id from (select doc_id, {_KEY} as k from documents) window w as (partition by k order by doc_id rows between unbounded preceding and current row)""")
 def first_occurrences(spark, sf):
-    x = table(spark, sf, "documents", "doc_id", "text").withColumn("k", F.sha2(T.simple_key(F.col("text")), 256)).withColumn("first_id", F.col("doc_id")).drop("text")
+    x = table(spark, sf, "documents", "doc_id", "text").withColumn("k", F.sha2(text_key(), 256)).withColumn("first_id", F.col("doc_id")).drop("text")
     return H.first_occurrence(x, ["k"], ["doc_id"], ["first_id"]).select("doc_id", "is_duplicate", "first_id")
 
 
 # -- signals, risk, decisions ----------------------------------------------------------------------
 
 #: Low thresholds, so that the tables' texts, which are calm, go up the whole ladder.
-LOW = P.Policy().with_rules(spam__caps={"threshold": 0.05}, spam__repeated_words={"threshold": 5, "minimum_ratio": 0.04}, spam__emoji={"enabled": False}, spam__repeated_chars={"enabled": False}, url__detected={"enabled": False}, url__shortener={"enabled": False}, invite__detected={"enabled": False}, evasion__unicode={"enabled": False})
+LOW = P.Policy().with_rules(spam__caps={"threshold": 0.05}, spam__repeated_words={"threshold": 5, "minimum_ratio": 0.04})
 MODEL_LABELS = ("SAFE", "THREAT", "HATE", "SCAM", "TOXIC", "PROFANITY", "URL", "SPAM")
 
 
@@ -305,12 +311,38 @@ def _case(values: dict, key: str, default: str) -> str:
 
 
 _NAMES = str(list(MODEL_LABELS))
-_RULE_SIGNALS = """select doc_id, 0 as pos, 'PREPROCESSING' as source, 'SPAM' as label, {caps_c} as confidence, {caps_s} as severity, 10.0::double as risk_weight, 'preprocessing.spam.caps' as rule_id
-  from features where uppercase_ratio >= {caps} and text_length >= 8
-  union all select doc_id, 1, 'PREPROCESSING', 'SPAM', 0.72::double, 2, 20.0::double, 'preprocessing.spam.repeated_words'
-  from features where max_word_repetition_count >= 5 and word_count >= 5 and max_word_repetition_ratio >= {ratio}"""
-_SIGNALS = f"""{_FEATURES},
-rule_signals as ({_RULE_SIGNALS.format(caps_c="0.58::double", caps_s=1, caps=0.05, ratio=0.04)}),
+
+
+def _suffix(host: str, patterns) -> str:
+    return "(" + " or ".join(f"{host} = '{p}' or ends_with({host}, '.{p}')" for p in patterns) + ")"
+
+
+def _rule_signals(caps: float, ratio: float) -> str:
+    """Signals of all rules on texts, in rule order, with some thresholds."""
+    allowed, short = _suffix("h", P.ALLOWED_DOMAINS), _suffix("h", P.SHORTENERS)
+    rules = [
+        ("SPAM", 0.58, 1, 10, "spam.caps", f"uppercase_ratio >= {caps} and text_length >= 8"),
+        ("SPAM", 0.52, 1, 8, "spam.emoji", "emoji_ratio >= 0.35 and text_length >= 4"),
+        ("SPAM", 0.56, 1, 10, "spam.repeated_chars", "run >= 5 and text_length >= 6"),
+        ("SPAM", 0.72, 2, 20, "spam.repeated_words", f"max_word_repetition_count >= 5 and word_count >= 5 and max_word_repetition_ratio >= {ratio}"),
+        ("INVITE", 0.9, 3, 45, "invite.detected", " or ".join(f"regexp_matches(t, '{p}')" for p in T.INVITES)),
+        ("URL", 0.55, 1, 10, "url.detected", f"len(list_filter(hosts, lambda h: not {allowed})) > 0"),
+        ("URL", 0.68, 2, 20, "url.shortener", f"len(list_filter(hosts, lambda h: {short} and not {allowed})) > 0"),
+        ("SPAM", 0.68, 2, 20, "url.shortener", f"len(list_filter(hosts, lambda h: {short} and not {allowed})) > 0"),
+        ("EVASION", 0.64, 2, 20, "evasion.unicode", r"(has_cyrillic and has_latin) or regexp_matches(t, '\p{Cf}|[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]')"),
+    ]
+    one = "select doc_id, {i} as pos, 'PREPROCESSING' as source, '{0}' as label, {1}::double as confidence, {2} as severity, {3}.0::double as risk_weight, 'preprocessing.{4}' as rule_id from facts where {5}"
+    return " union all ".join(one.format(*r, i=i) for i, r in enumerate(rules))
+
+
+_FACTS = rf"""{_FEATURES},
+chars as (select doc_id, unnest(regexp_extract_all(lower(m), '(?s).')) as c, generate_subscripts(regexp_extract_all(lower(m), '(?s).'), 1) as i from features),
+islands as (select doc_id, c, i - row_number() over (partition by doc_id, c order by i) as g from chars where regexp_matches(c, '\p{{L}}')),
+letter_runs as (select doc_id, max(n) as run from (select doc_id, c, g, count(*) as n from islands group by all) group by doc_id),
+addresses as (select doc_id, list_transform(regexp_extract_all(t, '{_URL}'), lambda u: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(u), '[.,;:!?)\]}}]+$', ''), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^www\.', ''), '^www\.', '')) as hosts from features),
+facts as (select * from features left join letter_runs using (doc_id) join addresses using (doc_id))"""
+_SIGNALS = f"""{_FACTS},
+rule_signals as ({_rule_signals(0.05, 0.04)}),
 models as (
   select doc_id, 100 as pos, 'RUBERT' as source, {_NAMES}[1 + {_hex(1)} % 8] as label, round({_hex(2, 2)} / 255.0::double, 4) as confidence, ({_hex(7)} % 6)::int as severity, ({_hex(8)} * 4)::double as risk_weight, 'rubert.model' as rule_id from documents
   union all select doc_id, 101, 'QWEN', {_NAMES}[1 + (case when {_hex(6)} < 8 then {_hex(5)} else {_hex(1)} end) % 8], round({_hex(9, 2)} / 255.0::double, 4), ({_hex(11)} % 6)::int, ({_hex(8)} * 4)::double, 'qwen.model' from documents),
@@ -410,26 +442,26 @@ for _mode in ("ACTIVE", "PASSIVE", "STRICT"):
     _decision(_mode)
 
 
-@query(f"""with {_FEATURES}, rule_signals as ({_RULE_SIGNALS.format(caps_c="0.58::double", caps_s=1, caps=0.65, ratio=0.5)}),
-risk as (select doc_id, max(greatest(20.0, risk_weight) * confidence * (case severity when 1 then 0.5 else 0.8 end)) as r from rule_signals group by doc_id),
-d as (select case when coalesce(r, 0) >= 50 then 'WARN' when coalesce(r, 0) >= 40 then 'REVIEW' when coalesce(r, 0) >= 10 then 'LOG' else 'IGNORE' end as action, case when r is null then 'SAFE' else 'SPAM' end as primary_label, round(coalesce(r, 0), 4) as risk from documents left join risk using (doc_id))
-select action, primary_label, count(*)::bigint as n, round(avg(risk), 4) as mean_risk from d group by all""")
-def moderation_decision_summary(spark, sf):
-    """The flagship: texts to features, rules, risk and decisions, counted by action."""
-    policy = P.Policy().with_rules(spam__emoji={"enabled": False}, spam__repeated_chars={"enabled": False}, url__detected={"enabled": False}, url__shortener={"enabled": False}, invite__detected={"enabled": False}, evasion__unicode={"enabled": False})
-    docs = features(spark, sf)
-    signals = E.confident(E.to_signals(E.emit(docs, policy), "doc_id", policy), policy)
-    x = K.decide(K.evaluate(table(spark, sf, "documents", "doc_id"), "doc_id", signals, policy), policy)
-    return x.groupBy("action", "primary_label").agg(F.count("*").alias("n"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
+#: Decisions on the signals of the rules alone, as they are by default.
+_PLAIN = _decision_sql("ACTIVE").replace(_rule_signals(0.05, 0.04), _rule_signals(0.65, 0.5)).replace("(select * from rule_signals union all select * from models)", "rule_signals")
 
 
-@query()
-def moderation_decisions_full(spark, sf):
-    """All rules as they are by default, addresses, invites and evasion included."""
+def _moderated(spark: SparkSession, sf: str) -> DataFrame:
     policy = P.Policy()
     signals = E.confident(E.to_signals(E.emit(features(spark, sf), policy), "doc_id", policy), policy)
-    x = K.decide(K.evaluate(table(spark, sf, "documents", "doc_id"), "doc_id", signals, policy), policy)
-    return x.select("doc_id", "risk_score", "primary_label", joined("labels").alias("labels"), "action", joined("rule_ids").alias("rule_ids"))
+    return K.decide(K.evaluate(table(spark, sf, "documents", "doc_id"), "doc_id", signals, policy), policy)
+
+
+@query(f"""with {_PLAIN} select action, primary_label, count(*)::bigint as n, round(avg(risk_score), 4) as mean_risk from decided group by all""")
+def moderation_decision_summary(spark, sf):
+    """The flagship: texts to features, all rules on texts, risk and decisions, counted by action."""
+    return _moderated(spark, sf).groupBy("action", "primary_label").agg(F.count("*").alias("n"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
+
+
+@query(f"""with {_PLAIN} select doc_id, d.risk_score, d.primary_label, d.labels, d.action, d.rule_ids from decided d""")
+def moderation_decisions_full(spark, sf):
+    """All rules on texts as they are by default, addresses, invites and evasion included."""
+    return _moderated(spark, sf).select("doc_id", "risk_score", "primary_label", joined("labels").alias("labels"), "action", joined("rule_ids").alias("rule_ids"))
 
 
 _STEPS = f"""with {_decision_sql("STRICT")}, planned as (select doc_id, unnest(plan) as p, generate_subscripts(plan, 1) - 1 as nth from decided),
@@ -543,12 +575,12 @@ _BUCKET = f"(('0x' || substr(sha256('{D.SEED}' || chr(0) || k), 1, 16))::uhugein
 
 @query(f"with k as (select doc_id, {_KEY} as k from documents) select doc_id, {_BUCKET} as bucket, case when {_BUCKET} < 1000 then 'validation' else 'train' end as split from k")
 def split_assignment(spark, sf):
-    key = T.simple_key(F.col("text"))
+    key = text_key()
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", D.split_bucket(key).alias("bucket"), D.split_of(key).alias("split"))
 
 
 def _curated(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
-    key = T.simple_key(F.col("text"))
+    key = text_key()
     d = table(spark, sf, "documents", "doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
     mask = F.when(F.col("toxic") == 1, 32).otherwise(1).bitwiseOR(F.when(F.col("quality") == 0, 2).otherwise(0)).cast("long")
     one = d.select(key.alias("norm"), "text", mask.alias("mask"), (F.col("doc_id") % 6).alias("severity"), D.split_of(key).alias("split"), F.col("doc_id").alias("pos"))
@@ -582,7 +614,7 @@ def merged_splits(spark, sf):
 
 @query(f"select count(*)::bigint as n from (select distinct {_KEY} as k from documents intersect select distinct {_KEY} from benchmark)")
 def cross_split_overlap(spark, sf):
-    k = T.simple_key(F.col("text")).alias("k")
+    k = text_key().alias("k")
     return D.cross_split(table(spark, sf, "documents").select(k), table(spark, sf, "benchmark").select(k), "k").agg(F.count("*").alias("n"))
 
 
@@ -600,7 +632,7 @@ def dataset_audit_labels(spark, sf):
 dim as (select t.topic, s.label from (values ('en'), ('de'), ('xx')) t(topic), (select distinct source as label from documents) s)
 select topic, label, coalesce(train, 0)::bigint as train, coalesce(validation, 0)::bigint as validation from dim left join c using (topic, label) where coalesce(train, 0) < 20 or coalesce(validation, 0) < 3""")
 def dataset_gaps(spark, sf):
-    d = table(spark, sf, "documents", "lang", "source", "text").withColumn("v", D.split_of(T.simple_key(F.col("text"))) == "validation")
+    d = table(spark, sf, "documents", "lang", "source", "text").withColumn("v", D.split_of(text_key()) == "validation")
     c = d.groupBy(F.col("lang").alias("topic"), F.col("source").alias("label")).agg(F.count_if(~F.col("v")).alias("train"), F.count_if("v").alias("validation"))
     topics = spark.createDataFrame([("en",), ("de",), ("xx",)], "topic string")
     dim = d.select(F.col("source").alias("label")).distinct().crossJoin(F.broadcast(topics))  # three topics
@@ -778,11 +810,12 @@ def packed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings", "vec_id", "embedding").select("vec_id", M.pack_bits(F.transform("embedding", lambda v: v > 0)).alias("h"))
 
 
-@query("""with b as (select vec_id, embedding from embeddings), k as (select vec_id as known, embedding as e from b where vec_id % 50 = 0),
+@query("""with b as (select vec_id, embedding, label from embeddings), k as (select vec_id as known, embedding as e from b where label = 0),
 d as (select b.vec_id, known, len(list_filter(range(1, 65), lambda i: (embedding[i] > 0) <> (e[i] > 0))) as distance from b, k) select vec_id, known, distance::int as distance from d where distance <= 12""")
 def hash_hamming_match(spark, sf):
+    """All hashes against those of a registry: the vectors of the first label."""
     p = packed(spark, sf)
-    return M.hamming_join(p, "vec_id", "h", p.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "known").withColumnRenamed("h", "kh"), "known", "kh", 12)
+    return M.hamming_join(p, "vec_id", "h", p.join(table(spark, sf, "embeddings", "vec_id", "label").where("label = 0").select("vec_id"), "vec_id").withColumnRenamed("vec_id", "known").withColumnRenamed("h", "kh"), "known", "kh", 12)
 
 
 _LINES = [(1, "first line", 0.9), (1, "noise", 0.2), (1, "second", 0.6), (2, "x", 0.99), (3, "half sure text", 0.46), (4, "fine", 0.8), (4, "also fine", 0.7)]
@@ -848,8 +881,8 @@ def image_hashes(spark, sf):
 @query()
 def redact_pii(spark, sf):
     x = R.redact(table(spark, sf, "documents", "doc_id", "text"))
-    kinds = F.array_join(F.transform(F.map_entries("redactions"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
-    return x.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), kinds.alias("redactions"), joined("injection_markers").alias("markers"))
+    kinds = F.array_join(F.transform("redactions", lambda e: F.concat_ws(":", e["kind"], e["count"], e["domain"])), ",")
+    return x.select("doc_id", F.col("text_hash").alias("redacted_sha256"), kinds.alias("redactions"), joined("injection_markers").alias("markers"))
 
 
 @query()
@@ -858,7 +891,7 @@ def training_texts(spark, sf):
 
 
 def _rlike(pattern: str) -> str:
-    return "regexp_matches(coalesce(text, ''), '" + pattern.replace("'", "''") + "')"
+    return "regexp_matches(coalesce(text, ''), '" + pattern.replace("(?iU)", "(?i)").replace("'", "''") + "')"
 
 
 @query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {_rlike(p)} then '{k}' end" for k, p in R.INJECTIONS) + "], lambda x: x is not null), ',') as markers from documents")
@@ -877,7 +910,7 @@ def topic_annotation(spark, sf):
     return x.select("doc_id", joined("topics").alias("topics"), joined("added").alias("added"), "minimum", "requires_review")
 
 
-@query(r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) as word from documents), v(head, category) as (values """ + ", ".join(f"('{a}', '{b}')" for a, b in DEMO_WORDS) + """),
+@query(r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_-]+')) as word from documents), v(head, category) as (values """ + ", ".join(f"('{a}', '{b}')" for a, b in DEMO_WORDS) + """),
 m as (select doc_id, word, category, row_number() over (partition by doc_id, word order by length(head) desc, category desc) as rn from w join v on starts_with(word, head)) select doc_id, word, category from m where rn = 1""")
 def profanity_tokens(spark, sf):
     v = spark.createDataFrame(DEMO_WORDS, "word string, category string")
@@ -961,3 +994,6 @@ def structural_audit(spark, sf):
 @query("select lang, count(*)::bigint as n, sum(n_chars)::bigint as n_chars from documents where lang = 'en' group by lang")
 def projected_scan(spark, sf):
     return IO.read_corpus(spark, f"{sf}/documents.parquet", "parquet", ["lang", "n_chars"]).where("lang = 'en'").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+from gavelflow.plans import more  # noqa: E402, F401

@@ -21,8 +21,13 @@ LATE = "10 minutes"
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the files of a folder, so many a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A stream of the files of a folder, so many a micro-batch, or of one file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def allowed(stamps: list[float], kept: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:

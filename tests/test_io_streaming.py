@@ -129,3 +129,61 @@ def test_windowed_stream(spark, tmp_path):
     q.stop()
     batch = {tuple(r) for r in ST.windowed_counts(df, "user_id", "ts").collect()}
     assert set(map(tuple, spark.table("counts").collect())) <= batch
+
+
+def test_yaml(spark, tmp_path):
+    assert IO.parse_yaml("a: 1\nb: {c: [x, y]}") == {"a": 1, "b": {"c": ["x", "y"]}}
+    for bad in ("a: 1\na: 2", "a: {b: 1, b: 2}", "- 1"):
+        with pytest.raises(ValueError):
+            IO.parse_yaml(bad)
+    (tmp_path / "p.yaml").write_text("min_confidence: 0.5")
+    from gavelflow.operators import policy as P
+
+    assert P.parse(IO.read_yaml(spark, str(tmp_path / "p.yaml"))).min_confidence == 0.5
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    root = str(tmp_path / "store")
+    IO.publish_tables({"a": spark.range(3), "b": spark.range(2)}, root)
+    IO.publish_tables({"a": spark.range(5), "b": spark.range(1)}, root)
+    got = IO.read_tables(spark, root)
+    assert (got["a"].count(), got["b"].count()) == (5, 1)
+
+
+def test_log_takes_each_key_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "log_id string, x long")
+    IO.append_log(rows, path)
+    IO.append_log(rows.unionByName(spark.createDataFrame([("c", 3)], rows.schema)), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_line_numbers_and_curated_lines(spark, tmp_path):
+    lines = [f'{{"text": "t{i}", "label_names": ["TOXIC"], "severity": {i % 4}}}' if i % 7 else "" for i in range(400)]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        numbered = IO.numbered_lines(spark, str(tmp_path / "x.jsonl"))
+        assert numbered.rdd.getNumPartitions() > 1
+        assert sorted((r.line, r.value) for r in numbered.collect()) == [(i + 1, x) for i, x in enumerate(lines)]
+        from gavelflow.functions import text as T
+        from gavelflow.operators import curate as D
+
+        rows = {r.id: r for r in D.profanity_rows(numbered, T.curation_key).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert set(rows) == {f"profanity_{i + 1}" for i in range(400) if i % 7}
+    assert rows["profanity_3"].text == "t2" and rows["profanity_3"].primary_label == "TOXIC"
+
+
+def test_bad_json_names_its_file(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"text": "x"}\n{oops\n')
+    with pytest.raises(Exception, match="bad.jsonl"):
+        IO.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_streamed_limits_are_the_batch_ones(spark):
+    from gavelflow.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert sorted(map(tuple, QUERIES["stream_rate_limit"](spark, sf).collect())) == sorted(map(tuple, QUERIES["rate_limit"](spark, sf).collect()))
