@@ -63,7 +63,7 @@ REDACTED = [
     ("see https://www.ex.com/a?b=1 and other.net and discord.gg/abc", "see <URL_DOMAIN:ex.com> and <URL_DOMAIN:other.net> and <DISCORD_INVITE>", ["url:ex.com", "url:discord.gg", "url:other.net"]),
     ("<@&99999> <#88888> <@1> x", "<DISCORD_ROLE_MENTION> <DISCORD_CHANNEL_MENTION> <@1> x", ["discord_role_mention:1", "discord_channel_mention:1"]),
     ("card 4111 1111 1111 1111 and mfa.abcdefghijklmnopqrstuv", "card <CARD> and <ACCESS_TOKEN>", ["access_token:1", "card:1"]),
-    ("1.2.3.4.5 stays, 256.1.1.1 too", "1.2.3.4.5 stays, 256.1.1.1 too", []),
+    ("1.2.3.4.5 is no address, 256.1.1.1 too", "<PHONE> is no address, <PHONE> too", ["phone:2"]),
 ]
 
 
