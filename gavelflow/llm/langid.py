@@ -59,11 +59,11 @@ def grams(text: str) -> np.ndarray:
 
 def profile(text: str, top: int = TOP) -> np.ndarray:
     """The most frequent n-grams, most frequent first, ties by hash."""
-    g = np.sort(grams(text), kind="stable")
+    g = np.sort(grams(text))
     if not len(g):
         return g
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    count = np.diff(np.append(first, len(g)))
+    first = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(g[1:] != g[:-1]) + 1, np.array([len(g)])])
+    count, first = np.diff(first), first[:-1]
     # a text has under 2**31 n-grams
     key = (-count.astype(np.int64) << 32) | g[first]
     if len(key) > top:
@@ -131,7 +131,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(np.stack(np.unique(grams(text), return_counts=True)))
+                by.setdefault(lang, []).append(np.stack(np.unique(grams(text), return_counts=True)))  # counts of whole texts
             for lang, parts in by.items():
                 g, n = np.concatenate(parts, axis=1)
                 key, at = np.unique(g, return_inverse=True)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from gavelflow.llm import langid
 from gavelflow.llm.langid import Model, grams, op10_language_id, profile
 
 WORDS = {
@@ -50,3 +51,17 @@ def test_nothing_to_learn(spark, make_docs):
     assert op10_language_id(spark, make_docs([])).collect() == []
     got = op10_language_id(spark, make_docs([(1, "some text", None, "s")])).collect()
     assert (got[0].lang_pred, got[0].score) == ("und", 0.0)
+
+
+def test_many_languages(spark, make_docs, monkeypatch):
+    """More languages than are broadcast: all are learned, by the other join."""
+    r = random.Random(8)
+    words = {f"l{i}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 6))) for _ in range(25)] for i in range(60)}
+    rows = [(d, " ".join(r.choice(words[f"l{d % 60}"]) for _ in range(40)), f"l{d % 60}", "s") for d in range(480)]
+    folder = make_docs(rows)
+    want = sorted(map(tuple, op10_language_id(spark, folder).collect()))
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", 10)
+    got = op10_language_id(spark, folder).collect()
+    assert sorted(map(tuple, got)) == want
+    held = [x for x in got if x.held_out]
+    assert sum(x.lang_pred == f"l{x.doc_id % 60}" for x in held) >= 0.95 * len(held) and len({x.lang_pred for x in got}) == 60

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from gavelflow.llm import jaccard_join
+from gavelflow.llm.common import KeyFilter
 from gavelflow.llm.jaccard_join import op3_jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,3 +83,23 @@ def test_every_link_is_counted(spark, make_docs, monkeypatch, light, block):
 
 def test_empty_table(spark, make_docs):
     assert op3_jaccard_join(spark, make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("n", [512, 2048])
+def test_long_words_of_patterns_that_polynomials_confuse(spark, make_docs, n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, f"{a} {b} {a} {b} {a} {b}"), (4, f"{b} {a} {b} {a} {b} {a}"), (5, f"{a} {b} {a} {b} {a} {b}")]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in op3_jaccard_join(spark, make_docs([(d, t, "en", "s") for d, t in rows])).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
+
+
+def test_full_filters_change_nothing(spark, make_docs, monkeypatch):
+    r = random.Random(3)
+    rows = [(d, " ".join(f"w{r.randrange(30)}" for _ in range(12)), "en", "s") for d in range(40)]
+    rows += [(100 + d, rows[d][1] + " tail", "en", "s") for d in range(20)]
+    folder = make_docs(rows)
+    want = sorted(map(tuple, op3_jaccard_join(spark, folder).collect()))
+    monkeypatch.setattr(KeyFilter, "MAX_BITS", 64)
+    assert sorted(map(tuple, op3_jaccard_join(spark, folder).collect())) == want

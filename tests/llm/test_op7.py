@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from gavelflow.llm import suffix_dedup
+from gavelflow.llm.common import KeyFilter
 from gavelflow.llm.suffix_dedup import WINDOW, dedup, op7_suffix_dedup
 
 
@@ -57,3 +58,10 @@ def test_anchors_of_many_segments(spark, make_docs, max_group):
 def test_empty_table(spark, make_docs):
     assert op7_suffix_dedup(spark, make_docs([])).collect() == []
     assert suffix_dedup.WINDOW == 200
+
+
+def test_full_filters_change_nothing(spark, make_docs, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(KeyFilter, "MAX_BITS", 64)
+    got = op7_suffix_dedup(spark, make_docs([(d, t, "en", "s") for d, t in rows])).collect()
+    assert sorted([tuple(x) for x in got], key=str) == brute(rows)
