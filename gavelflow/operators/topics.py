@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavelflow.functions.text import curation_key, let
+
 # How many characters a harm may be from a topic.
 LIMITS = {"threat": 16, "degradation": 24, "profanity": 32, "sexual": 48, "hate_action": 64, "sexual_abuse": 96}
 DIRECT, DEFAULT_LIMIT = 8, 96
@@ -26,76 +26,92 @@ class TopicRules:
     counter: list[str] = field(default_factory=list)
 
 
-def _spans(patterns: list[re.Pattern], text: str) -> list[tuple[int, int]]:
-    return [m.span() for p in patterns for m in p.finditer(text)]
-
-
-def distance(a: tuple[int, int], b: tuple[int, int]) -> int:
-    """Characters between two spans; 0 where they touch or overlap."""
-    return max(a[0] - b[1], b[0] - a[1], 0)
-
-
-def annotate_text(rules: TopicRules, compiled: dict, text: str) -> tuple[list[str], list[str], int, bool]:
-    """Topics, labels, least severity, and whether someone should look."""
-    topics = {k: s for k, p in compiled["topics"].items() if (s := _spans(p, text))}
-    if not topics:
-        return [], [], 0, False
-    harms = {k: _spans(p, text) for k, p in compiled["harms"].items()}
-    if any(p.search(text) for p in compiled["counter"]):
-        return sorted(topics), [], 0, any(harms.values())
-    context = _spans(compiled["group_context"], text)
-    labels: set[str] = set()
-    severity = 0
-
-    def found(new: tuple[str, ...], least: int) -> None:
-        nonlocal severity
-        labels.update(new)
-        severity = max(severity, least)
-
-    for topic, spans in topics.items():
-        grouped = topic in GROUPS
-        near = lambda harm, limit=None: any(
-            distance(s, h) <= (LIMITS.get(harm, DEFAULT_LIMIT) if limit is None else limit) for s in spans for h in harms.get(harm, ())  # noqa: B023
-        )
-        with_group = any(distance(s, c) <= LIMITS["hate_action"] for s in spans for c in context)
-        if near("threat"):
-            found(("THREAT", "TOXIC"), 5)
-            if grouped and (near("threat", DIRECT) or with_group):
-                found(("HATE",), 5)
-        if near("sexual"):
-            found(("NSFW",), 4)
-        if near("sexual_abuse"):
-            found(("NSFW", "TOXIC"), 5)
-        low = near("degradation") and (not grouped or with_group or near("degradation", DIRECT))
-        act = near("hate_action") and (grouped or near("hate_action", DIRECT))
-        if low or act:
-            found(("TOXIC", "HATE") if grouped else ("TOXIC",), 4 if grouped else 3)
-        if near("profanity"):
-            found(("PROFANITY",), 1)
-    return sorted(topics), sorted(labels), severity, not labels
+#: What a harm near a topic adds: labels and severity, those of group topics after those of others. A harm counts
+#: within its limit; what it needs besides is in _counts.
+EFFECTS = {
+    "threat": ((("THREAT", "TOXIC"), 5), (("THREAT", "TOXIC"), 5)),
+    "group_threat": (None, (("HATE",), 5)),
+    "sexual": ((("NSFW",), 4), (("NSFW",), 4)),
+    "sexual_abuse": ((("NSFW", "TOXIC"), 5), (("NSFW", "TOXIC"), 5)),
+    "degradation": ((("TOXIC",), 3), (("TOXIC", "HATE"), 4)),
+    "hate_action": ((("TOXIC",), 3), (("TOXIC", "HATE"), 4)),
+    "profanity": ((("PROFANITY",), 1), (("PROFANITY",), 1)),
+}
+_SPANS = "array<struct<s:int,e:int>>"
+
+
+def spans(text: Column, patterns: list[str]) -> Column:
+    """array<struct<s, e>> of all matches of the patterns. A match begins where the pieces and matches before it
+    end, so splitting and extracting give the offsets that no built-in function returns."""
+
+    def of(pattern: str) -> Column:
+        p = "(?U)" + pattern
+
+        def placed(parts: Column) -> Column:
+            sizes = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(m).alias("n")))
+            start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
+
+            def step(acc: Column, x: Column) -> Column:
+                begin = acc["at"] + x["gap"]
+                return F.struct((begin + x["n"]).alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("s"), (begin + x["n"]).alias("e")))).alias("found"))
+
+            return F.aggregate(sizes, start, step, lambda acc: acc["found"])
+
+        return F.when(text.rlike(p), let(F.split(text, p, -1), placed)).otherwise(F.array().cast(_SPANS))
+
+    return F.concat(F.array().cast(_SPANS), *[of(p) for p in patterns])
+
+
+def near(a: Column, b: Column, limit: int) -> Column:
+    """Whether a span of one array is within so many characters of one of the other; 0 where they touch."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: F.greatest(x["s"] - y["e"], y["s"] - x["e"], F.lit(0)) <= limit))
+
+
+def _counts(topic: Column, harm: dict[str, Column], context: Column, grouped: bool) -> dict[str, Column]:
+    """When each effect holds for a topic's spans."""
+    within = lambda h, limit=None: near(topic, harm[h], LIMITS.get(h, DEFAULT_LIMIT) if limit is None else limit) if h in harm else F.lit(False)
+    meant = near(topic, context, LIMITS["hate_action"])  # a group is meant
+    out = {h: within(h) for h in ("threat", "sexual", "sexual_abuse", "profanity")}
+    out["group_threat"] = out["threat"] & (within("threat", DIRECT) | meant)
+    out["degradation"] = within("degradation") & (meant | within("degradation", DIRECT)) if grouped else within("degradation")
+    out["hate_action"] = within("hate_action") if grouped else within("hate_action") & within("hate_action", DIRECT)
+    return out
 
 
 def annotate(df: DataFrame, rules: TopicRules, text: str = "text") -> DataFrame:
-    """Adds topics, added, minimum and requires_review. Spans need match offsets, which no built-in function
-    gives, so this is an Arrow UDF; rows without any topic don't go there."""
-    comp = lambda ps: [re.compile(p) for p in ps]
-    compiled = {
-        "topics": {k: comp(v) for k, v in rules.topics.items()}, "harms": {k: comp(v) for k, v in rules.harms.items()},
-        "group_context": comp(rules.group_context), "counter": comp(rules.counter),
-    }
-
-    @F.pandas_udf("topics array<string>, added array<string>, minimum int, requires_review boolean")
-    def work(s: pd.Series) -> pd.DataFrame:
-        rows = [annotate_text(rules, compiled, x) if x is not None else ([], [], 0, False) for x in s]
-        return pd.DataFrame(rows, columns=["topics", "added", "minimum", "requires_review"])
-
-    from gavelflow.functions.text import curation_key
-
-    every = "|".join(f"(?:{p})" for ps in rules.topics.values() for p in ps)
-    x = df.withColumn("_k", curation_key(F.col(text)))
-    # other rows go in as null, which costs nothing there
-    x = x.withColumn("_a", work(F.when(F.col("_k").rlike("(?U)" + every), F.col("_k")) if every else F.lit(None).cast("string")))
-    return x.select(*df.columns, "_a.topics", "_a.added", "_a.minimum", "_a.requires_review")
+    """Adds topics, added, minimum and requires_review: the topics of a text, the labels and the least severity that
+    harms near them give, and whether someone should look. A text that a counter pattern matches adds nothing, and
+    needs a look if there is a harm in it at all; other texts do if a topic brings no label."""
+    x = df.withColumn("_k", curation_key(F.coalesce(F.col(text), F.lit(""))))
+    x = x.withColumns({f"_t_{t}": spans(F.col("_k"), ps) for t, ps in rules.topics.items()})
+    some = F.lit(False)
+    for t in rules.topics:
+        some = some | (F.size(f"_t_{t}") > 0)
+    # the other patterns are looked for only where there is a topic
+    on_topic = F.when(some, F.col("_k")).otherwise("")
+    x = x.withColumn("_on", on_topic)
+    any_of = lambda ps: F.greatest(F.lit(False), F.lit(False), *[F.col("_on").rlike("(?U)" + p) for p in ps])
+    x = x.withColumns({**{f"_h_{h}": spans(F.col("_on"), ps) for h, ps in rules.harms.items()}, "_c": spans(F.col("_on"), rules.group_context), "_no": any_of(rules.counter)})
+    harm = {h: F.col(f"_h_{h}") for h in rules.harms}
+    labels, severity = [], [F.lit(0), F.lit(0)]
+    for t in rules.topics:
+        grouped = t in GROUPS
+        for effect, when in _counts(F.col(f"_t_{t}"), harm, F.col("_c"), grouped).items():
+            if (gives := EFFECTS[effect][grouped]) is not None:
+                labels.append(F.when(when, F.array(*map(F.lit, gives[0]))))
+                severity.append(F.when(when, gives[1]).otherwise(0))
+    none = F.array().cast("array<string>")
+    x = x.withColumn("topics", F.array_compact(F.array(*[F.when(F.size(f"_t_{t}") > 0, F.lit(t)) for t in sorted(rules.topics)])))
+    x = x.withColumn("_l", F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(none, *labels))))))
+    harmed = F.lit(False)
+    for h in harm.values():
+        harmed = harmed | (F.size(h) > 0)
+    x = x.withColumns({
+        "added": F.when(F.col("_no"), none).otherwise(F.col("_l")),
+        "minimum": F.when(F.col("_no"), 0).otherwise(F.greatest(*severity)),
+        "requires_review": (F.size("topics") > 0) & F.when(F.col("_no"), harmed).otherwise(F.size("_l") == 0),
+    })
+    return x.select(*df.columns, "topics", "added", "minimum", "requires_review")
 
 
 def topic_flags(text: Column, topics: dict[str, list[str]]) -> Column:

@@ -169,21 +169,23 @@ def test_rules_with_words(spark):
         (1, "blacklist_words.detected"), (1, "semantic.hate"), (1, "targeted.mass_mentions"), (2, "semantic.hate"), (2, "targeted.mass_mentions"), (3, "spam.mass_mentions")]
 
 
-def test_topic_table():
+TOPIC_TABLE = [
+    ("nothing", [], 0, False), ("kin zap", ["THREAT", "TOXIC"], 5, False), ("grp zap", ["HATE", "THREAT", "TOXIC"], 5, False),
+    ("grp" + "." * 12 + "zap", ["THREAT", "TOXIC"], 5, False), ("they grp" + "." * 12 + "zap", ["HATE", "THREAT", "TOXIC"], 5, False),
+    ("kin" + "." * 17 + "zap", [], 0, True), ("grp" + "." * 20 + "low", [], 0, True), ("grp they" + "." * 12 + "low", ["HATE", "TOXIC"], 4, False),
+    ("kin shun", ["TOXIC"], 3, False), ("kin" + "." * 9 + "shun", [], 0, True), ("grp" + "." * 40 + "shun", ["HATE", "TOXIC"], 4, False),
+    ("kin nsx", ["NSFW"], 4, False), ("kin abx", ["NSFW", "TOXIC"], 5, False), ("kin darn", ["PROFANITY"], 1, False), ("never kin zap", [], 0, True), ("never kin", [], 0, False),
+    ("zap zap darn", [], 0, False), ("low" + "." * 30 + "kin low", ["TOXIC"], 3, False), (None, [], 0, False),
+]
+
+
+def test_topic_table(spark):
     rules = Q.TopicRules({"race": ["grp"], "family": ["kin"]}, {"threat": ["zap"], "degradation": ["low"], "hate_action": ["shun"], "profanity": ["darn"], "sexual": ["nsx"], "sexual_abuse": ["abx"]}, ["they"], ["never"])
-    comp = {"topics": {k: [re.compile(p) for p in v] for k, v in rules.topics.items()}, "harms": {k: [re.compile(p) for p in v] for k, v in rules.harms.items()}, "group_context": [re.compile("they")], "counter": [re.compile("never")]}
-    of = lambda t: Q.annotate_text(rules, comp, t)[1:]
-    assert of("nothing") == ([], 0, False)
-    assert of("kin zap") == (["THREAT", "TOXIC"], 5, False)
-    assert of("grp zap") == (["HATE", "THREAT", "TOXIC"], 5, False)
-    assert of("grp" + " " * 12 + "zap") == (["THREAT", "TOXIC"], 5, False)
-    assert of("they grp" + " " * 12 + "zap") == (["HATE", "THREAT", "TOXIC"], 5, False)
-    assert of("kin" + " " * 17 + "zap") == ([], 0, True)
-    assert of("grp" + " " * 20 + "low") == ([], 0, True) and of("grp they" + " " * 12 + "low")[0] == ["HATE", "TOXIC"]
-    assert of("kin shun") == (["TOXIC"], 3, False) and of("kin" + " " * 9 + "shun") == ([], 0, True)
-    assert of("grp" + " " * 40 + "shun") == (["HATE", "TOXIC"], 4, False)
-    assert of("kin nsx") == (["NSFW"], 4, False) and of("kin abx") == (["NSFW", "TOXIC"], 5, False) and of("kin darn") == (["PROFANITY"], 1, False)
-    assert of("never kin zap") == ([], 0, True)
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(TOPIC_TABLE)], "id int, text string")
+    got = {r.id: (r.added, r.minimum, r.requires_review) for r in Q.annotate(df, rules).collect()}
+    assert [got[i] for i in range(len(TOPIC_TABLE))] == [tuple(x[1:]) for x in TOPIC_TABLE]
+    found = spark.createDataFrame([("ab xab é ab",)], "t string").select(Q.spans(F.col("t"), ["ab", "é"]).alias("s")).first().s
+    assert sorted(map(tuple, found)) == [(0, 2), (4, 6), (7, 8), (9, 11)]
 
 
 def test_spelled_out_and_lists(spark):
