@@ -27,6 +27,11 @@ KINDS = (
     ("discord_user_mention", r"(?U)<@!?\d{5,25}>", "<DISCORD_USER_MENTION>"),
     ("email", EMAIL, "<EMAIL>"),
 )
+#: What a text that a kind matches has; cheap to look for.
+_MAY_HAVE = {
+    "access_token": r"(?i)mfa\.|eyJ", "secret": "[:=]", "ip": r"\p{Nd}\.\p{Nd}", "discord_role_mention": "<@&", "discord_channel_mention": "<#", "discord_user_mention": "<@",
+    "email": "@", "card": r"\p{Nd}", "phone": r"\p{Nd}",
+}
 LATE_KINDS = (("card", CARD, "<CARD>"), ("phone", PHONE, "<PHONE>"))
 INVITE_TOKEN, URL_TOKEN = "<DISCORD_INVITE>", "<URL>"
 PLACEHOLDER = r"(?i)<(?:URL_DOMAIN:[a-z0-9.-]+|DISCORD_INVITE|DISCORD_USER_MENTION|DISCORD_ROLE_MENTION|DISCORD_CHANNEL_MENTION|EMAIL|PHONE|IP|CARD|ACCESS_TOKEN|SECRET|URL)>"
@@ -54,6 +59,10 @@ def _rejoined(parts: Column, between: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(between, i), F.lit("")))), "")
 
 
+def _replaced(text: Column, kind: str, pattern: str, token: str) -> Column:
+    return F.when(text.rlike(_MAY_HAVE[kind]), F.regexp_replace(text, pattern, token)).otherwise(text)
+
+
 def _key(i: Column) -> Column:
     return F.concat(F.lit("__sanitized_token_"), i.cast("string"), F.lit("__"))
 
@@ -123,7 +132,7 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted", urls: str |
     counts: dict[str, Column] = {}
 
     def replace(x: DataFrame, kind: str, pattern: str, token: str) -> DataFrame:
-        x = x.withColumn("_next", F.regexp_replace("_r", pattern, token))
+        x = x.withColumn("_next", _replaced(F.col("_r"), kind, pattern, token))
         n = F.when(F.col("_next") != F.col("_r"), F.regexp_count("_r", F.lit(pattern)).cast("long"))
         one = F.struct(F.lit(kind).alias("kind"), F.lit(token).alias("token"), F.col(f"_n_{kind}").alias("count"), F.lit(None).cast("string").alias("domain"))
         counts[kind] = F.when(F.col(f"_n_{kind}") > 0, one)
@@ -143,18 +152,20 @@ def redact(df: DataFrame, text: str = "text", out: str = "redacted", urls: str |
     return x.drop("_clean", "_r", "_u", *[f"_n_{k}" for k in counts])
 
 
-def training_text(text: Column) -> Column:
-    """Case-folded and redacted text for training; doing it twice changes nothing, as placeholders stay."""
-    source = F.coalesce(text, F.lit(""))
-    x = T.casefolded(protected(source))
+def training_text(df: DataFrame, text: str = "text", out: str = "training_text") -> DataFrame:
+    """Adds out: case-folded and redacted text for training; doing it twice changes nothing, as placeholders stay.
+    Folding, which needs Python for some texts, is a projection of its own, below the lambdas."""
+    source = F.coalesce(F.col(text), F.lit(""))
+    x = T.casefolded(F.col("_p"))
     for _, pattern, token in KINDS:
         x = F.regexp_replace(x, pattern, token)
-    x = F.regexp_replace(x, TRAINING_INVITE, INVITE_TOKEN)
-    x = T.let(x, lambda v: F.when(v.rlike(TRAINING_URL), _rejoined(
-        F.split(v, TRAINING_URL, -1), F.transform(F.regexp_extract_all(v, F.lit(TRAINING_URL), F.lit(0)), _domain_token))).otherwise(v))
+    df = df.withColumn("_p", protected(source)).withColumn("_r", F.regexp_replace(x, TRAINING_INVITE, INVITE_TOKEN))
+    v = F.col("_r")
+    found = F.transform(F.regexp_extract_all(v, F.lit(TRAINING_URL), F.lit(0)), _domain_token)
+    y = F.when(v.rlike(TRAINING_URL), _rejoined(F.split(v, TRAINING_URL, -1), found)).otherwise(v)
     for _, pattern, token in LATE_KINDS:
-        x = F.regexp_replace(x, pattern, token)
-    return T.squeezed(restored(x, source))
+        y = F.regexp_replace(y, pattern, token)
+    return df.withColumn(out, T.squeezed(restored(y, source))).drop("_p", "_r")
 
 
 def masked_url(url: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -58,9 +59,14 @@ def words(text: Column) -> Column:
     return _all(text, WORDS)
 
 
+#: What every text with an address has; cheap to look for.
+_MAY_HAVE_URL = r"(?i)://|www\.|[a-z0-9]\.[a-z]"
+
+
 def urls(text: Column) -> Column:
     """Addresses in the order of first occurrence, without punctuation at their ends."""
-    return F.array_distinct(F.transform(_all(text, URL), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+$", "")))
+    found = F.array_distinct(F.transform(_all(text, URL), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+$", "")))
+    return F.when(text.rlike(_MAY_HAVE_URL), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def domain(url: Column) -> Column:
@@ -91,7 +97,8 @@ def matches_suffix(host: Column, patterns) -> Column:
 def invites(text: Column) -> Column:
     """Codes in lower case, in the order of grammars, each once."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in INVITES]
-    return F.array_distinct(F.transform(F.concat(*found), F.lower))
+    codes = F.array_distinct(F.transform(F.concat(*found), F.lower))
+    return F.when(text.rlike("(?i)discord"), codes).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def has_obfuscated_invite(text: Column) -> Column:
@@ -110,7 +117,7 @@ def directly_addressed(text: Column) -> Column:
 
 def metric_text(text: Column) -> Column:
     """The text with each address replaced by one space."""
-    return F.regexp_replace(text, URL, " ")
+    return F.when(text.rlike(_MAY_HAVE_URL), F.regexp_replace(text, URL, " ")).otherwise(text)
 
 
 def language(has_cyrillic: Column, has_latin: Column) -> Column:
@@ -121,8 +128,8 @@ def language(has_cyrillic: Column, has_latin: Column) -> Column:
 
 def longest_run(text: Column) -> Column:
     """The longest run of one letter, whatever its case."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L})\1*"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L})\1+"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.when(text.rlike(r"\p{L}"), 1).otherwise(0))
 
 
 def most_frequent_word(found: Column) -> Column:
@@ -146,8 +153,10 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     size = F.length("_metric")
     sizes = F.transform(F.col("_words"), F.length)
     df = df.withColumns({
-        "_letters": _kept(m, r"[^\p{L}]"),
-        "_upper": _kept(m, r"[^\p{Lu}]"),
+        "_letters": _kept(m, r"[^\p{L}]+"),
+        "_upper": _kept(m, r"[^\p{Lu}]+"),
+        "_punct": size - F.length(F.translate(m, string.punctuation, "")),
+        "_emoji": F.regexp_count(m, F.lit(EMOJI)),
         "_run": longest_run(m),
         "_most": most_frequent_word(F.col("_words")),
         "_size": size,
@@ -169,10 +178,10 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "longest_word_length": F.coalesce(F.array_max("_sizes"), F.lit(0)).cast("long"),
         "uppercase_ratio": _ratio(F.col("_upper"), F.col("_letters")),
         "digit_ratio": _ratio(count(r"\p{Nd}"), F.col("_size")),
-        "punctuation_count": count(PUNCTUATION).cast("long"),
-        "punctuation_ratio": _ratio(count(PUNCTUATION), F.col("_size")),
-        "emoji_count": count(EMOJI).cast("long"),
-        "emoji_ratio": _ratio(count(EMOJI), F.col("_size")),
+        "punctuation_count": F.col("_punct").cast("long"),
+        "punctuation_ratio": _ratio(F.col("_punct"), F.col("_size")),
+        "emoji_count": F.col("_emoji").cast("long"),
+        "emoji_ratio": _ratio(F.col("_emoji"), F.col("_size")),
         "repeated_char_score": F.least(F.greatest((F.col("_run") - 1) / 10, F.lit(0.0)), F.lit(1.0)),
         "has_repeated_chars": F.col("_run") >= 3,
         "max_word_repetition_count": F.col("_most").cast("long"),
@@ -189,7 +198,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         "has_invite": F.size("invites") > 0,
         "has_shortener": F.exists("domains", lambda d: matches_suffix(d, SHORTENERS)),
     }
-    return df.withColumns(out).drop("_raw", "_words", "_metric", "_letters", "_upper", "_run", "_most", "_size", "_sizes")
+    return df.withColumns(out).drop("_raw", "_words", "_metric", "_letters", "_upper", "_run", "_most", "_size", "_sizes", "_punct", "_emoji")
 
 
 def age_days(at: Column, since: Column) -> Column:
@@ -222,7 +231,8 @@ def casefolded(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # single blanks, which most runs of white space are, stay as they are
+    return F.trim(F.regexp_replace(text, r"(?U)[^\S\x20]\s*|\x20\s+", " "))
 
 
 def normalized(text: Column, collapse_repeats: bool = True) -> Column:

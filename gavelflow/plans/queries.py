@@ -887,7 +887,8 @@ def redact_pii(spark, sf):
 
 @query()
 def training_texts(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2(R.training_text(F.col("text")), 256).alias("sha256"))
+    x = R.training_text(table(spark, sf, "documents", "doc_id", "text"))
+    return x.select("doc_id", F.sha2("training_text", 256).alias("sha256"))
 
 
 def _rlike(pattern: str) -> str:
