@@ -39,7 +39,7 @@ SHINGLE = 5
 NUM, DEN = 80, 100  # link when DEN * intersection >= NUM * union
 LIGHT = 32
 BLOCK = 512
-BLOCK_KEYS = 1 << 20
+BLOCK_KEYS = 1 << 18
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Seconds between two returns of memory by tasks of one owner.
-PAUSE = 4.0
+PAUSE = 2.0
 
 _held: dict[tuple[str, str], object] = {}
 _owner: str | None = None
