@@ -39,7 +39,7 @@ SHINGLE = 5
 NUM, DEN = 80, 100  # link when DEN * intersection >= NUM * union
 LIGHT = 32
 BLOCK = 512
-BLOCK_KEYS = 1 << 18
+BLOCK_KEYS = 1 << 20
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -299,8 +299,10 @@ def _tiles(rows: DataFrame, stage: Stage) -> DataFrame:
     need = lambda: F.ceil(F.greatest(F.col("m") / BLOCK, F.col("keys") / BLOCK_KEYS)).cast("int")
     blocks = rows.groupBy("g", "band").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("keys")).withColumn("k", need())
     around = blocks.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"), F.sum("m").alias("m"), F.sum("keys").alias("keys"))
-    around = stage.cut(around.select("g", "ks", "m", (need() == 1).alias("small")))
-    rows = hot_join(rows, around, ["g"], "m").withColumn("sub", F.pmod(F.xxhash64("sig"), F.element_at("ks", F.col("band"))).cast("int"))
+    around = around.select("g", "ks", (need() == 1).alias("small"))
+    # a group's classes meet in one place and its blocks are made and compared there: dealing the blocks out
+    # would send each class once for every block that its own one meets
+    rows = rows.join(around, "g").withColumn("sub", F.pmod(F.xxhash64("sig"), F.element_at("ks", F.col("band"))).cast("int"))
     # a block meets itself, the other blocks of its band and all of the next band; a small group is one tile
     same = "transform(sequence(0, ks[band] - 1), s -> struct(band as b1, least(s, sub) as s1, band as b2, greatest(s, sub) as s2))"
     up = "if(ks[band + 1] is null, array(), transform(sequence(0, ks[band + 1] - 1), s -> struct(band as b1, sub as s1, band + 1 as b2, s as s2)))"
