@@ -121,9 +121,10 @@ class KeyFilter:
         self.words = words
 
     @classmethod
-    def build(cls, keys: DataFrame, column: str, max_bits: int | None = None) -> KeyFilter:
+    def build(cls, keys: DataFrame, column: str, max_bits: int | None = None, spread: int = 16) -> KeyFilter:
+        """spread: bits a key at least, as long as max_bits allow it; more of them let fewer other keys through."""
         n = keys.count()
-        bits = min(1 << max(16, (16 * n - 1).bit_length() if n else 16), max_bits or cls.MAX_BITS)
+        bits = min(1 << max(16, (spread * n - 1).bit_length() if n else 16), max_bits or cls.MAX_BITS)
         part = keys.select(
             F.expr(f"shiftrightunsigned({column}, 6) & {bits // 64 - 1}L").alias("w"),
             F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("b"),

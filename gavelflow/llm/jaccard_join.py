@@ -5,7 +5,9 @@ and from then on a class counts once, however many copies it has. Two sets that
 among the first |A| - ceil(t|A|) + 1 keys of both in any fixed order of keys, so classes meet in
 tiles of a key. The order puts keys of many documents last (a bitmap of bounded size says which;
 it only moves work, never results), so passages that many documents share open no tiles for
-documents that have rarer keys.
+documents that have rarer keys. Frequent ones among each set's first keys are counted, then all keys that
+stand near these in the texts: a passage has its other keys there, which would open tiles as soon as the first
+ones are last in the order.
 
 * A light tile (up to LIGHT classes) yields its pairs within the size bound.
 * Heavy tiles that share classes are one group, which is cut into size-banded blocks; blocks compare all
@@ -40,10 +42,13 @@ NUM, DEN = 80, 100  # link when DEN * intersection >= NUM * union
 LIGHT = 32
 BLOCK = 512
 BLOCK_KEYS = 1 << 20
+#: Shingles so far from a frequent one in a text may be of the same passage. A fifth of a passage's keys are
+#: found first, so that one in a hundred gaps between them is longer than twice this.
+REACH = 10
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def _shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text in their order."""
     short = tb.Ranges(42)
     for a, b, data, offs in tb.text_slices(texts):
         words = tb.Words(data, offs)
@@ -51,13 +56,30 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         grams = tb.windows(values, k, 43)
         for lo, hi in zip(words.offs[:-1].tolist(), words.offs[1:].tolist(), strict=True):
             if hi - lo >= k:
-                yield np.unique(grams[lo : hi - k + 1])
+                yield grams[lo : hi - k + 1]
             elif hi > lo:
                 yield short.ranges(values, np.array([lo]), np.array([hi]))
             else:
                 yield grams[:0]
 
 
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return map(np.unique, _shingles(texts, k))
+
+
+def _near(grams: np.ndarray, common: KeyFilter) -> np.ndarray:
+    """The distinct shingles that stand near common ones and aren't common themselves."""
+    found = common.mask(grams)
+    if not found.any():
+        return grams[:0]
+    edge = np.zeros(len(grams) + 1, dtype=np.int64)
+    at = np.flatnonzero(found)
+    np.add.at(edge, np.maximum(at - REACH, 0), 1)
+    np.add.at(edge, np.minimum(at + REACH + 1, len(grams)), -1)
+    return np.unique(grams[(np.cumsum(edge[:-1]) > 0) & ~found])
+
+
 def _signature(s: np.ndarray) -> int:
     total = int(np.add.reduce(tb.mix(s), dtype=np.uint64)) ^ (len(s) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     return int(np.int64(np.uint64(total)))
@@ -83,9 +105,9 @@ class _Classes:
         self.texts = docs.select(F.xxhash64("text").alias("t"), "text")
         self.copied, self.table, self.k = copied, table.select(F.lit(None).cast("long").alias("t"), "text"), k
 
-    def scan(self, emit, schema: str, only: Broadcast | None = None) -> DataFrame:
+    def scan(self, emit, schema: str, only: Broadcast | None = None, sets=_sets) -> DataFrame:
         """emit(list of sets) -> RecordBatch, over all classes; of the single ones only those whose text's
-        hash passes the filter only, where it is given."""
+        hash passes the filter only, where it is given. sets: what makes them of texts."""
         k, copied = self.k, self.copied
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +120,7 @@ class _Classes:
                         keep &= only.value.mask(t)
                     batch = batch.filter(pa.array(keep))
                 part = []
-                for s in _sets(batch.column(1), k):
+                for s in sets(batch.column(1), k):
                     if len(s):
                         part.append(s)
                         if len(part) == 2000:
@@ -158,10 +180,20 @@ def links(docs: DataFrame, rows: DataFrame, copies_of: DataFrame, stage: Stage,
     table = texts.mapInArrow(worker.batches("jaccard", copies), "sig long, text string").groupBy("sig").agg(F.first("text").alias("text"))
     classes = _Classes(docs, copied, stage.cut(table), k)
 
-    # keys that many classes have among their first ones go last in the order
+    # keys that many classes have among their first ones, or near those in their texts, go last in the order; a
+    # key that passes the filter by chance would be taken for one, so there are more bits
+    def frequent(keys: DataFrame) -> DataFrame:
+        return stage.cut(keys.groupBy("key").count().where(F.col("count") > LIGHT).select("key"))
+
     everywhere = KeyFilter(np.zeros(1 << 10, dtype=np.uint64))
-    many = classes.scan(_keys(send(everywhere)), "key long").groupBy("key").count().where(F.col("count") > LIGHT)
-    common = send(KeyFilter.build(stage.cut(many.select("key")), "key"))
+    leading = frequent(classes.scan(_keys(send(everywhere)), "key long"))
+    seen = send(KeyFilter.build(leading, "key", spread=256))
+
+    def beside(part: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_flat([_near(s, seen.value) for s in part])], ["key"])
+
+    others = frequent(classes.scan(beside, "key long", sets=_shingles))
+    common = send(KeyFilter.build(leading.union(others), "key", spread=256))
     multi = classes.scan(_keys(common), "key long").groupBy("key").count().where("count > 1")
     multi = stage.cut(multi)
     shared = send(KeyFilter.build(multi.select("key"), "key"))

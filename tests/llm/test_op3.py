@@ -103,3 +103,16 @@ def test_full_filters_change_nothing(spark, make_docs, monkeypatch):
     want = sorted(map(tuple, op3_jaccard_join(spark, folder).collect()))
     monkeypatch.setattr(KeyFilter, "MAX_BITS", 64)
     assert sorted(map(tuple, op3_jaccard_join(spark, folder).collect())) == want
+
+
+def test_passages_of_many_documents_make_no_group(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIGHT", 4)
+    grouped, tiles = [], jaccard_join._tiles
+    monkeypatch.setattr(jaccard_join, "_tiles", lambda rows, stage: grouped.append(rows.count()) or tiles(rows, stage))
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(3)]
+    own = lambda d, a, b: " ".join(f"d{d}x{i}" for i in range(a, b))
+    rows = [(d, f"{own(d, 0, 40)} {passages[d % 3]} {own(d, 40, 90)} {passages[(d + d // 3) % 3]}") for d in range(60)]
+    rows += [(100 + d, rows[d][1] + " tail") for d in range(5)]
+    got = op3_jaccard_join(spark, make_docs([(d, t, "en", "s") for d, t in rows])).collect()
+    assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got], key=str) == brute(rows)
+    assert grouped == [0]
