@@ -32,6 +32,8 @@ SAMPLE = 2000
 #: Up to so many languages their counts are broadcast (a few MB); more are joined by shuffling.
 BROADCAST_LANGS = 50_000
 HELD_OUT = 2
+#: Rows that are made into strings and handed on at once.
+PART = 500
 UND = "und"
 
 def _letters() -> np.ndarray:
@@ -150,13 +152,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """row (a struct of all columns of docs, so that no name can clash), lang_pred, lang_score and
     lang_distance of each row."""
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    at = [c.lower() for c in docs.columns].index("text")
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
-            found = [held.predict(t) for t in batch.column(1).to_pylist()]
+        for batch in (b.slice(i, PART) for b in batches for i in range(0, b.num_rows, PART)):
+            found = [held.predict(t) for t in batch.column(0).flatten()[at].to_pylist()]
             cols = list(zip(*found, strict=True)) or [[], [], []]
             made = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["row", "lang_pred", "lang_score", "lang_distance"])
