@@ -2,9 +2,11 @@
 
 A text's leftmost-smaller (LMS) substrings are sorted by induction and named; the string of names, in text
 order, is sorted in the same way, level by level, until all names differ; its order induces the whole array.
-Induction is linear. Over few symbols (bytes) it scans buckets, not entries: all entries of one first symbol
-that are known so far induce their predecessors at once, in the order of the scan. Over many (names) it scans
-entries.
+Over few symbols (bytes) induction scans buckets, not entries: all entries of one first symbol that are known
+so far induce their predecessors at once, in the order of the scan. Over many (names) it goes by distance: the
+suffixes one run of equal symbols before a known one get their places at once, then those two runs before one,
+and so on. Texts whose names rise or fall for long stretches that repeat are scanned entry by entry, which is
+linear for any text.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ import numpy as np
 
 from gavelflow.llm.textbytes import _eights
 
-#: Up to so many symbols, and runs of one symbol up to so long, buckets are scanned, and entries beyond.
+#: Up to so many symbols, and runs of one symbol up to so long, buckets are scanned.
 SYMBOLS, RUN = 512, 1000
+#: Elsewhere places are induced by distance, as long as rounds place no more than so many suffixes for each of
+#: the text (a round counts as ROUND suffixes at least), and entries are scanned beyond.
+WORK, ROUND = 16, 500
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -26,9 +31,8 @@ def classify(t: np.ndarray) -> np.ndarray:
     up, down = t[:-1] < t[1:], t[:-1] > t[1:]
     # a run of equal symbols has the type of the first difference after it
     known = np.flatnonzero(up | down)
-    at = np.searchsorted(known, np.arange(n - 1))
-    has = at < len(known)
-    s[:-1][has] = up[known[at[has]]]
+    if len(known):
+        s[: known[-1] + 1] = np.repeat(up[known], np.diff(known, prepend=-1))
     return s
 
 
@@ -37,7 +41,9 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) ->
     k = len(sizes)
     same = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
     if k > SYMBOLS or np.diff(same).max() > RUN:
-        return _induce_entries(t.tolist(), s.tolist(), lms.tolist(), np.cumsum(sizes).tolist())
+        sa = _induce_distances(t, s, lms, sizes, same)
+        return _induce_entries(t.tolist(), s.tolist(), lms.tolist(), np.cumsum(sizes).tolist()) if sa is None else sa
+    t = t.astype(np.uint16)  # sorted by radix
     order = np.argsort(t[lms], kind="stable")
     lms_by = np.split(lms[order], np.cumsum(np.bincount(t[lms], minlength=k))[:-1])
     n = len(t)
@@ -97,6 +103,58 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) ->
     return np.concatenate([x for c in range(k) for x in (l_sorted[c], s_sorted[c])])
 
 
+def _induce_distances(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray, runs: np.ndarray) -> np.ndarray | None:
+    """_induce, by the distance from what is known, in runs of equal symbols (which begin at runs; its last is the
+    end); None where that is too much work. Suffixes of one symbol and type stand by the length of the run that
+    they begin with, L-types the shortest first and S-types the longest, and then as what follows the run."""
+    n, k = len(t), len(sizes)
+    ends = np.cumsum(sizes)
+    after = np.repeat(runs[1:], np.diff(runs))
+    length = after - np.arange(n)
+    rank = np.empty(n + 1, dtype=np.int64)
+    rank[n] = 0  # the end is smaller than all
+    order = lms[np.argsort(t[lms], kind="stable")]
+    rank[order] = (ends - np.cumsum(np.bincount(t[lms], minlength=k)))[t[order]] + np.arange(len(lms)) + 1
+    for kind in (False, True):
+        own = np.flatnonzero(s == kind)
+        first = ends - np.bincount(t[own], minlength=k) if kind else ends - sizes
+        rank[own] = first[t[own]] + 1
+        more = own[length[own] > 1]
+        if kind:
+            one = own[length[own] == 1]
+            rank[one] += np.bincount(t[more], minlength=k)[t[one]]
+        else:
+            rank[more] += (np.bincount(t[own], minlength=k) - np.bincount(t[more], minlength=k))[t[more]]
+        _split(rank, more, n - length[more] if kind else length[more])
+        done = 0
+        while len(own):
+            done += max(len(own), ROUND)
+            if done > WORK * max(n, ROUND):
+                return None
+            own = _split(rank, own, rank[after[own]])
+    sa = np.empty(n, dtype=np.int64)
+    sa[rank[:n] - 1] = np.arange(n)
+    return sa
+
+
+def _split(rank: np.ndarray, live: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Tells suffixes of one rank apart: each gets the rank plus the number of those that come before it. live are
+    whole ranks; the suffixes that still share one are returned."""
+    if not len(live):
+        return live
+    key = rank[live] * len(rank) + by
+    order = np.argsort(key)
+    live, key = live[order], key[order]
+    old = rank[live]
+    at = np.arange(len(live))
+    cut = np.ones(len(live) + 1, dtype=bool)
+    cut[1:-1] = key[1:] != key[:-1]
+    whole = np.ones(len(live), dtype=bool)
+    whole[1:] = old[1:] != old[:-1]
+    rank[live] = old + np.maximum.accumulate(np.where(cut[:-1], at, 0)) - np.maximum.accumulate(np.where(whole, at, 0))
+    return live[~(cut[:-1] & cut[1:])]
+
+
 def _name(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sa: np.ndarray, is_lms: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings in text order, equal for equal substrings; the number of names."""
     ordered = sa[is_lms[sa]]

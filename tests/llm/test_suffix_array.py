@@ -55,3 +55,21 @@ def test_entries_and_buckets_agree(monkeypatch):
             monkeypatch.setattr(module, "SYMBOLS", symbols)
             monkeypatch.setattr(module, "RUN", 10**9)
             assert suffix_array(t).tolist() == want
+
+
+def test_names_are_induced_by_distance(monkeypatch):
+    """Many names, runs of them, and stretches that rise and fall and repeat; entries are scanned only beyond WORK."""
+    r = random.Random(6)
+    words = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    text = b" ".join(r.choice(words) for _ in range(2500)) + b"".join(w * 5 for w in words[:20])
+    rising = [*range(600), 7, 7, 7, *range(600, 0, -1), *range(600), *([9] * 50)]
+    scanned = []
+    real = module._induce_entries
+    monkeypatch.setattr(module, "_induce_entries", lambda *a: scanned.append(1) or real(*a))
+    for t in (np.frombuffer(text, dtype=np.uint8), np.array(rising), np.array([r.randrange(600) for _ in range(3000)])):
+        want = sorted(range(len(t)), key=lambda i: t.tolist()[i:])
+        monkeypatch.setattr(module, "WORK", 10**9, raising=False)
+        assert suffix_array(t).tolist() == want and not scanned
+        monkeypatch.setattr(module, "WORK", 0)
+        assert suffix_array(t).tolist() == want and scanned
+        scanned.clear()
